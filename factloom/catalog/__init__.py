@@ -29,9 +29,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def build() -> Catalog:
-    from factloom.catalog import statements
+    from factloom.catalog import corpus, statements
 
     catalog = Catalog()
-    for module in (statements,):
+    for module in (statements, corpus):
         module.register(catalog)
     return catalog

@@ -16,7 +16,7 @@ def number_text(x: Column) -> Column:
     """Integral values without a decimal point, others as plain (never exponent) decimals."""
     x = x.cast("double")
     integral = (x == F.rint(x)) & (F.abs(x) < F.lit(9.0e18))
-    plain = F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    plain = F.regexp_replace(x.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
     return (
         F.when(integral, x.cast("bigint").cast("string"))
         .when((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7), x.cast("string"))
@@ -41,7 +41,7 @@ def value_text(x: Column, dtype: T.DataType) -> Column:
 
 def digit_order(x: Column) -> Column:
     """Digits of the rounded number, minus one."""
-    whole = F.abs(F.rint(x.cast("double"))).cast("decimal(38,0)").cast("string")
+    whole = F.abs(F.rint(x.cast("double"))).try_cast("decimal(38,0)").cast("string")
     return (F.length(whole) - 1).cast("int")
 
 

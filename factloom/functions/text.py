@@ -19,18 +19,19 @@ STOP_WORDS = (
     "needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
 
-# Patterns of cells.
-EMPTY_CELL = r"^\s*(|-|n\s*[\\/]\s*a)\s*$"
-NUMBER_INSIDE = r"\b\d+(?:\s*,\s*\d{3})*(?:\.\d+)?\b"
-NUMBER_CELL = r"^\s*([\-+]\s*)?\d+(\s*,\s*\d{3})*(\.\d+)?(\s*%)?\s*$"
-NO_DIGITS = r"^\D+$"
-TOTAL_ROW = r"\b((o ?v ?e ?r ?)?a ?l ?l|t ?o ?t ?a ?l( ?s)?|s ?u ?m)\b"
-YEAR_INSIDE = r"\b((1[789]|20)\d\d)\b"
-SECONDS_CELL = r"^\s*\d\d?\.\d\d\s*$"
-DATE_WORD = r"(?i)\bdate\b"
-SLASH_DATE = r"\d\s*/\s*\d+\s*/\s*\d+"
+# Patterns of cells. (?U): letters, digits and word ends of any script.
+EMPTY_CELL = r"(?U)^\s*(|-|n\s*[\\/]\s*a)\s*$"
+NUMBER_INSIDE = r"(?U)\b\d+(?:\s*,\s*\d{3})*(?:\.\d+)?\b"
+NUMBER_CELL = r"(?U)^\s*([\-+]\s*)?\d+(\s*,\s*\d{3})*(\.\d+)?(\s*%)?\s*$"
+DIGITS_CELL = r"(?U)^\d+$"
+NO_DIGITS = r"(?U)^\D+$"
+TOTAL_ROW = r"(?U)\b((o ?v ?e ?r ?)?a ?l ?l|t ?o ?t ?a ?l( ?s)?|s ?u ?m)\b"
+YEAR_INSIDE = r"(?U)\b((?:1[789]|20)\d\d)\b"
+SECONDS_CELL = r"(?U)^\s*\d\d?\.\d\d\s*$"
+DATE_WORD = r"(?iU)\bdate\b"
+SLASH_DATE = r"(?U)\d\s*/\s*\d+\s*/\s*\d+"
 MONTH_WORD = (
-    r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?"
+    r"(?iU)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?"
     r"|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b"
 )
 ALNUM_WORDS = r"^[\p{L}\p{N}]+( [\p{L}\p{N}]+)*$"

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.numbers import value_text
-
-# Rows of one table that a single task may sort. Tables above it take the range-partitioned path.
-TASK_ROWS = 2_000_000
-
+from factloom.plans.ranking import TASK_ROWS, is_hot
 
 class KeyedTable:
     """Typed rows split into tables.
@@ -40,24 +37,8 @@ class KeyedTable:
 
     @cached_property
     def hot(self) -> bool:
-        """Does any table hold more rows than one task should sort?
-
-        The row count alone (parquet footers) settles it for small inputs; otherwise one aggregate
-        over the key columns, combined before its shuffle.
-        """
-        if self.df.count() <= self.task_rows:
-            return False
-        if not self.by:
-            return True
-        largest = self.df.groupBy(*self.by).count().agg(F.max("count")).first()[0]
-        return (largest or 0) > self.task_rows
-
-    def with_df(self, df: DataFrame) -> "KeyedTable":
-        """Same keys and texts over other rows; whether a table is hot is known from the parent."""
-        other = KeyedTable(df, self.by, self.order, self.raw, self.task_rows)
-        if "hot" in self.__dict__:
-            other.__dict__["hot"] = self.hot
-        return other
+        """Does any table hold more rows than one task should sort?"""
+        return is_hot(self.df, self.by, self.task_rows)
 
     def dtype(self, col: str) -> T.DataType:
         return self.df.schema[col].dataType

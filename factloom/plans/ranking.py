@@ -11,6 +11,24 @@ from pyspark.sql import Window as W
 from factloom.session import materialise
 
 
+# Rows of one table that a single task may sort. Tables above it take the range-partitioned path.
+TASK_ROWS = 2_000_000
+
+
+def is_hot(df: DataFrame, by: Sequence[str], task_rows: int = TASK_ROWS) -> bool:
+    """Does any table hold more rows than one task should sort?
+
+    The row count alone (parquet footers, for a plain scan) settles it for small inputs; otherwise one
+    aggregate over the key columns, combined before its shuffle.
+    """
+    if df.count() <= task_rows:
+        return False
+    if not by:
+        return True
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    return (largest or 0) > task_rows
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which an empty key matches an empty key; the left keys are kept.
 
@@ -33,16 +51,19 @@ def running(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     totals: Mapping[str, tuple[str, Column]],
-    hot: bool,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add inclusive running sums (in ``order``) and totals (``sum``, ``min`` or ``max``) per table.
 
-    ``order`` must be a total order inside a table. When no table is hot this is one window. When one
+    ``order`` must be a total order inside a table. ``hot`` tells whether a table is too large for one
+    task (looked up when not given). When no table is hot this is one window. When one
     is, rows are range-partitioned on (table, order), so that a table spreads over many partitions:
     every partition sums its own part of a table, a window over at most one row per partition turns
     the parts into offsets, and the offsets are added to the running sums inside each part.
     """
     funcs = {"sum": F.sum, "min": F.min, "max": F.max}
+    if hot is None:
+        hot = is_hot(df, by)
     if not hot:
         ordered = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         whole = W.partitionBy(*by)
