@@ -29,9 +29,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def build() -> Catalog:
-    from factloom.catalog import corpus, statements
+    from factloom.catalog import corpus, profiles, scores, statements
 
     catalog = Catalog()
-    for module in (statements, corpus):
+    for module in (statements, corpus, profiles, scores):
         module.register(catalog)
     return catalog

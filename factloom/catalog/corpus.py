@@ -182,7 +182,7 @@ TITLES = "ti as (select cast(c_custkey as varchar) as table_id, c_name as title
 
 def _text(c: Catalog) -> None:
     def style_sql(head, sep, row, inner, start):
-        return f"""with {CELLS}, {TITLES}, ln as (select table_id, row_idx, {start} || {inner} || string_agg({row}, {inner} order by col_idx) as t from cells group by all)
+        return f"""with {CELLS}, {TITLES}, ln as (select table_id, row_idx, any_value({start}) || {inner} || string_agg({row}, {inner} order by col_idx) as t from cells group by table_id, row_idx)
 select ln.table_id, 0 as part, {head} || any_value(title) || {sep} || string_agg(t, {sep} order by row_idx) as input from ln join ti on ln.table_id = ti.table_id group by all"""
 
     c.add("linearise_nl", lambda s, d: L.linearise(order_cells(s, d), titles(s, d), "nl"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import MONTH_WORD, NUMBER_INSIDE
@@ -32,17 +32,30 @@ def number_count(raw: Column) -> Column:
 
 _MON = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 _TIME = r"(?: (\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)? ?(am|pm)?)?"
-# Date notations, tried in this order: groups for year, month, day by position (0: not written).
+# Date notations, tried in this order, and where year, month and day stand in them. ``?`` marks numbers
+# with the month first (the day first only when the first number cannot be a month).
 DATE_FORMS = [
-    (rf"^{_MON} (\d{{1,2}})(?: (\d{{4}}|\d{{2}}))?{_TIME}$", 3, 1, 2),
-    (rf"^(\d{{1,2}}) {_MON}(?: (\d{{4}}|\d{{2}}))?{_TIME}$", 3, 2, 1),
-    (rf"^{_MON} (\d{{4}}){_TIME}$", 2, 1, 0),
-    (rf"^(\d{{4}}) {_MON} (\d{{1,2}}){_TIME}$", 1, 2, 3),
-    (rf"^(\d{{4}}) {_MON}{_TIME}$", 1, 2, 0),
-    (rf"^{_MON}{_TIME}$", 0, 1, 0),
-    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}$", 1, 2, 3),
-    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_TIME}$", 3, 1, 2),
+    (rf"^{_MON} (\d{{1,2}})(?: (\d{{4}}|\d{{2}}))?{_TIME}$", "$3|$1|$2|$4|$5|$6|$7|"),
+    (rf"^(\d{{1,2}}) {_MON}(?: (\d{{4}}|\d{{2}}))?{_TIME}$", "$3|$2|$1|$4|$5|$6|$7|"),
+    (rf"^{_MON} (\d{{4}}){_TIME}$", "$2|$1||$3|$4|$5|$6|"),
+    (rf"^(\d{{4}}) {_MON} (\d{{1,2}}){_TIME}$", "$1|$2|$3|$4|$5|$6|$7|"),
+    (rf"^(\d{{4}}) {_MON}{_TIME}$", "$1|$2||$3|$4|$5|$6|"),
+    (rf"^{_MON}{_TIME}$", "|$1||$2|$3|$4|$5|"),
+    (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}$", "$1|$2|$3|$4|$5|$6|$7|"),
+    (rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_TIME}$", "$3|$1|$2|$4|$5|$6|$7|?"),
 ]
+_INSIDE = (
+    rf"(?:\d{{4}} )?{_MON} \d{{1,2}}(?: \d{{4}})?|\d{{1,2}} {_MON}(?: \d{{4}})?|{_MON}(?: \d{{4}})?|\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}"
+    r"|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
+)
+
+
+NUMERIC_DATE = r"\d\s*[-/.]\s*\d+\s*[-/.]\s*\d"
+
+
+def may_be_date(raw: Column) -> Column:
+    """Cheap test that spares most cells the date notations."""
+    return raw.rlike(MONTH_WORD) | raw.rlike(NUMERIC_DATE)
 
 
 def _normal_date(raw: Column) -> Column:
@@ -53,68 +66,73 @@ def _normal_date(raw: Column) -> Column:
     text = F.regexp_replace(text, r"(\d)t(\d)", "$1 $2")
     text = F.regexp_replace(text, r"[,]|\bof\b|\bat\b", " ")
     text = F.regexp_replace(text, r"\s*([-/.])\s*", "$1")
-    text = F.regexp_replace(text, r"([a-z])[-/]|[-/](?=[a-z])", "$1 ")
+    text = F.regexp_replace(text, r"(?<=[a-z])[-/]|[-/](?=[a-z])", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def _stamp(text: Column, form: tuple, base: str) -> Column:
-    pattern, year_at, month_at, day_at = form
-    part = lambda i: F.regexp_extract(text, pattern, i)
+def _whole_dates(df: DataFrame, text: str, out: str, base: str) -> DataFrame:
+    """Add ``out``: the timestamp that the normalised column ``text`` is.
+
+    In steps, each a column of its own that the next uses several times, so that no step is computed
+    twice and the generated code stays small.
+    """
+    keep = df.columns
     base_year, _, base_day = base.split("-")
-    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(month_at))
-    month = F.when(named > 0, named.cast("int")).otherwise(part(month_at).try_cast("int"))
-    day = part(day_at).try_cast("int") if day_at else F.lit(None).cast("int")
-    if day_at and r"[-/.]" in pattern and year_at == 3:
-        # month first; day first only when the first number cannot be a month
-        swap = month > 12
-        month, day = F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)
-    if year_at:
-        written = part(year_at)
-        short = written.try_cast("int")
-        year = (
-            F.when(written == "", F.lit(int(base_year)))
-            .when(F.length(written) == 4, short)
-            .otherwise(F.when(short < 69, short + 2000).otherwise(short + 1900))
-        )
-    else:
-        year = F.lit(int(base_year))
-    times = 1 + max(year_at, month_at, day_at)
-    hour = F.coalesce(part(times).try_cast("int"), F.lit(0))
-    half = part(times + 3)
-    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), F.lit(0)).otherwise(hour)
+    t = F.col(text)
+    forms = F.coalesce(*[F.when(t.rlike(p), F.regexp_replace(t, p, order)) for p, order in DATE_FORMS])
+    parts = df.withColumn("__p", F.split(forms, r"\|", -1))
+    at = lambda i: F.col("__p")[i]
+    month_name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), at(1)).cast("int")
+    hour = F.coalesce(at(3).try_cast("int"), F.lit(0))
+    numbers = parts.select(
+        *keep,
+        F.coalesce(at(0).try_cast("int"), F.lit(int(base_year))).alias("__y"),
+        F.length(at(0)).alias("__yl"),
+        F.when(month_name > 0, month_name).otherwise(at(1).try_cast("int")).alias("__m"),
+        at(2).try_cast("int").alias("__d"),
+        F.when((at(6) == "pm") & (hour < 12), hour + 12).when((at(6) == "am") & (hour == 12), 0).otherwise(hour).alias("__h"),
+        F.coalesce(at(4).try_cast("int"), F.lit(0)).alias("__min"),
+        F.coalesce(at(5).try_cast("int"), F.lit(0)).alias("__s"),
+        ((at(7) == "?") & (at(1).try_cast("int") > 12)).alias("__swap"),
+        F.col("__p").isNotNull().alias("__is"),
+    )
+    y, m, d = F.col("__y"), F.col("__m"), F.col("__d")
+    century = F.when(F.col("__yl") != 2, y).when(y < 69, y + 2000).otherwise(y + 1900)
+    ordered = numbers.select(
+        *keep, "__h", "__min", "__s", century.alias("__y"),
+        F.when(F.col("__swap"), d).otherwise(m).alias("__m"), F.when(F.col("__swap"), m).otherwise(d).alias("__d"), "__is",
+    )
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    month_start = F.concat_ws("-", pad(year, 4), pad(month, 2), F.lit("01")).try_cast("date")
-    last = F.dayofmonth(F.last_day(month_start))
-    day = F.coalesce(day, F.least(F.lit(int(base_day)), last))
-    minute = F.when(part(times + 1) != "", part(times + 1)).otherwise("00")
-    second = F.when(part(times + 2) != "", part(times + 2)).otherwise("00")
+    start = F.concat_ws("-", pad(y, 4), pad(m, 2), F.lit("01")).try_cast("date")
+    day = F.coalesce(d, F.least(F.lit(int(base_day)), F.dayofmonth(F.last_day(start))))
     stamp = F.concat(
-        pad(year, 4), F.lit("-"), pad(month, 2), F.lit("-"), pad(day, 2), F.lit(" "),
-        pad(hour, 2), F.lit(":"), minute, F.lit(":"), second,
+        pad(y, 4), F.lit("-"), pad(m, 2), F.lit("-"), pad(day, 2), F.lit(" "),
+        pad(F.col("__h"), 2), F.lit(":"), pad(F.col("__min"), 2), F.lit(":"), pad(F.col("__s"), 2),
     )
-    return F.when(text.rlike(pattern), stamp.try_cast("timestamp_ntz"))
-
-
-def parse_whole_date(raw: Column, base: str) -> Column:
-    """A cell that is a date with a month; missing year and day come from ``base`` (yyyy-mm-dd)."""
-    text = _normal_date(raw)
-    return F.coalesce(*[_stamp(text, form, base) for form in DATE_FORMS])
+    return ordered.select(*keep, F.when(F.col("__is"), stamp.try_cast("timestamp_ntz")).alias(out))
 
 
-_INSIDE = (
-    rf"(?:\d{{4}} )?{_MON} \d{{1,2}}(?: \d{{4}})?|\d{{1,2}} {_MON}(?: \d{{4}})?|{_MON}(?: \d{{4}})?|\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}"
-    r"|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
-)
+def add_dates(
+    df: DataFrame, raw: Column, whole: str, inside: str, base: str,
+    maybe: Column | None = None, month: Column | None = None,
+) -> DataFrame:
+    """Add ``whole``, the date a cell is, and ``inside``, the first date in a cell that is none but
+    names a month. Dates need a month; a missing year or day comes from ``base`` (yyyy-mm-dd).
+    ``maybe`` (cells worth a look) and ``month`` (cells that name one) may be given when known."""
+    keep = df.columns
+    maybe = may_be_date(raw) if maybe is None else maybe
+    month = raw.rlike(MONTH_WORD) if month is None else month
+    normal = df.withColumn("__t", F.when(maybe, _normal_date(raw)))
+    first = _whole_dates(normal, "__t", whole, base)
+    found = F.regexp_extract("__t", rf"\b({_INSIDE})\b", 1)
+    second = first.withColumn("__f", F.when(F.col(whole).isNull() & F.col("__t").isNotNull() & month, found))
+    return _whole_dates(second, "__f", inside, base).select(*keep, whole, inside)
 
 
-def parse_date_inside(raw: Column, base: str) -> Column:
-    """The first date inside a text that names a month."""
-    found = F.regexp_extract(_normal_date(raw), rf"\b({_INSIDE})\b", 1)
-    return F.when(raw.rlike(MONTH_WORD), parse_whole_date(found, base))
-
-
-def parse_date(raw: Column, base: str) -> Column:
-    return F.coalesce(parse_whole_date(raw, base), parse_date_inside(raw, base))
+def parse_dates(df: DataFrame, raw: Column, out: str, base: str) -> DataFrame:
+    """Add ``out``: the date of a cell, else the first date inside it."""
+    dated = add_dates(df, raw, "__whole", "__inside", base)
+    return dated.select(*df.columns, F.coalesce("__whole", "__inside").alias(out))
 
 
 _CLOCK = r"^\s*([+-])?\s*(?:(?:(?:(\d+):)?(\d+):)?(\d{1,2}))?:(\d{2}(?:\.\d+)?)\s*$"
@@ -125,23 +143,29 @@ _UNITS = (
 )
 
 
+_CLOCK_CELL = r"^\s*[+-]?\s*(?:\d{1,2}|\d+:\d{2}|\d+:\d{2}:\d{2})?:\d{2}(?:\.\d+)?\s*$"
+
+
+def is_duration(raw: Column) -> Column:
+    return raw.rlike(_CLOCK_CELL) | (raw.rlike(r"\d") & raw.rlike(_UNITS))
+
+
+def _weighted(raw: Column, pattern: str, weights: list[int]) -> Column:
+    """Sum of the numbers a pattern finds, each in seconds; group 1 is the sign."""
+    groups = F.transform(
+        F.array(*[F.regexp_extract(raw, pattern, i + 2) for i in range(len(weights))]),
+        lambda g: F.coalesce(g.try_cast("double"), F.lit(0.0)),
+    )
+    seconds = F.zip_with(groups, F.array(*[F.lit(float(w)) for w in weights]), lambda g, w: g * w)
+    sign = F.when(F.regexp_extract(raw, pattern, 1) == "-", -1.0).otherwise(1.0)
+    return sign * F.aggregate(seconds, F.lit(0.0), lambda a, x: a + x)
+
+
 def parse_duration(raw: Column) -> Column:
     """Seconds of a duration: ``33:45``, ``1:02:03.5``, ``2h 30m``; null when it is none."""
-    def total(pattern: str, weights: list[int]) -> Column:
-        parts = [
-            F.coalesce(F.regexp_extract(raw, pattern, i + 2).try_cast("double"), F.lit(0.0)) * w
-            for i, w in enumerate(weights)
-        ]
-        sign = F.when(F.regexp_extract(raw, pattern, 1) == "-", -1.0).otherwise(1.0)
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole + p
-        return sign * whole
-
-    two_digits = raw.rlike(r"^\s*[+-]?\s*(?:\d{1,2}|\d+:\d{2}|\d+:\d{2}:\d{2})?:\d{2}(?:\.\d+)?\s*$")
     return (
-        F.when(two_digits, total(_CLOCK, [86400, 3600, 60, 1]))
-        .when(raw.rlike(_UNITS) & raw.rlike(r"\d"), total(_UNITS, [604800, 86400, 3600, 60, 1]))
+        F.when(raw.rlike(_CLOCK_CELL), _weighted(raw, _CLOCK, [86400, 3600, 60, 1]))
+        .when(raw.rlike(r"\d") & raw.rlike(_UNITS), _weighted(raw, _UNITS, [604800, 86400, 3600, 60, 1]))
     )
 
 

@@ -14,34 +14,19 @@ COLUMN = ["table_id", "col_idx"]
 BASE_DATE = "2023-07-30"
 
 
-def is_date(raw: Column, header: Column, base: str = BASE_DATE) -> Column:
-    month, whole = raw.rlike(X.MONTH_WORD), P.parse_whole_date(raw, base).isNotNull()
-    looks = month | header.rlike(X.DATE_WORD) | raw.rlike(X.YEAR_INSIDE) | raw.rlike(X.SLASH_DATE)
-    inside = ~whole & month & P.parse_date_inside(raw, base).isNotNull()
-    return ~raw.rlike(X.NUMBER_CELL) & ((whole & looks) | inside)
-
-
-def is_number(raw: Column) -> Column:
-    return raw.rlike(X.NUMBER_CELL)
-
-
-def has_year(raw: Column) -> Column:
-    return raw.rlike(X.YEAR_INSIDE)
-
-
 def is_time(raw: Column) -> Column:
-    return P.parse_duration(raw).isNotNull() | raw.rlike(X.SECONDS_CELL)
+    return P.is_duration(raw) | raw.rlike(X.SECONDS_CELL)
 
 
-def rank_columns(present: DataFrame, digit_columns: DataFrame) -> DataFrame:
-    """Columns of ``digit_columns`` whose numbers never fall and rise by at most one, row by row.
+def rank_columns(cells: DataFrame) -> DataFrame:
+    """Columns whose whole numbers never fall and rise by at most one, row by row.
 
     That holds when the distinct numbers have no gap and every number's last row comes before the
     first row of the next number, so distinct numbers are compared by an equi-join with their
-    successor; rows need no ordering.
+    successor; rows need no ordering. Cells of other kinds are not looked at here.
     """
     numbers = (
-        present.join(digit_columns.select(*COLUMN), COLUMN, "left_semi")
+        cells.where(F.col("raw").rlike(X.DIGITS_CELL))
         .groupBy(*COLUMN, F.col("raw").try_cast("decimal(38,0)").alias("v"))
         .agg(F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
     )
@@ -60,21 +45,30 @@ def rank_columns(present: DataFrame, digit_columns: DataFrame) -> DataFrame:
 
 
 def column_checks(cells: DataFrame, base: str = BASE_DATE) -> DataFrame:
-    """One pass over the non-empty cells of every column: which types would all of them allow?"""
-    raw, header = F.col("raw"), F.col("col_name")
-    marked = cells.where(F.col("processed").isNotNull()).select(
-        *COLUMN, "col_name", "raw",
-        is_date(raw, header, base).alias("date"), has_year(raw).alias("year"), is_number(raw).alias("num"),
-        is_time(raw).alias("time"), raw.contains(":").cast("int").alias("colon"),
-        raw.rlike(X.DIGITS_CELL).alias("digits"), raw.rlike(X.NO_DIGITS).alias("str"), P.number_count(raw).alias("numbers"),
+    """One pass over the cells: which types would all non-empty cells of a column allow? The checks of
+    an empty cell are null, which the aggregates skip."""
+    raw, header = F.col("processed"), F.col("col_name")
+    digit, month, num = F.col("digit"), F.col("month"), F.col("num")
+    # cheap marks first: they spare most cells the expensive patterns
+    kept = cells.select(*COLUMN, "col_name", "processed", (~raw.rlike(X.NO_DIGITS)).alias("digit"), raw.rlike(X.MONTH_WORD).alias("month"))
+    kept = kept.withColumn("num", digit & raw.rlike(X.NUMBER_CELL))
+    maybe = ~num & (month | (digit & raw.rlike(P.NUMERIC_DATE)))
+    dated = P.add_dates(kept, raw, "whole", "inside", base, maybe, month)
+    looks = month | header.rlike(X.DATE_WORD) | raw.rlike(X.YEAR_INSIDE) | raw.rlike(X.SLASH_DATE)
+    is_date = ~num & ((F.col("whole").isNotNull() & looks) | F.col("inside").isNotNull())
+    marked = dated.select(
+        *COLUMN, "col_name", "processed", is_date.alias("date"), "num",
+        (digit & raw.rlike(X.YEAR_INSIDE)).alias("year"), (digit & is_time(raw)).alias("time"),
+        raw.contains(":").cast("int").alias("colon"), (num & raw.rlike(X.DIGITS_CELL)).alias("digits"), (~digit).alias("str"),
+        F.when(digit, P.number_count(raw)).when(~digit, 0).alias("numbers"),
     )
     return marked.groupBy(*COLUMN).agg(
         F.first("col_name").alias("col_name"),
-        F.count(F.lit(1)).alias("cells"),
+        F.count("processed").alias("cells"),
         *[F.bool_and(c).alias(c) for c in ("date", "year", "num", "time", "digits", "str")],
         F.sum("colon").alias("colons"),
         F.min("numbers").alias("least"), F.max("numbers").alias("most"),
-        (F.min("raw") == F.max("raw")).alias("all_equal"),
+        (F.min("processed") == F.max("processed")).alias("all_equal"),
     )
 
 
@@ -82,13 +76,13 @@ def infer_types(cells: DataFrame, base: str = BASE_DATE) -> DataFrame:
     """(table_id, col_idx, col_name, coltype) of cleaned cells: the first type that all non-empty
     cells allow, from the strictest; ``mixed`` when none does, ``empty`` without such cells."""
     checks = column_checks(cells, base)
-    present = cells.where(F.col("processed").isNotNull()).select(*COLUMN, "row_idx", "raw")
     may_rank = F.col("digits") & ~F.col("all_equal")
     titled = F.col("col_name").startswith("rank")
-    ordered = rank_columns(present, checks.where(may_rank & ~titled)).withColumn("ordered", F.lit(True))
+    ordered = rank_columns(cells.where(F.col("processed").isNotNull())).withColumn("ordered", F.lit(True))
     same_n = (F.col("least") == F.col("most")) & (F.col("least") > 0)
     coltype = (
-        F.when(F.col("date"), "date")
+        F.when(F.col("cells") == 0, "empty")
+        .when(F.col("date"), "date")
         .when(same_n & F.col("year"), "year")
         .when(may_rank & (titled | F.coalesce("ordered", F.lit(False))), "rank")
         .when(F.col("num"), "num")
@@ -97,11 +91,7 @@ def infer_types(cells: DataFrame, base: str = BASE_DATE) -> DataFrame:
         .when(F.col("str"), "str")
         .otherwise("mixed")
     )
-    found = checks.join(ordered, COLUMN, "left_outer").select(*COLUMN, coltype.alias("coltype"))
-    columns = cells.groupBy(*COLUMN).agg(F.first("col_name").alias("col_name"))
-    return columns.join(found, COLUMN, "left_outer").select(
-        *COLUMN, "col_name", F.coalesce("coltype", F.lit("empty")).alias("coltype")
-    )
+    return checks.join(ordered, COLUMN, "left_outer").select(*COLUMN, "col_name", coltype.alias("coltype"))
 
 
 def parse_cells(cells: DataFrame, coltypes: DataFrame, base: str = BASE_DATE) -> DataFrame:
@@ -111,13 +101,14 @@ def parse_cells(cells: DataFrame, coltypes: DataFrame, base: str = BASE_DATE) ->
     value = F.col("processed")
     kind = F.col("coltype")
     typed = cells.join(coltypes.select(*COLUMN, "coltype"), COLUMN)
-    return typed.select(
+    dated = P.parse_dates(typed, F.when(kind == "date", value), "ts", base)
+    return dated.select(
         *cells.columns,
         "coltype",
         F.when(kind.isin("num", "rank"), P.parse_number(value)).when(kind == "time", P.parse_seconds(value)).alias("num"),
         F.when(kind.isin("num", "rank", "time"), value.contains(".")).alias("is_float"),
         F.when(kind.isin("year", "same_n_nums"), P.parse_numbers(value)).alias("nums"),
-        F.when(kind == "date", P.parse_date(value, base)).alias("ts"),
+        "ts",
     )
 
 
