@@ -126,7 +126,10 @@ def add_dates(
     first = _whole_dates(normal, "__t", whole, base)
     found = F.regexp_extract("__t", rf"\b({_INSIDE})\b", 1)
     second = first.withColumn("__f", F.when(F.col(whole).isNull() & F.col("__t").isNotNull() & month, found))
-    return _whole_dates(second, "__f", inside, base).select(*keep, whole, inside)
+    dated = _whole_dates(second, "__f", inside, base)
+    # A filter on a date must not be pushed below the steps, which would repeat them all in one
+    # condition: it stops at the generator of this one-row array.
+    return dated.select(*keep, F.inline(F.array(F.struct(whole, inside))))
 
 
 def parse_dates(df: DataFrame, raw: Column, out: str, base: str) -> DataFrame:

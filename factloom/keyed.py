@@ -17,6 +17,7 @@ class KeyedTable:
 
     ``by``     columns that identify a table; empty for one big table.
     ``order``  columns that give the row order inside a table (used for first-row ties).
+    ``hot``    whether a table is too large for one task, when known; else looked up on first use.
     ``raw``    value column -> column with its original text; without an entry the text is derived
                from the value.
     """
@@ -28,12 +29,15 @@ class KeyedTable:
         order: Sequence[str] = (),
         raw: Mapping[str, str] | None = None,
         task_rows: int = TASK_ROWS,
+        hot: bool | None = None,
     ):
         self.df = df
         self.by = list(by)
         self.order = list(order)
         self.raw = dict(raw or {})
         self.task_rows = task_rows
+        if hot is not None:
+            self.__dict__["hot"] = hot
 
     @cached_property
     def hot(self) -> bool:

@@ -116,6 +116,15 @@ def frequent_ngrams(t: KeyedTable, col: str) -> DataFrame:
     return drop_explained(t.by, clean_ngrams(ngram_counts(t, col)))
 
 
+def short_containment(t: KeyedTable, col: str, candidates: DataFrame) -> DataFrame:
+    """(by, candidate, txt): distinct texts that contain a candidate of up to three tokens; a text that
+    is itself a candidate is found whatever its length."""
+    texts = distinct_texts(t, col).select(*t.by, "txt", "words")
+    grams = F.array_distinct(F.concat(F.array("txt"), *[runs(F.col("words"), n) for n in range(1, MAX_N + 1)]))
+    listed = texts.select(*t.by, "txt", F.explode(grams).alias("candidate"))
+    return join_on(listed, candidates, [*t.by, "candidate"])
+
+
 def containment_counts(t: KeyedTable, col: str, candidates: DataFrame) -> DataFrame:
     """(by, candidate, n_rows): rows whose text contains the candidate as a run of whole tokens.
 
