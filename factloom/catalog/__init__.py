@@ -29,9 +29,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def build() -> Catalog:
-    from factloom.catalog import corpus, profiles, scores, statements
+    from factloom.catalog import corpus, profiles, scores, statements, templates
 
     catalog = Catalog()
-    for module in (statements, corpus, profiles, scores):
+    for module in (statements, corpus, profiles, scores, templates):
         module.register(catalog)
     return catalog

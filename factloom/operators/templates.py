@@ -1,7 +1,8 @@
 """Templates of statements as data: tokens, nodes, skeletons and validity, for a relation of templates.
 
 A template is a text ``func { arg ; arg }`` whose arguments are column names, ``all_rows``, the hole
-``X`` or further functions. Everything here works inside a row, so no template is shuffled.
+``X`` or further functions. A text is taken apart inside its row, and once however many tables it
+belongs to.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def token_array(lf: Column) -> Column:
     body = F.when(lf.endswith("true"), F.substring(lf, F.lit(1), F.length(lf) - 7)).otherwise(lf)
     named = F.regexp_replace(body, r"; (?=[};])", "; [None] ")
     marked = F.regexp_replace(F.concat(F.lit(" "), named), r" ([{};])(?= |\z)", "\u0001$1\u0001")
-    pieces = F.filter(F.transform(F.split(marked, "\u0001", -1), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(marked, "\u0001", -1), lambda p: F.trim(p)), lambda p: p != "")
     return F.transform(pieces, lambda p: F.when(p == "[None]", "").otherwise(p))
 
 
@@ -47,31 +48,41 @@ def _is_mark(t: Column) -> Column:
     return t.isin("{", "}", ";")
 
 
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator of one row: what follows cannot pull their expressions into its
+    own lambdas, where they would be computed again for every element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def add_nodes(templates: DataFrame) -> DataFrame:
-    """Adds ``nodes``: (node_id, parent_id, arg_pos, depth, func, leaf) of every function and leaf, and
-    ``balanced``. The depth of a token is the number of braces open before it."""
+    """Adds ``tokens``, ``nodes``: (node_id, parent_id, arg_pos, depth, func, leaf) of every function and
+    leaf, and ``balanced``. The depth of a token is the number of braces open before it. Every distinct
+    text is taken apart once and joined back to its tables."""
+    texts = _step(templates.select("lf").distinct(), tokens=token_array(F.col("lf")))
     tokens = F.col("tokens")
     opened = lambda i: F.aggregate(
         F.slice(tokens, 1, i - 1), F.lit(0), lambda a, t: a + F.when(t == "{", 1).when(t == "}", -1).otherwise(0))
-    depths = templates.withColumn("__d", F.transform(F.sequence(F.lit(1), F.size(tokens) + 1), opened))
+    depths = _step(texts, __d=F.transform(F.sequence(F.lit(1), F.size(tokens) + 1), opened))
     d = F.col("__d")
-    item = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"), F.get(tokens, i + 1).eqNullSafe(F.lit("{")).alias("f"), F.get(d, i).alias("d"))),
-        lambda x: ~_is_mark(x["t"]))
-    items = depths.withColumn("__i", item)
-    parent = lambda x: F.array_max(F.transform(F.filter("__i", lambda y: (y["i"] < x["i"]) & y["f"] & (y["d"] == x["d"] - 1)), lambda y: y["i"]))
-    with_parent = items.withColumn("__n", F.transform("__i", lambda x: F.struct(
-        x["i"].alias("node_id"), parent(x).alias("parent_id"), x["d"].alias("depth"), F.when(x["f"], x["t"]).alias("func"), F.when(~x["f"], x["t"]).alias("leaf"))))
+    item = lambda t, i: F.struct(i.alias("i"), t.alias("t"), F.get(tokens, i + 1).eqNullSafe(F.lit("{")).alias("f"), F.get(d, i).alias("d"))
+    items = _step(depths, __i=F.filter(F.transform(tokens, item), lambda x: ~_is_mark(x["t"])))
+    parent = lambda x: F.array_max(F.transform(
+        F.filter("__i", lambda y: (y["i"] < x["i"]) & y["f"] & (y["d"] == x["d"] - 1)), lambda y: y["i"]))
+    with_parent = _step(items, __n=F.transform("__i", lambda x: F.struct(
+        x["i"].alias("node_id"), parent(x).alias("parent_id"), x["d"].alias("depth"),
+        F.when(x["f"], x["t"]).alias("func"), F.when(~x["f"], x["t"]).alias("leaf"))))
     position = lambda x: F.size(F.filter("__n", lambda y: (y["node_id"] < x["node_id"]) & y["parent_id"].eqNullSafe(x["parent_id"])))
     nodes = F.transform("__n", lambda x: F.struct(
-        x["node_id"].alias("node_id"), x["parent_id"].alias("parent_id"), position(x).alias("arg_pos"), x["depth"].alias("depth"), x["func"].alias("func"), x["leaf"].alias("leaf")))
+        x["node_id"].alias("node_id"), x["parent_id"].alias("parent_id"), position(x).alias("arg_pos"),
+        x["depth"].alias("depth"), x["func"].alias("func"), x["leaf"].alias("leaf")))
     balanced = (F.element_at(d, -1) == 0) & (F.array_min(d) >= 0) & F.array_contains(tokens, "{")
-    return with_parent.withColumn("nodes", nodes).withColumn("balanced", balanced).drop("__d", "__i", "__n")
+    parsed = _step(with_parent, nodes=nodes, balanced=balanced).select("lf", "tokens", "nodes", "balanced")
+    return templates.join(parsed, "lf")
 
 
 def template_nodes(templates: DataFrame) -> DataFrame:
     """One row per node: (template_id, node_id, parent_id, arg_pos, depth, func, leaf)."""
-    return add_nodes(add_tokens(templates)).select("template_id", F.explode("nodes").alias("n")).select("template_id", "n.*")
+    return add_nodes(templates).select("template_id", F.explode("nodes").alias("n")).select("template_id", "n.*")
 
 
 def canonical(tokens: Column) -> Column:
@@ -94,7 +105,7 @@ def check(templates: DataFrame, headers: DataFrame) -> DataFrame:
     arguments and at most one hole each. headers (table_id, types MAP<column, type>)."""
     known = F.create_map(*[x for f, n in ARITY.items() for x in (F.lit(f), F.lit(n))])
     typed = F.create_map(*[x for f, ts in TYPES.items() for x in (F.lit(f), F.array(*[F.lit(t) for t in ts]))])
-    rows = add_nodes(add_tokens(templates)).join(headers.select("table_id", "types"), "table_id")
+    rows = add_nodes(templates).join(headers.select("table_id", "types"), "table_id")
     nodes = F.col("nodes")
     parent = lambda x: F.get(F.filter(nodes, lambda y: y["node_id"] == x["parent_id"]), F.lit(0))
     leaf_ok = lambda x: F.when(x["leaf"].isin("all_rows", "X"), F.lit(True)).otherwise(

@@ -19,6 +19,7 @@ from factloom.operators import aggregates, compare, majority, selectors, superla
 from factloom.operators import ngrams
 from factloom.operators.templates import TYPES, add_tokens, canonical
 from factloom.plans.ranking import is_hot, join_on
+from factloom.session import materialise
 
 _COLUMN = r"((?!X )[^{};]+?)"
 _SHAPE = (
@@ -70,14 +71,14 @@ def _keyed(rows: DataFrame, cls: str, hot: bool) -> KeyedTable:
     return KeyedTable(picked, KEY, ["row_idx"], raw={cls: "raw"}, hot=hot)
 
 
-def _per_class(rows: DataFrame, func: str, run, hot: bool) -> DataFrame:
-    """``run`` over the value column of each class of types the function takes."""
-    allowed = TYPES.get(func)
-    used = [c for c, kinds in CLASSES.items() if allowed is None or set(kinds) & set(allowed)]
+def _per_class(rows: DataFrame, func: str, run, hot: bool, kinds: set[str]) -> DataFrame:
+    """``run`` over the value column of each class of types that the function takes and that occurs."""
+    allowed = kinds if func not in TYPES else kinds & set(TYPES[func])
+    used = [c for c, members in CLASSES.items() if allowed & set(members)] or ["num"]
     return reduce(DataFrame.unionByName, [run(_keyed(rows, c, hot), c) for c in used])
 
 
-def _eq_members(rows: DataFrame, hot: bool) -> DataFrame:
+def _eq_members(rows: DataFrame, hot: bool, kinds: set[str]) -> DataFrame:
     """(table_id, template_id, sel, row_idx) of the rows every option of ``filter_eq`` selects; a text
     selects the rows that contain it."""
     def members(t: KeyedTable, cls: str) -> DataFrame:
@@ -87,7 +88,7 @@ def _eq_members(rows: DataFrame, hot: bool) -> DataFrame:
             return join_on(pairs, t.df.select(*KEY, F.col("raw").alias("txt"), "row_idx"), [*KEY, "txt"]).select(*KEY, F.col("candidate").alias("filled"), "row_idx")
         return join_on(t.df.select(*KEY, F.col("raw").alias("filled"), "row_idx"), options, [*KEY, "filled"])
 
-    found = _per_class(rows, "filter_eq", members, hot)
+    found = _per_class(rows, "filter_eq", members, hot, kinds)
     sel = F.concat(F.lit("filter_eq { all_rows ; "), "selcol", F.lit(" ; "), "filled", F.lit(" }"))
     named = rows.select("table_id", "template_id", "selcol").distinct()
     return found.join(named, ["table_id", "template_id"]).select("table_id", "template_id", sel.alias("sel"), "row_idx").distinct()
@@ -101,16 +102,23 @@ def fill(templates: DataFrame, cells: DataFrame) -> DataFrame:
     shaped = shapes(templates)
     present = {(r.func, r.selfunc, r.hop) for r in shaped.select("func", "selfunc", "hop").distinct().collect()}
     hot = is_hot(cells, ["table_id"])
+    kinds_of = lambda df: {r[0] for r in df.select("coltype").distinct().collect()}
     everything = shaped.withColumn("sel", F.lit("all_rows"))
 
-    selecting = _with_cells(
-        everything.where(F.col("selfunc") != "").select(*KEY, "func", "selfunc", "selcol", "col"), cells, "selcol")
-    scoped = _with_cells(everything.where((F.col("selfunc") == "") & (F.col("col") != "")).select(*KEY, "func", "col", "hop"), cells, "col")
+    # One branch per function and column type reads these relations, so they are written down once.
+    selecting = materialise(_with_cells(
+        everything.where(F.col("selfunc") != "").select(*KEY, "func", "selfunc", "selcol", "col"), cells, "selcol"))
+    scoped = _with_cells(everything.where((F.col("selfunc") == "") & (F.col("col") != "")).select(*KEY, "func", "selfunc", "col", "hop"), cells, "col")
     if any(s == "filter_eq" and f not in ("count", "only") for f, s, _ in present):
         inner = selecting.where((F.col("selfunc") == "filter_eq") & ~F.col("func").isin("count", "only"))
-        chosen = _eq_members(inner, hot).join(shaped.select("table_id", "template_id", "func", "col", "hop"), ["table_id", "template_id"])
+        chosen = _eq_members(inner, hot, kinds_of(inner)).join(shaped.select("table_id", "template_id", "func", "selfunc", "col", "hop"), ["table_id", "template_id"])
         scoped = scoped.unionByName(_with_cells(chosen, cells, "col"), allowMissingColumns=True)
 
+    scoped = materialise(scoped)
+    kinds: dict[tuple, set[str]] = {}
+    for r in scoped.select("func", "hop", "coltype").distinct().collect():
+        kinds.setdefault((r.func, r.hop), set()).add(r.coltype)
+
     parts: list[DataFrame] = []
     add = lambda df, filled, out: parts.append(df.select(*KEY, filled.alias("filled"), out.alias("out")))
     none, filled, out = F.lit(None).cast("string"), F.col("filled"), F.col("out")
@@ -118,20 +126,21 @@ def fill(templates: DataFrame, cells: DataFrame) -> DataFrame:
         if func in ("count", "only") and selfunc in SELECTORS:
             limit = "many" if func == "count" else "one"
             mine = selecting.where((F.col("func") == func) & (F.col("selfunc") == selfunc))
-            found = _per_class(mine, selfunc, lambda t, c: SELECTORS[selfunc](t, c, rows=limit), hot)
+            found = _per_class(mine, selfunc, lambda t, c: SELECTORS[selfunc](t, c, rows=limit), hot, kinds_of(mine))
             add(found, filled, F.col("val_count").cast("string"))
             continue
         if selfunc not in ("", "filter_eq"):
             continue
-        mine = scoped.where((F.col("func") == func) & (F.col("hop") == hop))
+        mine = scoped.where((F.col("func") == func) & (F.col("hop") == hop) & (F.col("selfunc") == selfunc))
+        found_kinds = kinds.get((func, hop), set())
         if func in SCALARS:
-            add(_per_class(mine, func, SCALARS[func], hot), none, out)
+            add(_per_class(mine, func, SCALARS[func], hot, found_kinds), none, out)
         elif func in CLAIMS:
-            add(_per_class(mine, func, CLAIMS[func], hot), filled, none)
+            add(_per_class(mine, func, CLAIMS[func], hot, found_kinds), filled, none)
         elif func in NTH:
-            add(_per_class(mine, func, NTH[func], hot), F.col("nth").cast("string"), F.col("raw"))
+            add(_per_class(mine, func, NTH[func], hot, found_kinds), F.col("nth").cast("string"), F.col("raw"))
         elif hop and func in (*ROWS, *NTH_ROWS, *SELECTORS):
-            add(_hopped(mine, shaped, cells, func, hot), filled, out)
+            add(_hopped(mine, shaped, cells, func, hot, found_kinds), filled, out)
 
     if not parts:
         return templates.sparkSession.createDataFrame([], "table_id string, template_id string, statement string")
@@ -139,7 +148,7 @@ def fill(templates: DataFrame, cells: DataFrame) -> DataFrame:
     return options.select("table_id", "template_id", _statement().alias("statement")).distinct()
 
 
-def _hopped(rows: DataFrame, shaped: DataFrame, cells: DataFrame, func: str, hot: bool) -> DataFrame:
+def _hopped(rows: DataFrame, shaped: DataFrame, cells: DataFrame, func: str, hot: bool, kinds: set[str]) -> DataFrame:
     """(KEY, filled, out): the cell of the hop column in the row a function picks."""
     def pick(t: KeyedTable, cls: str) -> DataFrame:
         if func in ROWS:
@@ -153,7 +162,7 @@ def _hopped(rows: DataFrame, shaped: DataFrame, cells: DataFrame, func: str, hot
         extreme = superlatives.col_argmax if "greater" in func else superlatives.col_argmin
         return join_on(extreme(t, cls).select(*KEY, "row_idx"), single, KEY)
 
-    rows_found = _per_class(rows, func, pick, hot)
+    rows_found = _per_class(rows, func, pick, hot, kinds)
     named = rows_found.join(shaped.select("table_id", "template_id", "hopcol"), ["table_id", "template_id"])
     return _with_cells(named, cells, "hopcol").select(*KEY, "filled", F.col("raw").alias("out"))
 
