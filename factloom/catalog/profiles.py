@@ -10,6 +10,7 @@ from factloom.functions import parsing as P
 from factloom.operators import coltypes as T
 from factloom.operators import corpus as C
 from factloom.operators import profiles as D
+from factloom.session import materialise
 
 # name -> (Spark, SQL) text of a column
 COLUMNS = {
@@ -40,6 +41,11 @@ def typed(spark, sf):
     return T.parse_cells(clean, T.infer_types(clean))
 
 
+def parsed(spark, sf):
+    """The parsed corpus, written down once as every later job reads it several times."""
+    return materialise(typed(spark, sf))
+
+
 def titles(s, d):
     return read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("table_id"), F.col("c_name").alias("title"))
 
@@ -165,8 +171,8 @@ def _types(c: Catalog) -> None:
           """select event_id, strftime(ts, '%Y-%m-%d %H:%M:00') as a, strftime(ts, '%Y-%m-%d 00:00:00') as b, strftime(ts, '2023-%m-%d 00:00:00') as e, strftime(ts, '%Y-%m-%d 00:00:00') as f from events""")
     first = "f as (select ty.* from ty where row_idx = 1)"
     rev = f"{first}, rv as (select table_id, col_idx, col_name, case when coltype = 'same_n_nums' and len(nums) = 1 then 'num' else coltype end as coltype, coalesce(len(nums) = 1, false) as revised from f)"
-    c.add("revise_types", lambda s, d: T.revise_types(typed(s, d)), f"with {TYPED}, {rev} select table_id, col_idx, col_name, coltype, revised from rv")
-    c.add("query_cells", lambda s, d: T.query_cells(typed(s, d)).select("table_id", "row_idx", "col_idx", "coltype", "raw", "num", "str"),
+    c.add("revise_types", lambda s, d: T.revise_types(parsed(s, d)), f"with {TYPED}, {rev} select table_id, col_idx, col_name, coltype, revised from rv")
+    c.add("query_cells", lambda s, d: T.query_cells(parsed(s, d)).select("table_id", "row_idx", "col_idx", "coltype", "raw", "num", "str"),
           f"""with {TYPED}, {rev} select ty.table_id, row_idx, ty.col_idx, rv.coltype, raw, case when rv.coltype in ('num', 'year') then coalesce(num, nums[1]) else num end as num,
 case when rv.coltype in ('same_n_nums', 'str', 'mixed') then processed end as str from ty join rv on ty.table_id = rv.table_id and ty.col_idx = rv.col_idx""")
 
@@ -210,14 +216,14 @@ select table_id, col_idx, pos, max(x) as max, min(x) as min, round_even(sum(x),
 (year(max(o_orderdate)) * 12 + month(max(o_orderdate))) - (year(min(o_orderdate)) * 12 + month(min(o_orderdate))) as diff_months, year(max(o_orderdate)) - year(min(o_orderdate)) as diff_years from orders group by all""")
     c.add("common_stats_counts", lambda s, d: D.common_stats_counts(cells(s, d)).select("table_id", "col_idx", F.col("unique").alias("uniq"), "only_unique", "counts"), f"with {TYPED}, {STATS_V1} select * from v1")
     c.add("common_stats_groups", lambda s, d: D.common_stats_groups(cells(s, d)), f"with {TYPED}, {STATS_V2} select * from v2")
-    c.add("typed_stats_text", lambda s, d: D.typed_stats_text(typed(s, d)), f"with {TYPED}, {_typed_stats()} select * from ts")
-    c.add("column_stats_v1", lambda s, d: D.column_stats(typed(s, d), "v1"),
+    c.add("typed_stats_text", lambda s, d: D.typed_stats_text(parsed(s, d)), f"with {TYPED}, {_typed_stats()} select * from ts")
+    c.add("column_stats_v1", lambda s, d: D.column_stats(parsed(s, d), "v1"),
           f"with {TYPED}, {STATS_V1} select table_id, col_idx, 'unique: ' || uniq || ', only unique: ' || (case when only_unique then 'True' else 'False' end) || ', counts: ' || counts as stats from v1")
-    c.add("table_features", lambda s, d: D.table_features(typed(s, d), titles(s, d), "v2", True, True, True),
+    c.add("table_features", lambda s, d: D.table_features(parsed(s, d), titles(s, d), "v2", True, True, True),
           f"""with {TYPED}, {STATS_V2}, {_typed_stats()}, f as (select table_id, col_idx, lower(col_name) as h, coltype, raw from ty where row_idx = 1),
 l as (select f.table_id, f.col_idx, 'Column ' || h || '. Type: ' || coltype || '. Stats: ' || v2.stats || coalesce(', ' || typed_stats, '') || '. Value: ' || raw || '.' as t
   from f join v2 on f.table_id = v2.table_id and f.col_idx = v2.col_idx left join ts on f.table_id = ts.table_id and f.col_idx = ts.col_idx)
 select l.table_id, 'Title: ' || c_name || '. ' || string_agg(t, ' ' order by col_idx) as input from l join customer on l.table_id = cast(c_custkey as varchar) group by l.table_id, c_name""")
-    c.add("table_features_plain", lambda s, d: D.table_features(typed(s, d), titles(s, d), include_stats=False),
+    c.add("table_features_plain", lambda s, d: D.table_features(parsed(s, d), titles(s, d), include_stats=False),
           f"""with {TYPED}, l as (select table_id, col_idx, 'Column ' || lower(col_name) || '. Type: ' || coltype || '.' as t from ct)
 select l.table_id, 'Title: ' || c_name || '. ' || string_agg(t, ' ' order by col_idx) as input from l join customer on l.table_id = cast(c_custkey as varchar) group by l.table_id, c_name""")

@@ -61,9 +61,12 @@ def ngram_counts(t: KeyedTable, col: str) -> DataFrame:
 def clean_ngrams(counts: DataFrame, min_freq: int = 3) -> DataFrame:
     """Only letters and digits, no stop word, at least ``min_freq`` occurrences, in several texts."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    # n_rows >= n_texts always holds; naming all counts keeps them in every branch of a plan, so that
+    # the branches share one shuffle of the counts
     return counts.where(
         (F.col("freq") >= min_freq)
         & (F.col("n_texts") > 1)
+        & (F.col("n_rows") >= F.col("n_texts"))
         & F.col("gram").rlike(ALNUM_WORDS)
         & ~F.arrays_overlap(tokens(F.col("gram")), stop)
     )
