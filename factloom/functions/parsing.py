@@ -82,18 +82,20 @@ def _whole_dates(df: DataFrame, text: str, out: str, base: str) -> DataFrame:
     forms = F.coalesce(*[F.when(t.rlike(p), F.regexp_replace(t, p, order)) for p, order in DATE_FORMS])
     parts = df.withColumn("__p", F.split(forms, r"\|", -1))
     at = lambda i: F.col("__p")[i]
+    # only written numbers are cast: a failing cast is an exception, which is slow
+    number = lambda i: F.when(at(i) != "", at(i).cast("int"))
     month_name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), at(1)).cast("int")
-    hour = F.coalesce(at(3).try_cast("int"), F.lit(0))
+    hour = F.coalesce(number(3), F.lit(0))
     numbers = parts.select(
         *keep,
-        F.coalesce(at(0).try_cast("int"), F.lit(int(base_year))).alias("__y"),
+        F.coalesce(number(0), F.lit(int(base_year))).alias("__y"),
         F.length(at(0)).alias("__yl"),
-        F.when(month_name > 0, month_name).otherwise(at(1).try_cast("int")).alias("__m"),
-        at(2).try_cast("int").alias("__d"),
+        F.when(month_name > 0, month_name).otherwise(number(1)).alias("__m"),
+        number(2).alias("__d"),
         F.when((at(6) == "pm") & (hour < 12), hour + 12).when((at(6) == "am") & (hour == 12), 0).otherwise(hour).alias("__h"),
-        F.coalesce(at(4).try_cast("int"), F.lit(0)).alias("__min"),
-        F.coalesce(at(5).try_cast("int"), F.lit(0)).alias("__s"),
-        ((at(7) == "?") & (at(1).try_cast("int") > 12)).alias("__swap"),
+        F.coalesce(number(4), F.lit(0)).alias("__min"),
+        F.coalesce(number(5), F.lit(0)).alias("__s"),
+        F.when(at(7) == "?", number(1) > 12).otherwise(F.lit(False)).alias("__swap"),
         F.col("__p").isNotNull().alias("__is"),
     )
     y, m, d = F.col("__y"), F.col("__m"), F.col("__d")
@@ -157,7 +159,7 @@ def _weighted(raw: Column, pattern: str, weights: list[int]) -> Column:
     """Sum of the numbers a pattern finds, each in seconds; group 1 is the sign."""
     groups = F.transform(
         F.array(*[F.regexp_extract(raw, pattern, i + 2) for i in range(len(weights))]),
-        lambda g: F.coalesce(g.try_cast("double"), F.lit(0.0)),
+        lambda g: F.when(g != "", g.cast("double")).otherwise(0.0),
     )
     seconds = F.zip_with(groups, F.array(*[F.lit(float(w)) for w in weights]), lambda g, w: g * w)
     sign = F.when(F.regexp_extract(raw, pattern, 1) == "-", -1.0).otherwise(1.0)
