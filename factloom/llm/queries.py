@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +20,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(files, folder)
 
 
+def leak_digest(found: DataFrame) -> DataFrame:
+    from factloom.llm.leaks import n_hit
+
+    hit = n_hit()
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"), F.col("leak.n_words").alias("n_words"), hit.alias("n_hit"),
+        F.size("leak.items").cast("long").alias("n_items"), F.sha2(F.array_join("leak.items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"), F.col("leak.longest").alias("longest_match"),
+    )
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of benchmark items."""
+    from factloom.llm.leaks import find_leaks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leak_digest(find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
 def register(catalog) -> None:
     catalog.add("op3_token_files", op3_token_files)
+    catalog.add("op8_decontaminate", op8_decontaminate)
