@@ -39,6 +39,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_digest(find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    from factloom.llm.simhash import grouped, hex_of
+
+    found = grouped(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select(F.col("doc.doc_id").alias("doc_id"), hex_of(F.col("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
 def register(catalog) -> None:
     catalog.add("op3_token_files", op3_token_files)
     catalog.add("op8_decontaminate", op8_decontaminate)
+    catalog.add("op9_simhash", op9_simhash)
