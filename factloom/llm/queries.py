@@ -47,7 +47,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc.doc_id").alias("doc_id"), hex_of(F.col("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    from factloom.llm.mixing import mix
+
+    found = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def register(catalog) -> None:
+    from factloom.llm.mixing import MIX_SQL
+
     catalog.add("op3_token_files", op3_token_files)
     catalog.add("op8_decontaminate", op8_decontaminate)
     catalog.add("op9_simhash", op9_simhash)
+    catalog.add("op10_mix", op10_mix, MIX_SQL)
