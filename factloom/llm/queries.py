@@ -31,6 +31,14 @@ def leak_digest(found: DataFrame) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every text and whether it is kept."""
+    from factloom.llm.rules import assess
+
+    found = assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep=["doc_id"])
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 3).alias("distance"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of benchmark items."""
     from factloom.llm.leaks import find_leaks
@@ -59,6 +67,7 @@ def register(catalog) -> None:
     from factloom.llm.mixing import MIX_SQL
 
     catalog.add("op3_token_files", op3_token_files)
+    catalog.add("op7_quality_rules", op7_quality_rules)
     catalog.add("op8_decontaminate", op8_decontaminate)
     catalog.add("op9_simhash", op9_simhash)
     catalog.add("op10_mix", op10_mix, MIX_SQL)
