@@ -264,7 +264,9 @@ def links(fps: DataFrame, most: int = MOST_BITS, crowd: int = CROWD) -> DataFram
                 who, slot = anchors(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(part[who])], ["slot", "fp"])
 
-    spread_out = fps.select("fp").mapInArrow(spread, "slot long, fp long")
+    # Few bytes a fingerprint become many rows: dealt out evenly before they do.
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    spread_out = dealt.mapInArrow(spread, "slot long, fp long")
     sorted_rows = spread_out.repartition(F.shiftright("slot", 1)).sortWithinPartitions("slot")
     found = staged(sorted_rows.mapInArrow(lambda b: compare_sorted(b, most, crowd), "kind byte, a long, b long"), "simhash-links")
     words = found.where("kind > 0").select(F.col("a").alias("word"), F.col("b").alias("fp"), (F.col("kind") == 2).alias("far"))
