@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kind_count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def secret_digest(found: DataFrame) -> DataFrame:
+    from factloom.llm.secret_scan import KINDS, listed
+
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    counts = [kind_count("secrets", k) for k in KINDS]
+    return found.select(F.col("doc.doc_id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    from factloom.llm.secret_scan import find_secrets
+
+    return secret_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as ids in token files, described from what the files say."""
     import public_tokenizers
@@ -66,6 +85,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(catalog) -> None:
     from factloom.llm.mixing import MIX_SQL
 
+    catalog.add("op1_secrets", op1_secrets)
     catalog.add("op3_token_files", op3_token_files)
     catalog.add("op7_quality_rules", op7_quality_rules)
     catalog.add("op8_decontaminate", op8_decontaminate)
