@@ -50,6 +50,22 @@ def leak_digest(found: DataFrame) -> DataFrame:
     )
 
 
+def pii_digest(found: DataFrame) -> DataFrame:
+    from factloom.llm.pii import KINDS
+    from factloom.llm.secret_scan import listed
+
+    base = F.filter("entities", lambda s: s["kind"] != "context")
+    counts = [kind_count("entities", k) for k in KINDS]
+    return found.select(F.col("doc.doc_id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("entities")).alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    from factloom.llm.pii import find_pii
+
+    return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every text and whether it is kept."""
     from factloom.llm.rules import assess
@@ -87,6 +103,7 @@ def register(catalog) -> None:
 
     catalog.add("op1_secrets", op1_secrets)
     catalog.add("op3_token_files", op3_token_files)
+    catalog.add("op5_pii", op5_pii)
     catalog.add("op7_quality_rules", op7_quality_rules)
     catalog.add("op8_decontaminate", op8_decontaminate)
     catalog.add("op9_simhash", op9_simhash)
