@@ -50,6 +50,14 @@ def leak_digest(found: DataFrame) -> DataFrame:
     )
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    from factloom.llm.urls import judge
+
+    found = judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
+    return found.select(F.col("page.page_id").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 4).alias("score"), "threshold")
+
+
 def pii_digest(found: DataFrame) -> DataFrame:
     from factloom.llm.pii import KINDS
     from factloom.llm.secret_scan import listed
@@ -103,6 +111,7 @@ def register(catalog) -> None:
 
     catalog.add("op1_secrets", op1_secrets)
     catalog.add("op3_token_files", op3_token_files)
+    catalog.add("op4_url_filter", op4_url_filter)
     catalog.add("op5_pii", op5_pii)
     catalog.add("op7_quality_rules", op7_quality_rules)
     catalog.add("op8_decontaminate", op8_decontaminate)
