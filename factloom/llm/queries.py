@@ -74,6 +74,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that passages of each text are like, with the dice coefficient in millionths."""
+    from factloom.llm.licences import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    text = F.transform("licences", lambda x: F.concat_ws(":", x["licence"], F.round(x["dice"] * 1000000).cast("long").cast("string")))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), F.size("licences").cast("long").alias("n_licences"), F.array_join(text, ",").alias("licences"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every text and whether it is kept."""
     from factloom.llm.rules import assess
@@ -107,12 +116,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def register(catalog) -> None:
+    from factloom.llm.licences import scan_sql
     from factloom.llm.mixing import MIX_SQL
 
     catalog.add("op1_secrets", op1_secrets)
     catalog.add("op3_token_files", op3_token_files)
     catalog.add("op4_url_filter", op4_url_filter)
     catalog.add("op5_pii", op5_pii)
+    catalog.add("op6_licences", op6_licences, scan_sql())
     catalog.add("op7_quality_rules", op7_quality_rules)
     catalog.add("op8_decontaminate", op8_decontaminate)
     catalog.add("op9_simhash", op9_simhash)
