@@ -29,6 +29,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without strings that repeat."""
+    from factloom.llm.repeats import without_repeats
+
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as ids in token files, described from what the files say."""
     import public_tokenizers
@@ -118,8 +126,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register(catalog) -> None:
     from factloom.llm.licences import scan_sql
     from factloom.llm.mixing import MIX_SQL
+    from factloom.llm.repeats import REPEATS_SQL
 
     catalog.add("op1_secrets", op1_secrets)
+    catalog.add("op2_suffix_dedup", op2_suffix_dedup, REPEATS_SQL)
     catalog.add("op3_token_files", op3_token_files)
     catalog.add("op4_url_filter", op4_url_filter)
     catalog.add("op5_pii", op5_pii)
