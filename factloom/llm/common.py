@@ -36,14 +36,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def packed(docs: DataFrame, **more: Column) -> DataFrame:
-    """The whole row as the struct ``doc`` next to new columns, so that no column of the caller can clash with ours."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *[v.alias(k) for k, v in more.items()])
+def beside(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows at most (counted now); else the join shuffles.
 
-
-def unpacked(df: DataFrame) -> DataFrame:
-    """The rows that ``packed`` took."""
-    return df.select("doc.*")
+    For staged tables of one row a group, whose number of groups is not known before.
+    """
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

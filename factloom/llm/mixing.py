@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import staged, without, word_count
+from factloom.llm.common import beside, staged, without, word_count
 
 # Fixed values of the mix: weights of the sources in code point order, repeated, and all words it takes, in percent.
 WEIGHTS = (3, 1, 2)
@@ -79,17 +79,19 @@ def plan(rows: DataFrame) -> DataFrame:
     # Only the part in which the budget ends needs its rows in order.
     edge = placed.where((F.col("rest") > 0) & (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("part_size") > F.col("rest")))
     inside = rows.join(edge.select(*_S, "part", "before", "rest"), [*_S, "part"])
-    upto = W.partitionBy(*_S, "part").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    # Rows alike in all that orders them are taken together.
+    upto = W.partitionBy(*_S, "part").orderBy("turn").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = inside.withColumn("run", F.col("before") + F.sum("size").over(upto)).where("run <= rest").groupBy(*_S).agg(F.max("turn").alias("turn"), F.max("run").alias("run"))
     cuts = (
         aims.join(edge.select(*_S, "part", "before"), _S, "left").join(last, _S, "left")
         .select(*_S, "source_size", "target", "epochs", F.col("part").alias("edge_part"), F.col("turn").alias("cut"), (F.col("rest") - F.coalesce("run", "before", F.lit(0))).alias("gap"))
     )
     cuts = staged(cuts, "mix-cuts")
+    left = rows.join(beside(cuts.where("edge_part is not null")), _S).where(~_fits() & (F.col("size") < 2 * F.col("gap")))
+    alike = left.groupBy(*_S, "turn").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))
-    spare = rows.join(cuts.where("edge_part is not null"), _S).where(~_fits() & (off < F.col("gap")))
-    extra = spare.groupBy(*_S).agg(F.min(F.struct(off.alias("off"), F.col("turn"))).alias("extra"))
-    return cuts.join(extra.select(*_S, F.col("extra.turn").alias("extra")), _S, "left")
+    extra = alike.where(off < F.col("gap")).groupBy(*_S).agg(F.min(F.struct(off.alias("off"), F.col("turn"))).alias("extra"))
+    return staged(cuts.join(extra.select(*_S, F.col("extra.turn").alias("extra")), _S, "left"), "mix-plan")
 
 
 def _fits() -> Column:
@@ -103,23 +105,27 @@ def mix(docs: DataFrame, weight: Column | None = None, keep: Sequence[str] | Non
 
     docs: ``doc_id``, ``text`` and ``source``, any other columns. ``weight`` (over 0) defaults to ``plainness`` of
     the text. Sizes are numbers of words; a null text has none. A null source is a source, the last one. A source
-    without words is taken once, at no words. Rows with one ``doc_id`` draw alike and are ordered by text and
-    place. Reruns over the same rows agree. No documents: no rows.
+    without words is taken once, at no words. Rows with one ``doc_id`` draw alike and are ordered by text; rows
+    with one ``doc_id`` and text are taken together. Reruns over the same rows agree. No documents: no rows.
     """
-    keep = docs.columns if keep is None else keep
     text = docs["text"]
     key = draw(docs["doc_id"], plainness(text) if weight is None else weight)
+    kept = docs.columns if keep is None else keep
     named = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in keep]).alias("doc"), docs["source"].isNull().alias("no_source"), F.coalesce(docs["source"], F.lit("")).alias("source_key"),
+        F.struct(*[docs[f"`{c}`"] for c in kept]).alias("doc"), docs["source"].isNull().alias("no_source"), F.coalesce(docs["source"], F.lit("")).alias("source_key"),
         word_count(text).alias("size"), key.alias("key"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("hash"),
-        F.monotonically_increasing_id().alias("row_no"),
     )
     part = F.floor(F.lit(KEY_PARTS) * F.col("key") / (1.0 + F.col("key"))).cast("int")
-    rows = staged(named.select("doc", *_S, "size", F.struct("key", "id", "hash", "row_no").alias("turn"), part.alias("part")), "mix-rows")
-    aims = plan(rows.drop("doc"))
+    rows = named.select("doc", *_S, "size", F.struct("key", "id", "hash").alias("turn"), part.alias("part"))
+    if keep is None:
+        # Whole rows are read a second time, so that no second copy of them is written.
+        aims = plan(staged(rows.drop("doc"), "mix-rows"))
+    else:
+        rows = staged(rows, "mix-rows")
+        aims = plan(rows.drop("doc"))
     chosen = _fits() | F.coalesce(F.col("turn") == F.col("extra"), F.lit(False))
     copies = F.col("epochs") + chosen.cast("int")
-    found = rows.join(aims, _S).withColumn("copies", copies)
+    found = rows.join(beside(aims), _S).withColumn("copies", copies)
     return found.select("doc", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import BLANK_CHARS, staged, without, word_list
+from factloom.llm.common import BLANK_CHARS, beside, staged, without, word_list
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -88,8 +88,9 @@ def with_statistics(docs: DataFrame, keep: Sequence[str] | None = None) -> DataF
     """
     keep = docs.columns if keep is None else keep
     text = F.coalesce(docs["text"], F.lit(""))
+    doc = F.struct(*[docs[f"`{c}`"] for c in keep]) if keep else F.lit(None).cast("struct<none:string>")
     a = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in keep]).alias("doc"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"),
+        doc.alias("doc"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"),
         word_list(docs["text"]).alias("words"), F.length(without(text, BLANK_CHARS)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n", -1), lambda x: F.trim(F.translate(x, BLANK_CHARS, " " * len(BLANK_CHARS))) != "").alias("lines"),
@@ -184,10 +185,11 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, factor: float) -> DataFr
     return staged(out.select("key", *_M, *_L.values()), "rules-estimate")
 
 
-def judged(stats: DataFrame, least_group: int = LEAST_GROUP, chance: float = CHANCE) -> DataFrame:
-    """``stats`` (of ``with_statistics``, staged) with ``distance`` (squared, null where the base rules fail) and ``kept``.
+def estimates(stats: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+    """``group`` (language and source) with the centre and Cholesky factor that judge it.
 
-    Estimates rest on the documents that pass the base rules. Null languages and sources are groups of their own.
+    stats: of ``with_statistics``, staged. Estimates rest on the documents that pass the base rules. Null
+    languages and sources are groups of their own.
     """
     narrow = stats.where("not base_failed").select("lang", "source", *[x.alias(n) for x, n in zip(features(), _X)])
     levels = F.array(F.lit("all"), F.concat(F.lit("lang:"), _key(F.col("lang"))), F.concat(F.lit("both:"), _key(F.col("lang"), F.col("source"))))
@@ -199,13 +201,22 @@ def judged(stats: DataFrame, least_group: int = LEAST_GROUP, chance: float = CHA
     groups = narrow.groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = W.partitionBy("lang")
     level = F.when(F.col("n") >= least_group, F.concat(F.lit("both:"), _key(F.col("lang"), F.col("source")))).when(F.sum("n").over(by_lang) >= least_group, F.concat(F.lit("lang:"), _key(F.col("lang")))).otherwise("all")
-    used = groups.select(_key(F.col("lang"), F.col("source")).alias("group"), level.alias("key")).join(estimate, "key").drop("key")
+    return staged(groups.select(_key(F.col("lang"), F.col("source")).alias("group"), level.alias("key")).join(estimate, "key").drop("key"), "rules-used")
+
+
+def judged_by(stats: DataFrame, used: DataFrame, chance: float = CHANCE) -> DataFrame:
+    """``stats`` with ``distance`` (squared, null where the base rules fail) and ``kept``."""
     sized = stats.select("*", *[x.alias(n) for x, n in zip(features(), _X)], _key(F.col("lang"), F.col("source")).alias("group"))
     far = F.when(~F.col("base_failed"), _distance())
-    found = sized.join(used, "group", "left").select(*stats.columns, far.alias("distance"))
+    found = sized.join(beside(used), "group", "left").select(*stats.columns, far.alias("distance"))
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_point(FEATURES, 1 - chance)))
 
 
+def judged(stats: DataFrame, least_group: int = LEAST_GROUP, chance: float = CHANCE) -> DataFrame:
+    """``stats`` (of ``with_statistics``, staged) judged by estimates from themselves."""
+    return judged_by(stats, estimates(stats, least_group), chance)
+
+
 def assess(docs: DataFrame, keep: Sequence[str] | None = None, least_group: int = LEAST_GROUP, chance: float = CHANCE) -> DataFrame:
     """The kept columns of each row as ``doc``, with its statistics, ``base_failed``, ``distance`` and ``kept``.
 
@@ -214,6 +225,10 @@ def assess(docs: DataFrame, keep: Sequence[str] | None = None, least_group: int
     return judged(staged(with_statistics(docs, keep), "rules-statistics"), least_group, chance)
 
 
-def good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject."""
-    return assess(docs).where("kept").select("doc.*")
+def good(docs: DataFrame, least_group: int = LEAST_GROUP, chance: float = CHANCE) -> DataFrame:
+    """``docs`` without the rows that the rules reject.
+
+    Texts are read twice, for the estimates and for the verdicts, so that no second copy of them is written.
+    """
+    used = estimates(staged(with_statistics(docs, ()), "rules-statistics"), least_group)
+    return judged_by(with_statistics(docs), used, chance).where("kept").select("doc.*")
