@@ -121,7 +121,7 @@ def _dedupe(c: Catalog) -> None:
               turns(s, d).select("table_id", "pos", F.col("text").alias("sentence"), F.expr("case when role = 'assistant' then 1 else 0 end").alias("label"))),
           f"""with {TURNS}, u as (select *, row_number() over (partition by table_id order by pos) as k from tn where role = 'user'),
 a as (select *, row_number() over (partition by table_id order by pos) as k from tn where role = 'assistant')
-select u.table_id, u.pos, a.text as ref from u join a on u.table_id = a.table_id and u.k = a.k""")
+select u.table_id, u.pos, a.text as ref from u left join a on u.table_id = a.table_id and u.k = a.k""")
     c.add("unique_predictions", lambda s, d: C.unique_predictions(read(s, d, "documents").select(F.col("source").alias("table_id"), "text", F.col("doc_id").alias("pos"))),
           "select source as table_id, text, min(doc_id) as pos from documents group by all")
     c.add("distinct_sorted", lambda s, d: C.distinct_sorted(read(s, d, "orders").withColumn("table_id", F.col("o_custkey").cast("string")), "o_orderpriority"),

@@ -54,6 +54,32 @@ cl as (select pred_id, len(p.w) as len, arg_min(len(r.w), (abs(len(r.w) - len(p.
 LOWER = "string_split(lower(text), ' ')"
 
 
+def _evaluation_tokens(text: str) -> str:
+    """The evaluation tokenisation, one replacement around the other."""
+    x = f"replace(replace({text}, '<skipped>', ''), '-' || chr(10), '')"
+    x = f"replace({x}, chr(10), ' ')"
+    for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    x = f"(' ' || {x} || ' ')"
+    for pattern, new in ((r"([\{-\~\[-\x60 -\&\(-\+\:-@/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+
+
+def _corpus_bleu_sql() -> str:
+    count = lambda c, n: f"coalesce(max({c}) filter (n = {n}), 0)"
+    halved = lambda n: " + ".join(f"(m{i} = 0 and t{i} > 0)::int" for i in range(1, n + 1))
+    log = lambda n: f"case when t{n} > 0 then ln(case when m{n} = 0 then 1 / (pow(2.0, {halved(n)}) * t{n}) else m{n} / t{n} end) else -9999999999.0 end"
+    return f"""with {_clipped(_evaluation_tokens("rtrim(text, ' ')"), 4)},
+pooled as (select n, sum(matches) as matches, sum(total) as total from m group by n),
+s as (select {", ".join(f"{count('matches', n)} as m{n}, {count('total', n)} as t{n}" for n in (1, 2, 3, 4))} from pooled),
+l as (select sum(len)::bigint as sys_len, sum(closest)::bigint as ref_len from cl)
+select round(case when m1 + m2 + m3 + m4 = 0 then 0.0 else 100 * exp(case when sys_len < ref_len then 1 - ref_len / sys_len else 0.0 end + ({" + ".join(log(n) for n in (1, 2, 3, 4))}) / 4) end, 6) as score, sys_len, ref_len from s, l"""
+
+
+CORPUS_BLEU_SQL = _corpus_bleu_sql()
+
+
 def register(c: Catalog) -> None:
     _sampling(c)
     _metrics(c)
@@ -120,7 +146,7 @@ from m join cl on m.pred_id = cl.pred_id group by m.pred_id)"""
         return M.clipped_matches(known.withColumn("w", w), refs.withColumn("w", w), 3)
 
     c.add("clipped_matches", clipped, f"with {_clipped(LOWER, 3)} select pred_id, n, matches, total from m")
-    c.add("corpus_bleu", lambda s, d: M.corpus_bleu(*conversation_preds(s, d)))
+    c.add("corpus_bleu", lambda s, d: M.corpus_bleu(*conversation_preds(s, d)).select(F.round("score", 6).alias("score"), "sys_len", "ref_len"), CORPUS_BLEU_SQL)
     judged = "j as (select source, case when d.doc_id % 11 = 0 then '' else lang end as prediction, quality as label from documents d join labels l on d.doc_id = l.doc_id)"
 
     def judgements(s, d):

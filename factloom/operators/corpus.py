@@ -101,7 +101,7 @@ def remove_leaks(rows: DataFrame, other: DataFrame) -> DataFrame:
     rank = F.when(F.col("split") == "test", 3).when(F.col("split") == "dev", 2).otherwise(1)
     held_out = other.groupBy("table_id").agg(F.max(rank).alias("r")).where(F.col("r") > 1).select("table_id")
     train = rows.where(F.col("split") == "train").join(held_out, "table_id", "left_anti")
-    return rows.where(F.col("split") != "train").unionByName(train)
+    return rows.where(~F.col("split").eqNullSafe(F.lit("train"))).unionByName(train)
 
 
 def restrict_splits(rows: DataFrame, splits: Sequence[str] | None) -> DataFrame:
@@ -133,13 +133,13 @@ def replace_references(refs: DataFrame, statements: DataFrame, hot: bool | None
     """The k-th reference of a table becomes its k-th entailed statement.
 
     refs (table_id, pos, ...), statements (table_id, pos, sentence, label): positions order the rows
-    across all splits. A reference without a counterpart is dropped.
+    across all splits. A reference without a counterpart keeps its row with an empty ``ref``.
     """
     def kth(df: DataFrame) -> DataFrame:
         return running(df, ["table_id"], [F.col("pos")], sums={"k": F.lit(1)}, totals={}, hot=hot)
 
     entailed = kth(statements.where(F.col("label") == 1).select("table_id", "pos", "sentence"))
-    return join_on(kth(refs), entailed.select("table_id", "k", F.col("sentence").alias("ref")), ["table_id", "k"]).drop("k")
+    return join_on(kth(refs), entailed.select("table_id", "k", F.col("sentence").alias("ref")), ["table_id", "k"], "left_outer").drop("k")
 
 
 def unique_predictions(preds: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.functions.text import runs, tokens
-from factloom.plans.ranking import join_on
+from factloom.operators.ngrams import text_id
 
 # Weights of the sentence scores, and the smallest positive normal double, which stands
 # for a precision of zero.
@@ -40,14 +40,12 @@ def _tagged(n: int) -> Column:
     return F.transform(runs(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
 
-def closest_lengths(preds: DataFrame, refs: DataFrame, empty_ref: DataFrame | None = None) -> DataFrame:
+def closest_lengths(preds: DataFrame, refs: DataFrame) -> DataFrame:
     """(table_id, len, closest): for the lengths of a table's predictions, the nearest reference
     length, the shorter of two. Only distinct lengths are ordered, never texts; they are as many as
     the longest text has tokens."""
     mine = preds.select("table_id", "len").distinct()
     theirs = refs.select("table_id", F.col("len")).distinct()
-    if empty_ref is not None:
-        theirs = theirs.unionByName(empty_ref.select("table_id", F.lit(0).alias("len"))).distinct()
     both = mine.select("table_id", "len", F.lit(1).alias("asked")).unionByName(
         theirs.select("table_id", "len", F.lit(0).alias("asked")))
     lengths = both.groupBy("table_id", "len").agg(F.max("asked").alias("asked"), F.min("asked").alias("not_ref"))
@@ -67,8 +65,9 @@ def clipped_matches(preds: DataFrame, refs: DataFrame, max_n: int) -> DataFrame:
     """(pred_id, n, matches, total): n-grams of a prediction, and those found in one of its table's
     references, each as often as the reference that has it most. ``preds`` and ``refs`` have ``w``."""
     mine = _gram_counts(preds, ["pred_id", "table_id"], max_n)
-    # a reference is identified by its own text: equal references count once for the maximum
-    theirs = _gram_counts(refs.select("table_id", "text", "w").distinct(), ["table_id", "text"], max_n)
+    # a reference is identified by a hash of its text, so that its grams do not carry it along
+    named = refs.select("table_id", text_id(F.col("text")).alias("ref_id"), "w").dropDuplicates(["table_id", "ref_id"])
+    theirs = _gram_counts(named, ["table_id", "ref_id"], max_n)
     best = theirs.groupBy("table_id", "n", "gram").agg(F.max("c").alias("best"))
     joined = mine.join(best, ["table_id", "n", "gram"], "left_outer")
     return joined.groupBy("pred_id", "n").agg(
@@ -128,22 +127,22 @@ def international_tokens(text: Column) -> Column:
 def corpus_bleu(preds: DataFrame, refs: DataFrame) -> DataFrame:
     """One row (score, sys_len, ref_len): n-gram matches up to 4 pooled over all predictions, 0 to 100.
 
-    Tables with fewer references than the largest are padded with empty ones, which count as
-    references of length zero. Without references the score is null.
+    Empty references are none; a table whose references are all empty takes no part. Without references the
+    score is null.
     """
-    known = refs.select("table_id").distinct()
+    written = refs.where(F.col("text") != "")
+    known = written.select("table_id").distinct()
     p = _words(preds.join(known, "table_id", "left_semi"), international_tokens(F.rtrim("text")))
-    r = _words(refs, international_tokens(F.rtrim("text")))
-    sizes = refs.groupBy("table_id").agg(F.count(F.lit(1)).alias("refs"))
-    used = sizes.join(p.select("table_id").distinct(), "table_id", "left_semi")
-    padded = join_on(used, used.agg(F.max("refs").alias("most")), []).where(F.col("refs") < F.col("most"))
+    r = _words(written, international_tokens(F.rtrim("text")))
 
     pooled = clipped_matches(p, r, 4).groupBy("n").agg(F.sum("matches").alias("matches"), F.sum("total").alias("total"))
     stats = pooled.agg(*[
         F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}_{n}") for n in (1, 2, 3, 4) for c in ("matches", "total")])
-    lengths = p.select("table_id", "len").join(closest_lengths(p, r, padded), ["table_id", "len"]).agg(
+    lengths = p.select("table_id", "len").join(closest_lengths(p, r), ["table_id", "len"]).agg(
         F.sum("len").alias("sys_len"), F.sum("closest").alias("ref_len"))
-    one = join_on(stats, lengths, [])
+    # two frames of one row each, laid over each other
+    both = stats.unionByName(lengths, allowMissingColumns=True)
+    one = both.agg(*[F.max(c).alias(c) for c in both.columns])
 
     logs, halvings = F.lit(0.0), F.lit(0.0)
     for n in (1, 2, 3, 4):

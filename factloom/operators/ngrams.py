@@ -13,6 +13,11 @@ MAX_N = 3
 LONG_GRAM = 120
 
 
+def text_id(txt: Column) -> Column:
+    """Two hashes that stand for a text where the text itself would be repeated."""
+    return F.struct(F.xxhash64(txt).alias("h1"), F.xxhash64(F.lit(7), txt).alias("h2"))
+
+
 def distinct_texts(t: KeyedTable, col: str) -> DataFrame:
     """(by, txt, cnt, words): distinct original texts, so that copies of a cell are read once."""
     return (
@@ -102,14 +107,14 @@ def drop_explained(by: list[str], grams: DataFrame) -> DataFrame:
         .select(*by, (F.col("n") - 1).alias("n"), "freq", F.col("inner").alias("gram"))
         .distinct()
     )
-    left = grams.join(listed, [*by, "n", "freq", "gram"], "left_anti")
+    left = join_on(grams, listed, [*by, "n", "freq", "gram"], "left_anti")
     giants = longer.where(F.length("gram") > LONG_GRAM).select(
         *[F.col(b).alias(f"__{b}") for b in by],
         (F.col("n") - 1).alias("__n"),
         F.col("freq").alias("__freq"),
         F.col("gram").alias("__gram"),
     )
-    same = [F.col(b) == F.col(f"__{b}") for b in by]
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
     cond = [*same, F.col("n") == F.col("__n"), F.col("freq") == F.col("__freq"), F.col("__gram").contains(F.col("gram"))]
     return left.join(giants, cond, "left_anti")
 

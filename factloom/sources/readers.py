@@ -33,11 +33,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_labelled_statements(spark: SparkSession, path: str) -> DataFrame:
     """(table_id, pos, sentence, label) from JSON ``{table_id: [[sentences], [labels], ...]}``.
 
-    ``path`` holds one such object per line or file; lists stay together as rows of their own."""
-    schema = "map<string, array<array<string>>>"
+    ``path`` holds one such object per file. Only the first two elements of an entry are lists to read; what
+    follows (a caption) may be anything. A file that is no such object fails the read."""
     text = spark.read.text(path, wholetext=True)
-    entries = text.select(F.explode(F.from_json("value", schema)).alias("table_id", "lists"))
-    zipped = F.arrays_zip(F.get("lists", F.lit(0)).alias("sentence"), F.get("lists", F.lit(1)).alias("label"))
+    strict = {"mode": "FAILFAST"}
+    entries = text.select(F.explode(F.from_json("value", "map<string, array<string>>", strict)).alias("table_id", "parts"))
+    part = lambda i: F.from_json(F.get("parts", F.lit(i)), "array<string>", strict)
+    zipped = F.arrays_zip(part(0).alias("sentence"), part(1).alias("label"))
     each = entries.select("table_id", F.posexplode(zipped).alias("pos", "s"))
     return each.select("table_id", "pos", "s.sentence", F.col("s.label").cast("int").alias("label"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:
@@ -34,9 +35,30 @@ def write_scores(tidy: DataFrame, path: str) -> None:
     tidy.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+# One cell with what ends it: quoted (quotes inside doubled) or plain.
+_CELL = r'("(?:[^"]++|"")*+"|[^,\n]*+)(,|\n|\z)'
+
+
 def read_table_csv(csv: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of strings from (table_id, csv), the header line left out."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    lines = csv.select("table_id", F.posexplode(F.split("csv", "\n")).alias("row_idx", "line")).where("row_idx > 0")
-    parsed = lines.select("table_id", "row_idx", F.from_csv("line", schema).alias("r"))
-    return parsed.select("table_id", "row_idx", "r.*")
+    """Rows of strings from (table_id, part, csv), the header record of part 0 left out; rows are numbered from 1
+    through all parts. Without ``part`` every text is a whole table.
+
+    Records end at line breaks outside of quotes; an empty cell is the empty text, a missing one null."""
+    given = csv if "part" in csv.columns else csv.withColumn("part", F.lit(0))
+    found = F.arrays_zip(F.regexp_extract_all("csv", F.lit(_CELL), F.lit(1)).alias("cell"), F.regexp_extract_all("csv", F.lit(_CELL), F.lit(2)).alias("end"))
+    # Behind the last cell the pattern matches once more, the empty text.
+    size = F.size(F.filter(found, lambda x: x["end"] != "")) + 1
+    cells = given.select("table_id", "part", F.posexplode(F.slice(found, F.lit(1), size)).alias("pos", "c"))
+    order = W.partitionBy("table_id", "part").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    broken = F.sum((F.col("c.end") == "\n").cast("int")).over(order)
+    quoted = F.col("c.cell").startswith('"')
+    text = F.when(quoted, F.replace(F.substring("c.cell", F.lit(2), F.length("c.cell") - 2), F.lit('""'), F.lit('"'))).otherwise(F.col("c.cell"))
+    # A record has as many cells as the table has columns.
+    records = cells.select("table_id", "part", F.coalesce(broken, F.lit(0)).alias("record"), "pos", text.alias("text")).groupBy("table_id", "part", "record").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("r"))
+    body = records.where((F.col("part") > 0) | (F.col("record") > 0))
+    sizes = body.groupBy("table_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("table_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("table_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    row = F.col("before") + F.col("record") + F.when(F.col("part") > 0, 1).otherwise(0)
+    return body.join(offsets, ["table_id", "part"]).select("table_id", row.cast("int").alias("row_idx"), *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(columns)])
