@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factloom.catalog import Catalog, read
+from factloom.catalog import sqltext as S
 from factloom.catalog.sqltext import number_text, round_two
 from factloom.operators import corpus as C
 from factloom.operators import metrics as M
@@ -28,6 +29,33 @@ TEMPLATES = [
     "most_eq { filter_eq { all_rows ; status ; X } ; priority ; X }",
     "all_eq { all_rows ; status ; X }",
     "greater { hop { filter_eq { all_rows ; day ; X } ; price } ; hop { filter_eq { all_rows ; day ; X } ; price } }",
+    "round_eq { avg { filter_not_eq { all_rows ; status ; X } ; price } ; X }",
+    "eq { max { filter_greater { all_rows ; price ; X } ; price } ; X }",
+    "eq { count { filter_eq { filter_eq { all_rows ; status ; X } ; priority ; X } } ; X }",
+    "eq { count { all_rows } ; X }",
+    "eq { count { filter_all { all_rows ; status } } ; X }",
+    "greater { max { all_rows ; price } ; min { all_rows ; price } }",
+    "eq { diff { max { all_rows ; price } ; min { all_rows ; price } } ; X }",
+    "and { only { filter_eq { all_rows ; priority ; X } } ; eq { hop { filter_eq { all_rows ; priority ; X } ; status } ; X } }",
+    "eq { hop { filter_eq { all_rows ; day ; X } ; status } ; hop { filter_eq { all_rows ; day ; X } ; status } }",
+    "eq { diff { hop { filter_eq { all_rows ; day ; X } ; price } ; hop { filter_eq { all_rows ; day ; X } ; price } } ; X }",
+    "less { hop { filter_eq { all_rows ; priority ; X } ; day } ; hop { filter_eq { all_rows ; status ; X } ; day } }",
+    "most_less_eq { filter_less_eq { all_rows ; day ; X } ; price ; X }",
+    "eq { hop { filter_not_eq { all_rows ; price ; X } ; status } ; X }",
+    "all_greater_eq { filter_greater_eq { all_rows ; day ; X } ; price ; X }",
+    "eq { hop { argmax { filter_less { all_rows ; price ; X } ; price } ; day } ; X }",
+]
+# Templates that are read but not filled, and why.
+DEEP = [
+    "eq { count { filter_eq { filter_eq { filter_eq { filter_eq { all_rows ; status ; X } ; priority ; X } ; day ; X } ; price ; X } } ; X }",
+    "all_not_eq { all_rows ; status ; X }",
+    "and { most_eq { all_rows ; status ; X } ; most_greater { all_rows ; price ; X } }",
+    "greater { nth_max { all_rows ; price ; X } ; nth_min { all_rows ; price ; X } }",
+    "and { and { only { all_rows } ; only { all_rows } } ; only { all_rows } }",
+]
+DEEP_REASONS = [
+    "more than 3 filters inside each other", "never has an option", "sides of and with several options each and nothing shared",
+    "two sides with several options each", "and inside and",
 ]
 BROKEN = [
     "eq { sum { all_rows ; status } ; X }",
@@ -37,7 +65,9 @@ BROKEN = [
     "eq { max { all_rows ; price ; price } ; X }",
 ]
 # Templates filled together, by their numbers.
-GROUPS = {"scalars": [2, 3, 4, 5, 6], "counts": [0, 9], "single_rows": [1, 11], "claims": [7, 8, 13], "subsets": [10, 12]}
+GROUPS = {"scalars": [2, 3, 4, 5, 6], "counts": [0, 9], "single_rows": [1, 11], "claims": [7, 8, 13], "subsets": [10, 12], "inner": [15, 16, 17, 26, 28, 29], "sided": [18, 19, 20, 21, 22, 27]}
+# Templates whose pairs stay factorised.
+PAIRS = [14, 23, 24, 25]
 KINDS = {"status": "str", "priority": "str", "price": "num", "day": "date"}
 
 
@@ -73,11 +103,15 @@ def _texts(texts) -> str:
 
 
 BASE = """q as (select cast(o_custkey as varchar) as k, row_number() over (partition by o_custkey order by o_orderkey) as i, o_orderstatus as status,
-  o_orderpriority as priority, cast(floor(o_totalprice) as bigint) as price, strftime(o_orderdate, '%Y-%m-%d') as day from orders)"""
+  o_orderpriority as priority, cast(floor(o_totalprice) as bigint) as price, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderdate as ts from orders)"""
 
 
 def _statements_sql() -> str:
-    return f"""with {BASE}, s as (
+    return f"""with {BASE}, {_statements_ctes()}"""
+
+
+def _statements_ctes() -> str:
+    return f"""r as (select k, cast(price as double) as v from q), cn as (select k, count(*) as c from q group by k), {S.step()}, s as (
 select k, 0 as t, 'eq {{ count {{ filter_eq {{ all_rows ; status ; ' || status || ' }} }} ; ' || count(*) || ' }}' as x from q group by k, status having count(*) > 1
 union all select k, 1, 'only {{ filter_eq {{ all_rows ; status ; ' || status || ' }} }}' from q group by k, status having count(*) = 1
 union all select k, 2, 'eq {{ max {{ all_rows ; price }} ; ' || max(price) || ' }}' from q group by k
@@ -96,7 +130,28 @@ union all select k, 10, 'round_eq {{ avg {{ filter_eq {{ all_rows ; status ; ' |
 union all select k, 11, 'eq {{ hop {{ filter_eq {{ all_rows ; day ; ' || day || ' }} ; status }} ; ' || min(status) || ' }}' from q group by k, day having count(*) = 1
 union all select a.k, 12, 'most_eq {{ filter_eq {{ all_rows ; status ; ' || a.status || ' }} ; priority ; ' || priority || ' }}' from q a join
   (select k, status, count(*) as c from q group by all having count(*) > 1) g on a.k = g.k and a.status = g.status group by a.k, a.status, priority, c having count(*) > c / 2 and count(*) < c
-union all select k, 13, 'all_eq {{ all_rows ; status ; ' || min(status) || ' }}' from q group by k having count(distinct status) = 1)"""
+union all select k, 13, 'all_eq {{ all_rows ; status ; ' || min(status) || ' }}' from q group by k having count(distinct status) = 1
+union all select a.k, 15, 'round_eq {{ avg {{ filter_not_eq {{ all_rows ; status ; ' || a.status || ' }} ; price }} ; ' || {number_text(round_two('avg(b.price)'))} || ' }}' from
+  (select distinct k, status from q) a join q b on a.k = b.k and b.status <> a.status group by a.k, a.status having count(*) > 1
+union all select f.k, 16, 'eq {{ max {{ filter_greater {{ all_rows ; price ; ' || cast(bound as bigint) || ' }} ; price }} ; ' || max(b.price) || ' }}' from
+  (select distinct r.k, {S.floor_to('v')} as bound from r join st on r.k = st.k) f join q b on f.k = b.k and b.price > bound join cn on cn.k = f.k group by f.k, bound, c having count(*) > 1 and count(*) < c
+union all select a.k, 17, 'eq {{ count {{ filter_eq {{ filter_eq {{ all_rows ; status ; ' || status || ' }} ; priority ; ' || priority || ' }} }} ; ' || count(*) || ' }}' from
+  (select *, count(*) over (partition by k, status) as c from q) a where c > 1 group by a.k, status, priority having count(*) > 1
+union all select k, 18, 'eq {{ count {{ all_rows }} ; ' || c || ' }}' from cn
+union all select k, 19, 'eq {{ count {{ filter_all {{ all_rows ; status }} }} ; ' || c || ' }}' from cn
+union all select k, 20, 'greater {{ max {{ all_rows ; price }} ; min {{ all_rows ; price }} }}' from q group by k having max(price) > min(price)
+union all select k, 21, 'eq {{ diff {{ max {{ all_rows ; price }} ; min {{ all_rows ; price }} }} ; ' || (max(price) - min(price)) || ' }}' from q group by k having max(price) > min(price)
+union all select k, 22, 'and {{ only {{ filter_eq {{ all_rows ; priority ; ' || priority || ' }} }} ; eq {{ hop {{ filter_eq {{ all_rows ; priority ; ' || priority || ' }} ; status }} ; ' || min(status) || ' }} }}' from q group by k, priority having count(*) = 1
+union all select k, 26, 'most_less_eq {{ filter_less_eq {{ all_rows ; day ; ' || d || ' }} ; price ; ' || price || ' }}' from
+  (select a.k, a.ts as d, b.price, row_number() over (partition by a.k, a.ts order by b.price) - 1 as n, count(*) over (partition by a.k, a.ts) as c
+   from (select distinct k, day as ts, (select min(day) from q m where m.k = q.k) as first from q) a join q b on a.k = b.k and b.day <= a.ts where a.ts <> a.first)
+  where c > 1 and n between c - c // 2 and least(c - c // 2 + 1, c - 1)
+union all select a.k, 27, 'eq {{ hop {{ filter_not_eq {{ all_rows ; price ; ' || a.price || ' }} ; status }} ; ' || min(b.status) || ' }}' from
+  (select distinct k, price from q) a join q b on a.k = b.k and b.price <> a.price group by a.k, a.price having count(*) = 1
+union all select a.k, 28, 'all_greater_eq {{ filter_greater_eq {{ all_rows ; day ; ' || a.day || ' }} ; price ; ' || min(b.price) || ' }}' from
+  (select distinct k, day, (select max(day) from q m where m.k = q.k) as last from q) a join q b on a.k = b.k and b.day >= a.day where a.day <> a.last group by a.k, a.day having count(*) > 1
+union all select f.k, 29, 'eq {{ hop {{ argmax {{ filter_less {{ all_rows ; price ; ' || cast(bound as bigint) || ' }} ; price }} ; day }} ; ' || arg_max(b.day, (b.price, -b.i)) || ' }}' from
+  (select distinct r.k, {S.ceil_to('v')} as bound from r join st on r.k = st.k) f join q b on f.k = b.k and b.price < bound join cn on cn.k = f.k group by f.k, bound, c having count(*) > 1 and count(*) < c)"""
 
 
 def register(c: Catalog) -> None:
@@ -134,21 +189,51 @@ select template_id, node_id::int as node_id, depth::int as depth, case when nxt
     c.add("fill_sorted", lambda s, d: C.distinct_sorted(filled(s, d, GROUPS["scalars"]), "statement").select("table_id", "item"),
           f"{_statements_sql()} select distinct k as table_id, x as item from s where t in ({', '.join(map(str, GROUPS['scalars']))})")
 
+    c.add("fill_all", lambda s, d: P.fill(templates(s, d, TEMPLATES), cells(s, d)), f"{_statements_sql()} select distinct k as table_id, t as template_id, x as statement from s")
+
     def pairs(s, d):
-        return P.fill_pairs(templates(s, d, TEMPLATES), cells(s, d), "greater").select("table_id", "template_id", "first", "n_pairs")
+        given = templates(s, d, TEMPLATES).where(F.col("template_id").isin(*PAIRS))
+        return P.fill_pairs(given, cells(s, d)).select("table_id", "template_id", "first", "partner_from", "partner_to", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("except_from", "except_to")], "n_pairs")
 
-    c.add("fill_pairs", pairs,
-          f"""with {BASE}, s as (select k, day, min(price) as price from q group by all having count(*) = 1)
-select a.k as table_id, 14 as template_id, a.day as first, count(*) as n_pairs from s a join s b on a.k = b.k and a.price > b.price group by all""")
+    c.add("fill_pairs", pairs, f"with {BASE}, {_pairs_ctes()} select * from found")
+    reasons = ", ".join(f"({len(TEMPLATES) + i}, '{x}')" for i, x in enumerate(DEEP_REASONS))
+    c.add("template_coverage", lambda s, d: P.coverage(templates(s, d, TEMPLATES + DEEP)),
+          f"""with {_texts(TEMPLATES + DEEP)}, why as (select * from (values {reasons}) v(template_id, reason))
+select table_id, tt.template_id, case when tt.template_id in ({", ".join(map(str, PAIRS))}) then 'pairs' else coalesce(reason, 'statements') end as filled_by from tt left join why on tt.template_id = why.template_id""")
 
     def executed(s, d):
-        given = templates(s, d, [TEMPLATES[i] for i in GROUPS["scalars"]] + BROKEN)
+        given = templates(s, d, both)
         checked = T.check(given, headers(s, d))
         good = checked.where("syntax_ok").select("table_id", "template_id", "lf")
-        return M.rates(P.execution_check(given, checked, P.fill(good, cells(s, d))))
+        return M.rates(P.execution_check(given, checked, P.fill(good, cells(s, d)), P.fill_pairs(good, cells(s, d))))
 
-    numbers = GROUPS["scalars"]
-    n = len(numbers)
+    n = len(TEMPLATES)
     c.add("execution_rates", executed,
-          f"""{_statements_sql()}, e as (select distinct k, t from s where t in ({', '.join(map(str, numbers))})), tot as (select count(*) * {n + len(BROKEN)} as n from customer)
+          f"""with {BASE}, {_statements_ctes()}, {_pairs_ctes()}, e as (select distinct k, t from s union select distinct table_id, template_id from found), tot as (select count(*) * {n + len(BROKEN)} as n from customer)
 select round_even((select count(*) * {n} from (select distinct o_custkey from orders)) / (select n from tot), 3) as syntax, round_even((select count(*) from e) / (select n from tot), 3) as executability""")
+
+
+def _pair_ctes(number: int, op: str, first: str, second: str, hop: str, value: str) -> str:
+    """Ranges of ranks of the second parts, as ``fill_pairs`` gives them."""
+    single = lambda col: f"(select k, {col} as f, min({value}) as v from q group by k, {col} having count(*) = 1)"
+    text = lambda col: f"'hop {{ filter_eq {{ all_rows ; {col} ; ' || f || ' }} ; {hop} }}'"
+    own = "max(case when y.lf = x.lf then y.rk end)" if first == second else "null"
+    ranges = {
+        "greater": ("1", "lo", "null", "null", "lo"), "less": ("hi + 1", "n", "null", "null", "n - hi"),
+        "eq": ("lo + 1", "hi", "own", "own", "hi - lo - 1"), "diff": ("1", "n", "lo + 1", "hi", "n - (hi - lo)"),
+    }[op]
+    names = ("partner_from", "partner_to", "except_from", "except_to", "n_pairs")
+    listed = ", ".join(f"cast(coalesce({r}, 0) as bigint) as {x}" for r, x in zip(ranges, names))
+    return f"""a{number} as (select k, v, {text(first)} as lf from {single(first)}),
+b{number} as (select k, v, lf, row_number() over (partition by k order by v, lf) as rk from (select k, v, {text(second)} as lf from {single(second)})),
+c{number} as (select x.k, x.lf, count(*) filter (y.v < x.v) as lo, count(*) filter (y.v <= x.v) as hi, count(y.v) as n, {own} as own from a{number} x left join b{number} y on x.k = y.k group by x.k, x.lf),
+f{number} as (select k as table_id, {number} as template_id, lf as first, {listed} from c{number})"""
+
+
+def _pairs_ctes() -> str:
+    parts = [
+        _pair_ctes(14, "greater", "day", "day", "price", "price"), _pair_ctes(23, "eq", "day", "day", "status", "status"),
+        _pair_ctes(24, "diff", "day", "day", "price", "price"), _pair_ctes(25, "less", "priority", "status", "day", "ts"),
+    ]
+    union = " union all ".join(f"select * from f{n}" for n in PAIRS)
+    return ", ".join(parts) + f", found as (select * from ({union}) where n_pairs > 0)"

@@ -13,11 +13,6 @@ MAX_N = 3
 LONG_GRAM = 120
 
 
-def text_id(txt: Column) -> Column:
-    """Two hashes that stand for a text where the text itself would be repeated."""
-    return F.struct(F.xxhash64(txt).alias("h1"), F.xxhash64(F.lit(7), txt).alias("h2"))
-
-
 def distinct_texts(t: KeyedTable, col: str) -> DataFrame:
     """(by, txt, cnt, words): distinct original texts, so that copies of a cell are read once."""
     return (
@@ -124,13 +119,49 @@ def frequent_ngrams(t: KeyedTable, col: str) -> DataFrame:
     return drop_explained(t.by, clean_ngrams(ngram_counts(t, col)))
 
 
-def short_containment(t: KeyedTable, col: str, candidates: DataFrame) -> DataFrame:
-    """(by, candidate, txt): distinct texts that contain a candidate of up to three tokens; a text that
-    is itself a candidate is found whatever its length."""
-    texts = distinct_texts(t, col).select(*t.by, "txt", "words")
-    grams = F.array_distinct(F.concat(F.array("txt"), *[runs(F.col("words"), n) for n in range(1, MAX_N + 1)]))
-    listed = texts.select(*t.by, "txt", F.explode(grams).alias("candidate"))
-    return join_on(listed, candidates, [*t.by, "candidate"])
+def text_id(txt: Column) -> Column:
+    """Two hashes that stand for a text where the text itself would be repeated."""
+    return F.struct(F.xxhash64(txt).alias("h1"), F.xxhash64(F.lit(7), txt).alias("h2"))
+
+
+def _anchors(t: KeyedTable, sized: DataFrame, grams: DataFrame) -> DataFrame:
+    """(by, candidate, at, gram): the rarest three-token run of every longer candidate and its place."""
+    longer = sized.where(F.col("size") > MAX_N).withColumn("cw", tokens(F.col("candidate")))
+    anchored = longer.select(*t.by, "candidate", F.posexplode(runs(F.col("cw"), MAX_N)).alias("at", "gram"))
+    rarity = grams.where(F.col("n") == MAX_N).select(*t.by, "gram", "n_texts")
+    return (
+        join_on(anchored, rarity, [*t.by, "gram"])
+        .groupBy(*t.by, "candidate")
+        .agg(F.min(F.struct("n_texts", "at", "gram")).alias("a"))
+        .select(*t.by, "candidate", F.col("a.at").alias("at"), F.col("a.gram").alias("gram"))
+    )
+
+
+def _long_containment(t: KeyedTable, base: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(by, candidate, txt_id, cnt) of longer candidates: a text is met at the places of the anchor's run,
+    which carry its id alone, and is fetched once for the comparison."""
+    places = base.select(*t.by, "txt_id", F.posexplode(runs(F.col("words"), MAX_N)).alias("place", "gram"))
+    starts_at = join_on(places, anchors, [*t.by, "gram"]).select(
+        *t.by, "candidate", "txt_id", (F.col("place") - F.col("at") + 1).alias("start")).where(F.col("start") >= 1)
+    hits = join_on(starts_at.distinct(), base.select(*t.by, "txt_id", "cnt", "words"), [*t.by, "txt_id"])
+    same = run_text(F.col("words"), F.col("start"), F.size(tokens(F.col("candidate")))) == F.col("candidate")
+    return hits.where(same).select(*t.by, "candidate", "txt_id", "cnt").distinct()
+
+
+def _identified(t: KeyedTable, col: str) -> DataFrame:
+    return distinct_texts(t, col).withColumn("txt_id", text_id(F.col("txt")))
+
+
+def containment(t: KeyedTable, col: str, candidates: DataFrame) -> DataFrame:
+    """(by, candidate, txt_id, cnt): distinct texts that contain a candidate as a run of whole tokens, of
+    any number of tokens, and the rows that have them."""
+    base = _identified(t, col)
+    sized = candidates.withColumn("size", F.size(tokens(F.col("candidate"))))
+    grams = F.array_distinct(F.concat(*[runs(F.col("words"), n) for n in range(1, MAX_N + 1)]))
+    listed = base.select(*t.by, "txt_id", "cnt", F.explode(grams).alias("candidate"))
+    short = join_on(listed, sized.where(F.col("size") <= MAX_N).select(*t.by, "candidate"), [*t.by, "candidate"])
+    long = _long_containment(t, base, _anchors(t, sized, ngram_counts(t, col)))
+    return short.select(*t.by, "candidate", "txt_id", "cnt").unionByName(long)
 
 
 def containment_counts(t: KeyedTable, col: str, candidates: DataFrame) -> DataFrame:
@@ -149,26 +180,5 @@ def containment_counts(t: KeyedTable, col: str, candidates: DataFrame) -> DataFr
         [*t.by, "n", "gram"],
     ).select(*t.by, F.col("gram").alias("candidate"), "n_rows")
 
-    longer = sized.where(F.col("size") > MAX_N).withColumn("cw", words)
-    anchored = longer.select(*t.by, "candidate", F.posexplode(runs(F.col("cw"), MAX_N)).alias("at", "gram"))
-    rarity = grams.where(F.col("n") == MAX_N).select(*t.by, "gram", "n_texts")
-    anchors = (
-        join_on(anchored, rarity, [*t.by, "gram"])
-        .groupBy(*t.by, "candidate")
-        .agg(F.min(F.struct("n_texts", "at", "gram")).alias("a"))
-        .select(*t.by, "candidate", F.col("a.at").alias("at"), F.col("a.gram").alias("gram"))
-    )
-    texts = distinct_texts(t, col)
-    places = texts.select(
-        *t.by, "txt", "cnt", "words", F.posexplode(runs(F.col("words"), MAX_N)).alias("place", "gram")
-    )
-    hits = join_on(places, anchors, [*t.by, "gram"])
-    size = F.size(tokens(F.col("candidate")))
-    start = F.col("place") - F.col("at") + 1
-    same = (start >= 1) & (F.when(start >= 1, run_text(F.col("words"), start, size)) == F.col("candidate"))
-    long = (
-        hits.where(same)
-        .select(*t.by, "candidate", "txt", "cnt").distinct()
-        .groupBy(*t.by, "candidate").agg(F.sum("cnt").alias("n_rows"))
-    )
-    return short.unionByName(long)
+    long = _long_containment(t, _identified(t, col), _anchors(t, sized, grams))
+    return short.unionByName(long.groupBy(*t.by, "candidate").agg(F.sum("cnt").alias("n_rows")))

@@ -1,9 +1,16 @@
-"""Filling templates: all literals that make a template true, over all its tables at once.
+"""Filling templates: all literals that make a template true, over all tables at once.
 
-Supported are templates over one selection of rows: all rows, or the rows a ``filter_*`` with a hole
-selects; the plan has one branch per function that occurs, whatever the number of templates and tables.
-Comparisons of two rows are filled factorised by ``fill_pairs``. Other shapes are reported by
-``shapes`` with an empty ``func``.
+A template is taken apart into expressions, once for each distinct text. What they ask of a table is a set of
+requests (selection of rows, column, function), equal ones once however many templates share them:
+
+* selections: all rows, and filters over them, up to ``LEVELS`` inside each other. A filter's options come from the
+  value profile of its column; rows are listed only for selections that something above looks into.
+* one profile of (selection, column) answers every function over it: scalars, claims, single rows.
+* statements join those answers back to the expressions, and two-sided ones join their sides.
+
+Comparisons in which both sides have many options are kept factorised by ``fill_pairs``. ``coverage`` names the
+reason for every template that is filled by neither. Levels build on each other and are read by several families,
+so each is written once to the shared folder while the plan is built; no other job runs, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -12,189 +19,460 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from factloom.functions.numbers import number_text
+from factloom.functions.numbers import number_text, round_two
 from factloom.keyed import KeyedTable
-from factloom.operators import aggregates, compare, majority, selectors, superlatives, universal
-from factloom.operators import ngrams
-from factloom.operators.templates import TYPES, add_tokens, canonical
-from factloom.plans.ranking import is_hot, join_on
-from factloom.session import materialise
-
-_COLUMN = r"((?!X )[^{};]+?)"
-_SHAPE = (
-    r"^(?:(eq|round_eq) \{ )?(?:(hop) \{ )?(\w+) \{ (all_rows|(filter_\w+) \{ all_rows ; " + _COLUMN + r" ; X \})"
-    r"(?: ; " + _COLUMN + r")?( ; X)? \}(?: ; " + _COLUMN + r" \})?( ; X \})?$"
-)
-_PAIR = (
-    r"^(greater|less|not_eq) \{ hop \{ filter_eq \{ all_rows ; " + _COLUMN + r" ; X \} ; " + _COLUMN + r" \} ; "
-    r"hop \{ filter_eq \{ all_rows ; \2 ; X \} ; \3 \} \}$"
-)
-SELECTORS = {f: getattr(selectors, f) for f in (
-    "filter_eq filter_not_eq filter_greater filter_greater_eq filter_less filter_less_eq").split()}
-CLAIMS = {**{f: getattr(majority, f) for f in (
-    "most_eq most_not_eq most_greater most_greater_eq most_less most_less_eq").split()},
-    **{f: getattr(universal, f) for f in "all_eq all_not_eq all_greater all_greater_eq all_less all_less_eq".split()}}
-SCALARS = {
-    "max": lambda t, c: superlatives.col_max(t, c).select(*t.by, F.col("raw").alias("out")),
-    "min": lambda t, c: superlatives.col_min(t, c).select(*t.by, F.col("raw").alias("out")),
-    "avg": lambda t, c: aggregates.col_avg(t, c).select(*t.by, number_text(F.col("mean")).alias("out")),
-    "sum": lambda t, c: aggregates.col_sum(t, c).select(*t.by, number_text(F.col("total")).alias("out")),
-}
-NTH = {"nth_max": superlatives.nth_max, "nth_min": superlatives.nth_min}
-ROWS = {"argmax": superlatives.col_argmax, "argmin": superlatives.col_argmin}
-NTH_ROWS = {"nth_argmax": superlatives.nth_argmax, "nth_argmin": superlatives.nth_argmin}
-KEY = ["table_id", "template_id", "sel"]
-# the value column of a cell and the column types it holds
-CLASSES = {"num": ["num", "rank", "year", "time"], "ts": ["date"], "str": ["str", "mixed", "same_n_nums", "empty"]}
-
-
-def shapes(templates: DataFrame) -> DataFrame:
-    """Templates with the parts of their shape: wrap, hop, func, selfunc, selcol, col, hole, hopcol."""
-    text = canonical(F.col("tokens"))
-    part = lambda i: F.regexp_extract("form", _SHAPE, i)
-    named = add_tokens(templates).select(*templates.columns, text.alias("form"))
-    return named.select(
-        *templates.columns, "form", part(1).alias("wrap"), part(2).alias("hop"), part(3).alias("func"),
-        part(5).alias("selfunc"), part(6).alias("selcol"), part(7).alias("col"), part(8).alias("hole"), part(9).alias("hopcol"))
-
-
-def _with_cells(rows: DataFrame, cells: DataFrame, column: str) -> DataFrame:
-    """Rows (KEY, row_idx or none) with the cells of the column they name."""
-    keys = ["table_id", "row_idx"] if "row_idx" in rows.columns else ["table_id"]
-    found = cells.select("table_id", "row_idx", F.col("col_name").alias(column), "coltype", "raw", "num", "ts", "str")
-    return rows.join(found, [*keys, column])
-
-
-def _keyed(rows: DataFrame, cls: str, hot: bool) -> KeyedTable:
-    picked = rows.where(F.col("coltype").isin(*CLASSES[cls])).select(*KEY, "row_idx", cls, "raw")
-    return KeyedTable(picked, KEY, ["row_idx"], raw={cls: "raw"}, hot=hot)
-
-
-def _per_class(rows: DataFrame, func: str, run, hot: bool, kinds: set[str]) -> DataFrame:
-    """``run`` over the value column of each class of types that the function takes and that occurs."""
-    allowed = kinds if func not in TYPES else kinds & set(TYPES[func])
-    used = [c for c, members in CLASSES.items() if allowed & set(members)] or ["num"]
-    return reduce(DataFrame.unionByName, [run(_keyed(rows, c, hot), c) for c in used])
-
-
-def _eq_members(rows: DataFrame, hot: bool, kinds: set[str]) -> DataFrame:
-    """(table_id, template_id, sel, row_idx) of the rows every option of ``filter_eq`` selects; a text
-    selects the rows that contain it."""
-    def members(t: KeyedTable, cls: str) -> DataFrame:
-        options = selectors.filter_eq(t, cls).select(*KEY, "filled")
-        if cls == "str":
-            pairs = ngrams.short_containment(t, cls, options.withColumnRenamed("filled", "candidate"))
-            return join_on(pairs, t.df.select(*KEY, F.col("raw").alias("txt"), "row_idx"), [*KEY, "txt"]).select(*KEY, F.col("candidate").alias("filled"), "row_idx")
-        return join_on(t.df.select(*KEY, F.col("raw").alias("filled"), "row_idx"), options, [*KEY, "filled"])
-
-    found = _per_class(rows, "filter_eq", members, hot, kinds)
-    sel = F.concat(F.lit("filter_eq { all_rows ; "), "selcol", F.lit(" ; "), "filled", F.lit(" }"))
-    named = rows.select("table_id", "template_id", "selcol").distinct()
-    return found.join(named, ["table_id", "template_id"]).select("table_id", "template_id", sel.alias("sel"), "row_idx").distinct()
+from factloom.operators import aggregates, ngrams
+from factloom.operators.templates import add_nodes, add_tokens, canonical
+from factloom.operators.values import lower_bounds, upper_bounds, value_counts
+from factloom.plans.ranking import join_on, running
+from factloom.session import stored
+
+# Filters inside each other; a deeper template is reported.
+LEVELS = 3
+FILTERS = "filter_eq filter_not_eq filter_greater filter_greater_eq filter_less filter_less_eq".split()
+SCALARS = "max min avg sum nth_max nth_min".split()
+PICKS = "argmax argmin nth_argmax nth_argmin".split()
+CLAIMS = [f"{m}_{c}" for m in ("most", "all") for c in "eq not_eq greater greater_eq less less_eq".split()]
+TWO_SIDED = "eq not_eq greater less".split()
+ALL = "all_rows"
+# A selection and a column of it.
+KEY = ["table_id", "sel", "col"]
+TEXT_TYPES = ["str", "mixed", "same_n_nums", "empty"]
+_V = ["num", "ts", "str"]
+_VTYPE = "struct<num:double,ts:timestamp_ntz,str:string>"
+
+
+def _value() -> Column:
+    """The typed value of a cell, whatever its type; null for an empty one."""
+    parts = F.struct(F.col("num").cast("double").alias("num"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("str").alias("str"))
+    return F.when(F.coalesce(*[F.col(c).cast("string") for c in _V]).isNotNull(), parts).cast(_VTYPE)
+
+
+def _number(x: Column) -> Column:
+    return F.struct(x.cast("double").alias("num"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("str")).cast(_VTYPE)
+
+
+# ---- expressions ----
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
+    """The expressions of each distinct text of ``lf``: see ``expressions``."""
+    parsed = add_nodes(texts.select("lf").distinct()).where("balanced")
+    tokens, nodes = F.col("tokens"), F.col("nodes")
+
+    def text(n: Column) -> Column:
+        """Tokens from a function to the brace that closes it."""
+        def step(acc: Column, t: Column) -> Column:
+            level = acc["level"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+            done = acc["done"] | ((t == "}") & (level == 0))
+            return F.when(acc["done"], acc).otherwise(F.struct(level.alias("level"), (acc["n"] + 1).alias("n"), done.alias("done")))
+
+        start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+        size = F.aggregate(F.slice(tokens, n["node_id"] + 1, F.size(tokens)), start, step, lambda acc: acc["n"])
+        return F.when(n["func"].isNull(), n["leaf"]).otherwise(F.array_join(F.slice(tokens, n["node_id"] + 1, size), " "))
+
+    written = parsed.select("lf", F.explode(F.transform(nodes, lambda n: F.struct(
+        n["node_id"].alias("id"), n["parent_id"].alias("up"), n["func"].alias("func"), text(n).alias("text")))).alias("n")).select("lf", "n.*")
+    # A handful of nodes a text: arguments are collected per function, in order.
+    args = written.where("up is not null").groupBy("lf", "up").agg(F.array_sort(F.collect_list(F.struct("id", "func", "text"))).alias("args"))
+    up = written.select("lf", F.col("id").alias("up"), F.col("func").alias("parent"))
+    each = written.where("func is not null").join(up, ["lf", "up"], "left_outer")
+    whole = each.join(args.withColumnRenamed("up", "id"), ["lf", "id"])
+    part = lambda i, f: F.get("args", F.lit(i))[f].alias(("arg" if f == "text" else "func") + str(i))
+    level = F.size(F.split("text", "filter_")) - 1
+    return whole.select("lf", "func", "text", "parent", level.alias("level"), *[part(i, f) for i in range(3) for f in ("text", "func")])
+
+
+def expressions(templates: DataFrame) -> DataFrame:
+    """(table_id, func, text, parent, level, arg0 .. arg2, func0 .. func2): the distinct expressions of each
+    table's templates; ``arg`` are the texts of the arguments, ``func`` their functions, ``parent`` the function
+    above. ``level`` is the number of filters inside the expression."""
+    return templates.select("table_id", "lf").distinct().join(_parsed(templates), "lf").drop("lf").distinct()
+
+
+# ---- answers about a selection and a column ----
+
+
+def _looked_up(wanted: DataFrame, members: DataFrame, cells: DataFrame) -> DataFrame:
+    """(KEY, row_idx, v, raw, num, is_text): cells of the wanted (KEY) columns in the rows of selections."""
+    typed = cells.select("table_id", "row_idx", F.col("col_name").alias("col"), "raw", *_V, F.col("coltype").isin(*TEXT_TYPES).alias("is_text"))
+    return wanted.select(*KEY).distinct().join(members, ["table_id", "sel"]).join(typed, ["table_id", "row_idx", "col"]).select(
+        *KEY, "row_idx", _value().alias("v"), "raw", F.col("num").cast("double").alias("num"), "is_text")
+
+
+def _answers(profile: DataFrame, *each: tuple) -> DataFrame:
+    """(KEY, func, filled, out, v, cnt) from rows of a profile: each is (function, condition, filled, out, v, count)."""
+    none = F.lit(None)
+    structs = [
+        F.struct(F.lit(f).alias("func"), F.coalesce(ok, F.lit(False)).alias("ok"), (none if filled is None else filled).cast("string").alias("filled"),
+                 (none if out is None else out).cast("string").alias("out"), (none if v is None else v).cast(_VTYPE).alias("v"), (none if cnt is None else cnt).cast("long").alias("cnt"))
+        for f, ok, filled, out, v, cnt in each
+    ]
+    return profile.select(*KEY, F.inline(F.array(*structs))).where("ok").drop("ok")
+
+
+def _profile(rows: DataFrame) -> DataFrame:
+    """Distinct values of each column with the rows up to, below and in all: see ``values.value_profile``."""
+    counts = value_counts(KeyedTable(rows, KEY, ["row_idx"], raw={"v": "raw"}, hot=False), "v")
+    filled = F.when(F.col("v").isNotNull(), F.col("cnt")).otherwise(F.lit(0))
+    over, whole = W.partitionBy(*KEY).orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*KEY)
+    return counts.select("*", F.sum(filled).over(over).alias("upto"), F.sum(filled).over(whole).alias("n"), F.sum("cnt").over(whole).alias("total")).withColumn("below", F.col("upto") - F.col("cnt"))
+
+
+def _is_text(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.max("is_text").alias("is_text"))
+
+
+def _bound_answers(rows: DataFrame, claims: bool) -> DataFrame:
+    """Answers that are round bounds."""
+    t = KeyedTable(rows.where("num is not null"), KEY, ["row_idx"], raw={"num": "raw"}, hot=False)
+    low, high = lower_bounds(t, "num"), upper_bounds(t, "num")
+    bound, half = number_text(F.col("bound")), F.floor(F.col("n") / 2)
+    value = _number(F.col("bound"))
+    some, most = F.col("beyond") < F.col("n"), (F.col("beyond") > half) & (F.col("beyond") < F.col("n"))
+    if not claims:
+        return _answers(low, ("filter_greater", some, bound, None, value, F.col("beyond"))).unionByName(
+            _answers(high, ("filter_less", some, bound, None, value, F.col("beyond"))))
+    return _answers(low, ("most_greater", most & (F.col("lowest") < half), bound, None, None, None), ("all_greater", F.col("lowest") == 0, bound, None, None, None)).unionByName(
+        _answers(high, ("most_less", most & (F.col("highest") < half), bound, None, None, None), ("all_less", F.col("highest") == 0, bound, None, None, None)))
+
+
+def _filter_answers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Options of every filter over the rows, and for texts (KEY, filled, row_idx) of what an option contains.
+
+    ``filter_eq`` over texts takes the rows that contain the text as a run of whole tokens; frequent n-grams of
+    any column are options too. Values with several original texts are no options."""
+    t = KeyedTable(rows, KEY, ["row_idx"], raw={"v": "raw"}, hot=False)
+    profile = join_on(_profile(rows), _is_text(rows), KEY)
+    v, raw, cnt, one = F.col("v"), F.col("raw"), F.col("cnt"), F.col("one_raw")
+    values = _answers(
+        profile,
+        ("filter_eq", one & (v.isNull() | ~F.col("is_text")), raw, None, v, cnt),
+        ("filter_not_eq", one, raw, None, v, F.col("total") - cnt),
+        ("filter_greater_eq", v.isNotNull() & (F.col("upto") < F.col("n")), raw, None, v, F.col("n") - F.col("below")),
+        ("filter_less_eq", v.isNotNull() & (F.col("below") > 0), raw, None, v, F.col("upto")),
+    ).withColumn("by_text", F.lit(False))
+    texts = profile.where(one & v.isNotNull() & F.col("is_text")).select(*KEY, F.col("v.str").alias("candidate"))
+    grams = ngrams.frequent_ngrams(t, "v").select(*KEY, F.col("gram").alias("candidate"))
+    inside = ngrams.containment(t, "v", texts.unionByName(grams).distinct())
+    # Options by text: their rows are those of the distinct texts that hold them.
+    held = join_on(inside, rows.select(*KEY, "row_idx", ngrams.text_id(F.col("raw")).alias("txt_id")), [*KEY, "txt_id"]).select(*KEY, F.col("candidate").alias("filled"), "row_idx")
+    by_text = inside.groupBy(*KEY, "candidate").agg(F.sum("cnt").alias("cnt")).select(
+        *KEY, F.lit("filter_eq").alias("func"), F.col("candidate").alias("filled"), F.lit(None).cast("string").alias("out"), F.lit(None).cast(_VTYPE).alias("v"), F.col("cnt").cast("long").alias("cnt"), F.lit(True).alias("by_text"))
+    return values.unionByName(_bound_answers(rows, False).withColumn("by_text", F.lit(False))).unionByName(by_text), held
+
+
+def _column_answers(rows: DataFrame) -> DataFrame:
+    """Answers of scalars and claims."""
+    profile = join_on(_profile(rows), _is_text(rows), KEY)
+    v, raw, cnt, one, n, total = (F.col(c) for c in ("v", "raw", "cnt", "one_raw", "n", "total"))
+    below, upto, some = F.col("below"), F.col("upto"), F.col("v").isNotNull()
+    half = F.floor(n / 2)
+    start = n - half
+    first, last = F.when(n == 1, F.lit(0)).otherwise(start), F.when(n == 1, F.lit(0)).otherwise(F.least(start + 1, n - 1))
+    usual = (cnt > total / 2) & (cnt < total)
+    values = _answers(
+        profile,
+        ("max", some & (upto == n), None, raw, v, None),
+        ("min", some & (below == 0), None, raw, v, None),
+        ("most_eq", one & usual, raw, None, None, None),
+        ("most_not_eq", one & (total - cnt > total / 2), raw, None, None, None),
+        ("most_greater_eq", some & (F.greatest(below, F.lit(1)) <= F.least(upto, half) - 1), raw, None, None, None),
+        ("most_less_eq", some & (F.greatest(below, first) <= F.least(upto - 1, last)), raw, None, None, None),
+        ("all_greater_eq", some & (below == 0), raw, None, None, None),
+        ("all_less_eq", some & (upto == n), raw, None, None, None),
+        ("all_eq", one & ~F.col("is_text") & (cnt == total), raw, None, None, None),
+    )
+    t = KeyedTable(rows, KEY, ["row_idx"], raw={"v": "raw"}, hot=False)
+    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total"), F.max("is_text").alias("is_text"))
+    grams = join_on(ngrams.frequent_ngrams(t, "v").select(*KEY, F.col("gram").alias("raw"), F.col("freq").alias("cnt")), sizes, KEY)
+    settled = values.where("func = 'most_eq'").select(*KEY).distinct()
+    mostly = join_on(_answers(grams, ("most_eq", usual, raw, None, None, None)), settled, KEY, "left_anti")
+    # A text that is a value and an n-gram adds its two counts; other columns have values that are no texts.
+    own = profile.where(one & F.col("is_text")).select(*KEY, "raw", "cnt", "total", "is_text")
+    both = own.unionByName(grams).groupBy(*KEY, "raw").agg(F.sum("cnt").alias("cnt"), F.max("total").alias("total"))
+    everywhere = _answers(both, ("all_eq", cnt == total, raw, None, None, None))
+    numbers = KeyedTable(rows, KEY, ["row_idx"], hot=False)
+    means = _answers(aggregates.col_avg(numbers, "num"), ("avg", F.lit(True), None, number_text(F.col("mean")), _number(F.col("mean")), None))
+    sums = _answers(aggregates.col_sum(numbers, "num"), ("sum", F.lit(True), None, number_text(F.col("total")), _number(F.col("total")), None))
+    parts = [values, mostly, everywhere, means, sums, _bound_answers(rows, True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _row_answers(rows: DataFrame) -> DataFrame:
+    """(KEY, func, filled, out, v, row_idx): extreme and n-th cells and their rows; ties in row order, n up to half."""
+    some = rows.where("v is not null")
+    up, down, whole = W.partitionBy(*KEY).orderBy("v", "row_idx"), W.partitionBy(*KEY).orderBy(F.col("v").desc(), "row_idx"), W.partitionBy(*KEY)
+    ranked = some.select("*", F.row_number().over(up).alias("up"), F.row_number().over(down).alias("down"), F.count(F.lit(1)).over(whole).alias("n"))
+    half, none = F.floor(F.col("n") / 2), F.lit(None).cast("string")
+    cell = lambda f, ok, nth: F.struct(F.lit(f).alias("func"), ok.alias("ok"), nth.alias("filled"))
+    wanted = F.array(
+        *[cell(f"nth_{x}", F.col(d) <= half, F.col(d).cast("string")) for d, names in (("down", ("max", "argmax")), ("up", ("min", "argmin"))) for x in names],
+        cell("argmax", F.col("down") == 1, none), cell("argmin", F.col("up") == 1, none))
+    return ranked.select(*KEY, F.col("raw").alias("out"), "v", "row_idx", F.inline(wanted)).where("ok").drop("ok")
+
+
+# ---- selections ----
+
+
+def _rows_allowed(parent: Column, cnt: Column) -> Column:
+    """One row below ``hop`` and ``only``, several below anything else."""
+    return F.when(parent.isin("hop", "only"), cnt == 1).otherwise(cnt > 1)
+
+
+class _Selections:
+    """Options of all row expressions: ``named`` (table_id, text, one, sel, cnt) and ``members`` (table_id, sel, row_idx)."""
+
+    def __init__(self, exprs: DataFrame, cells: DataFrame):
+        rows = cells.select("table_id", "row_idx").distinct()
+        everything = rows.select("table_id", F.lit(ALL).alias("sel"), "row_idx")
+        self.named = rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("cnt")).select(
+            "table_id", F.lit(ALL).alias("text"), F.lit(False).alias("one"), F.lit(ALL).alias("sel"), "cnt")
+        self.members = everything
+        named, members = self.named, self.members
+        for level in range(1, LEVELS + 1):
+            mine = exprs.where((F.col("level") == level) & F.col("func").isin(*FILTERS, "filter_all"))
+            # One look at the written expressions: without filters this deep there are no deeper ones.
+            if not mine.take(1):
+                break
+            named, members = (stored(x, f"fill-{level}") for x in self._level(mine, named, members, cells))
+            self.named = self.named.unionByName(named)
+            self.members = self.members.unionByName(members)
+
+    @staticmethod
+    def _level(exprs: DataFrame, named: DataFrame, members: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        below = named.where("not one").select("table_id", F.col("text").alias("arg0"), F.col("sel").alias("sel"), F.col("cnt").alias("all_cnt"))
+        asked = exprs.select("table_id", "func", "text", "parent", "arg0", F.col("arg1").alias("col")).join(below, ["table_id", "arg0"])
+        rows = stored(_looked_up(asked.where("func <> 'filter_all'"), members, cells), "fill-cells")
+        options, held = _filter_answers(rows)
+        options = stored(options, "fill-options")
+        one = F.coalesce(F.col("parent").isin("hop", "only"), F.lit(False))
+        found = asked.join(options, [*KEY, "func"]).where(_rows_allowed(F.col("parent"), F.col("cnt")))
+        sel = F.concat_ws("", "func", F.lit(" { "), "sel", F.lit(" ; "), "col", F.lit(" ; "), "filled", F.lit(" }"))
+        chosen = found.select("table_id", "text", one.alias("one"), "parent", sel.alias("new"), "cnt", "sel", "col", "func", "filled", F.col("v").alias("option"), "by_text")
+        # The table itself, of any size; one row where a single one is needed.
+        whole = asked.where("func = 'filter_all'").where(~one | (F.col("all_cnt") == 1)).select(
+            "table_id", "text", one.alias("one"), F.concat_ws("", F.lit("filter_all { "), "sel", F.lit(" ; "), "col", F.lit(" }")).alias("new"), F.col("all_cnt").alias("cnt"), "sel")
+        # Nothing looks into the rows below count and only.
+        inner = chosen.where(~F.coalesce(F.col("parent"), F.lit("")).isin("count", "only")).select("table_id", "sel", "col", "func", "filled", "option", "by_text", "new").distinct()
+        v, option = F.col("v"), F.col("option")
+        holds = (
+            F.when(F.col("func") == "filter_eq", v.eqNullSafe(option)).when(F.col("func") == "filter_not_eq", ~v.eqNullSafe(option))
+            .when(F.col("func") == "filter_greater_eq", v >= option).when(F.col("func") == "filter_less_eq", v <= option)
+            .when(F.col("func") == "filter_greater", F.col("num") > option["num"]).otherwise(F.col("num") < option["num"]))
+        by_value = inner.where("not by_text").join(rows.select(*KEY, "row_idx", "v", "num"), KEY).where(holds)
+        by_text = join_on(inner.where("by_text"), held, [*KEY, "filled"])
+        passed = whole.select("table_id", "sel", "new").distinct().join(members, ["table_id", "sel"])
+        listed = reduce(DataFrame.unionByName, [x.select("table_id", F.col("new").alias("sel"), "row_idx") for x in (by_value, by_text, passed)])
+        both = chosen.select("table_id", "text", "one", F.col("new").alias("sel"), "cnt").unionByName(whole.select("table_id", "text", "one", F.col("new").alias("sel"), "cnt"))
+        return both.distinct(), listed.distinct()
+
+
+# ---- statements ----
+
+
+def _first_filter(sel: Column) -> Column:
+    """A selection's text where it is a filter."""
+    return F.when(sel != ALL, sel)
+
+
+def _values_and_claims(exprs: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scalars (table_id, text, lf, out, v, filt, nth) and simple claims (table_id, text, lf, filt, nth).
+
+    ``filt`` and ``nth`` are the outermost filter and n-th expression inside, which both sides of ``and`` share."""
+    s = _Selections(exprs, cells)
+    many = s.named.where("not one").select("table_id", F.col("text").alias("arg0"), "sel", "cnt")
+    over = exprs.where(F.col("func").isin(*SCALARS, *PICKS, *CLAIMS)).select("table_id", "func", "text", "arg0", F.col("arg1").alias("col")).distinct().join(many.drop("cnt"), ["table_id", "arg0"])
+    rows = stored(_looked_up(over, s.members, cells), "fill-cells")
+    filled = F.when(F.col("filled").isNotNull(), F.concat(F.lit(" ; "), "filled")).otherwise("")
+    lf = F.concat_ws("", "func", F.lit(" { "), "sel", F.lit(" ; "), "col", filled, F.lit(" }"))
+    none = F.lit(None).cast("string")
+    columns = over.join(_column_answers(rows), [*KEY, "func"]).select("table_id", "func", "text", lf.alias("lf"), "out", "v", _first_filter(F.col("sel")).alias("filt"), none.alias("nth"))
+    picked = over.join(_row_answers(rows), [*KEY, "func"]).select(
+        "table_id", "func", "text", lf.alias("lf"), "out", "v", "row_idx", _first_filter(F.col("sel")).alias("filt"),
+        F.when(F.col("filled").isNotNull(), F.regexp_replace(lf, "^nth_arg", "nth_")).alias("nth"))
+    nths = picked.where(F.col("func").isin("nth_max", "nth_min"))
+
+    single = s.named.where("one").select("table_id", "text", F.col("sel").alias("lf"), F.col("sel").alias("filt"), none.alias("nth")).join(
+        s.members.withColumnRenamed("sel", "lf"), ["table_id", "lf"])
+    at = single.unionByName(picked.where(F.col("func").isin(*PICKS)).select("table_id", "text", "lf", "filt", "nth", "row_idx"))
+    hops = exprs.where("func = 'hop'").select("table_id", F.col("text").alias("whole"), F.col("arg0").alias("text"), F.col("arg1").alias("col_name")).distinct()
+    hopped = hops.join(at, ["table_id", "text"]).join(cells.select("table_id", "row_idx", "col_name", "raw", *_V), ["table_id", "row_idx", "col_name"]).select(
+        "table_id", F.col("whole").alias("text"), F.concat_ws("", F.lit("hop { "), "lf", F.lit(" ; "), "col_name", F.lit(" }")).alias("lf"), F.col("raw").alias("out"), _value().alias("v"), "filt", "nth")
+
+    counts = exprs.where("func = 'count'").select("table_id", F.col("text").alias("whole"), "arg0").distinct().join(many, ["table_id", "arg0"]).select(
+        "table_id", F.col("whole").alias("text"), F.concat(F.lit("count { "), "sel", F.lit(" }")).alias("lf"), F.col("cnt").cast("string").alias("out"),
+        _number(F.col("cnt")).alias("v"),
+        _first_filter(F.col("sel")).alias("filt"), none.alias("nth"))
+    scalar = ["table_id", "text", "lf", "out", "v", "filt", "nth"]
+    values = reduce(DataFrame.unionByName, [columns.where(F.col("func").isin(*SCALARS)).select(*scalar), nths.select(*scalar), hopped, counts])
+
+    one_row = s.named.where((F.col("cnt") == 1) & (F.col("one") | (F.col("text") == ALL))).select("table_id", F.col("text").alias("arg0"), "sel")
+    only = exprs.where("func = 'only'").select("table_id", "text", "arg0").distinct().join(one_row, ["table_id", "arg0"]).select(
+        "table_id", "text", F.concat(F.lit("only { "), "sel", F.lit(" }")).alias("lf"), _first_filter(F.col("sel")).alias("filt"), none.alias("nth"))
+    claims = columns.where(F.col("func").isin(*CLAIMS)).select("table_id", "text", "lf", "filt", "nth").unionByName(only)
+    return values.distinct(), claims.distinct()
+
+
+def _is_open(text: Column) -> Column:
+    """May an expression have several options in one table? A literal to the right of ``eq`` follows from its left."""
+    return F.regexp_replace(text, r"^(round_)?eq \{ (.*) ; X \}$", "$2").rlike(r" ; X \}")
+
+
+def _side(values: DataFrame, i: int) -> DataFrame:
+    return values.select("table_id", F.col("text").alias(f"arg{i}"), F.col("lf").alias(f"lf{i}"), F.col("v").alias(f"v{i}"), F.col("filt").alias(f"filt{i}"), F.col("nth").alias(f"nth{i}"))
+
+
+def _difference(a: Column, b: Column) -> Column:
+    """Difference of two values: whole days for timestamps."""
+    days = F.floor((F.unix_micros(a["ts"].cast("timestamp")) - F.unix_micros(b["ts"].cast("timestamp"))) / F.lit(86_400_000_000)).cast("double")
+    return F.coalesce(round_two(a["num"] - b["num"]), days)
+
+
+def _two_sided(exprs: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims about two scalars and their differences, where one side at most has several options."""
+    asked = exprs.where(F.col("func").isin(*TWO_SIDED, "diff") & F.col("func0").isNotNull() & F.col("func1").isNotNull() & ~(_is_open(F.col("arg0")) & _is_open(F.col("arg1"))))
+    sides = asked.select("table_id", "func", "text", "arg0", "arg1").distinct().join(_side(values, 0), ["table_id", "arg0"]).join(_side(values, 1), ["table_id", "arg1"])
+    a, b = F.col("v0"), F.col("v1")
+    more = F.coalesce(a["num"] > b["num"], a["ts"] > b["ts"], F.lit(False))
+    fewer = F.coalesce(a["num"] < b["num"], a["ts"] < b["ts"], F.lit(False))
+    holds = (
+        F.when(F.col("func") == "greater", more).when(F.col("func") == "less", fewer).when(F.col("func") == "eq", a.eqNullSafe(b) & a.isNotNull() & (F.col("lf0") != F.col("lf1")))
+        .when(F.col("func") == "not_eq", ~a.eqNullSafe(b)).otherwise(_difference(a, b).isNotNull() & ~a.eqNullSafe(b)))
+    true = sides.where(holds).withColumn("lf", F.concat_ws("", "func", F.lit(" { "), "lf0", F.lit(" ; "), "lf1", F.lit(" }")))
+    key = [F.coalesce("filt0", "filt1").alias("filt"), F.coalesce("nth0", "nth1").alias("nth")]
+    out = _difference(a, b)
+    diffs = true.where("func = 'diff'").select("table_id", "text", "lf", number_text(out).alias("out"), _number(out).alias("v"), *key)
+    return true.where("func <> 'diff'").select("table_id", "text", "lf", *key), diffs
+
+
+def _equations(exprs: DataFrame, values: DataFrame) -> DataFrame:
+    """``eq`` and ``round_eq`` of a scalar and a hole."""
+    hole_last, hole_first = F.col("arg1") == "X", F.col("arg0") == "X"
+    asked = exprs.where(F.col("func").isin("eq", "round_eq") & (hole_last | hole_first)).select(
+        "table_id", "func", F.col("text").alias("whole"), F.when(hole_last, F.col("arg0")).otherwise(F.col("arg1")).alias("text"), hole_last.alias("last")).distinct()
+    found = asked.join(values, ["table_id", "text"])
+    literal = F.when(F.col("func") == "round_eq", F.coalesce(number_text(round_two(F.col("v.num"))), F.col("out"))).otherwise(F.col("out"))
+    inside = F.when(F.col("last"), F.concat_ws("", "lf", F.lit(" ; "), literal)).otherwise(F.concat_ws("", literal, F.lit(" ; "), "lf"))
+    return found.where(literal.isNotNull()).select("table_id", F.col("whole").alias("text"), F.concat_ws("", "func", F.lit(" { "), inside, F.lit(" }")).alias("lf"), "filt", "nth")
+
+
+def _open_and() -> Column:
+    """An ``and`` whose sides may both have several options and share no filter or n-th expression to meet at."""
+    shared = (F.col("arg0").contains("filter_") & F.col("arg1").contains("filter_")) | (F.col("arg0").contains("nth_") & F.col("arg1").contains("nth_"))
+    return _is_open(F.col("arg0")) & _is_open(F.col("arg1")) & ~shared
+
+
+def _both(exprs: DataFrame, claims: DataFrame) -> DataFrame:
+    """``and`` of two claims: filters and n-th expressions inside must be the same ones."""
+    asked = exprs.where((F.col("func") == "and") & F.col("func0").isNotNull() & F.col("func1").isNotNull() & ~_open_and()).select("table_id", "text", "arg0", "arg1").distinct()
+    side = lambda i: claims.select("table_id", F.col("text").alias(f"arg{i}"), F.col("lf").alias(f"lf{i}"), F.col("filt").alias(f"filt{i}"), F.col("nth").alias(f"nth{i}"))
+    same = lambda c: F.col(f"{c}0").isNull() | F.col(f"{c}1").isNull() | (F.col(f"{c}0") == F.col(f"{c}1"))
+    left = asked.join(side(0), ["table_id", "arg0"])
+    # Where both sides have a filter, rows meet at it and not at the table alone.
+    meet = lambda c: F.when(F.col("arg0").contains(c) & F.col("arg1").contains(c), F.col("filt0" if c == "filter_" else "nth0"))
+    keyed = left.withColumn("at", F.coalesce(meet("filter_"), meet("nth_"), F.lit("")))
+    right = side(1)
+    by_filter = keyed.where("at <> ''").join(right.withColumn("at", F.explode(F.array_compact(F.array("filt1", "nth1")))), ["table_id", "arg1", "at"])
+    free = keyed.where("at = ''").join(right, ["table_id", "arg1"])
+    lf = F.concat_ws("", F.lit("and { "), "lf0", F.lit(" ; "), "lf1", F.lit(" }"))
+    pick = lambda df: df.where(same("filt") & same("nth")).select("table_id", "text", lf.alias("lf"), F.coalesce("filt0", "filt1").alias("filt"), F.coalesce("nth0", "nth1").alias("nth"))
+    return pick(by_filter).unionByName(pick(free)).distinct()
+
+
+def _form(templates: DataFrame) -> DataFrame:
+    return add_tokens(templates.select("table_id", "template_id", "lf")).select("table_id", "template_id", canonical(F.col("tokens")).alias("text"))
 
 
 def fill(templates: DataFrame, cells: DataFrame) -> DataFrame:
-    """(table_id, template_id, statement): the distinct true statements of supported templates.
+    """(table_id, template_id, statement): the distinct true statements of every template that ``coverage`` calls
+    ``statements``.
 
     templates (table_id, template_id, lf), checked before; cells as ``query_cells`` gives them.
     """
-    shaped = shapes(templates)
-    present = {(r.func, r.selfunc, r.hop) for r in shaped.select("func", "selfunc", "hop").distinct().collect()}
-    hot = is_hot(cells, ["table_id"])
-    kinds_of = lambda df: {r[0] for r in df.select("coltype").distinct().collect()}
-    everything = shaped.withColumn("sel", F.lit("all_rows"))
-
-    # One branch per function and column type reads these relations, so they are written down once.
-    selecting = materialise(_with_cells(
-        everything.where(F.col("selfunc") != "").select(*KEY, "func", "selfunc", "selcol", "col"), cells, "selcol"))
-    scoped = _with_cells(everything.where((F.col("selfunc") == "") & (F.col("col") != "")).select(*KEY, "func", "selfunc", "col", "hop"), cells, "col")
-    if any(s == "filter_eq" and f not in ("count", "only") for f, s, _ in present):
-        inner = selecting.where((F.col("selfunc") == "filter_eq") & ~F.col("func").isin("count", "only"))
-        chosen = _eq_members(inner, hot, kinds_of(inner)).join(shaped.select("table_id", "template_id", "func", "selfunc", "col", "hop"), ["table_id", "template_id"])
-        scoped = scoped.unionByName(_with_cells(chosen, cells, "col"), allowMissingColumns=True)
-
-    scoped = materialise(scoped)
-    kinds: dict[tuple, set[str]] = {}
-    for r in scoped.select("func", "hop", "coltype").distinct().collect():
-        kinds.setdefault((r.func, r.hop), set()).add(r.coltype)
-
-    parts: list[DataFrame] = []
-    add = lambda df, filled, out: parts.append(df.select(*KEY, filled.alias("filled"), out.alias("out")))
-    none, filled, out = F.lit(None).cast("string"), F.col("filled"), F.col("out")
-    for func, selfunc, hop in sorted(present):
-        if func in ("count", "only") and selfunc in SELECTORS:
-            limit = "many" if func == "count" else "one"
-            mine = selecting.where((F.col("func") == func) & (F.col("selfunc") == selfunc))
-            found = _per_class(mine, selfunc, lambda t, c: SELECTORS[selfunc](t, c, rows=limit), hot, kinds_of(mine))
-            add(found, filled, F.col("val_count").cast("string"))
-            continue
-        if selfunc not in ("", "filter_eq"):
-            continue
-        mine = scoped.where((F.col("func") == func) & (F.col("hop") == hop) & (F.col("selfunc") == selfunc))
-        found_kinds = kinds.get((func, hop), set())
-        if func in SCALARS:
-            add(_per_class(mine, func, SCALARS[func], hot, found_kinds), none, out)
-        elif func in CLAIMS:
-            add(_per_class(mine, func, CLAIMS[func], hot, found_kinds), filled, none)
-        elif func in NTH:
-            add(_per_class(mine, func, NTH[func], hot, found_kinds), F.col("nth").cast("string"), F.col("raw"))
-        elif hop and func in (*ROWS, *NTH_ROWS, *SELECTORS):
-            add(_hopped(mine, shaped, cells, func, hot, found_kinds), filled, out)
-
-    if not parts:
-        return templates.sparkSession.createDataFrame([], "table_id string, template_id string, statement string")
-    options = reduce(DataFrame.unionByName, parts).join(shaped.drop("lf"), ["table_id", "template_id"])
-    return options.select("table_id", "template_id", _statement().alias("statement")).distinct()
-
-
-def _hopped(rows: DataFrame, shaped: DataFrame, cells: DataFrame, func: str, hot: bool, kinds: set[str]) -> DataFrame:
-    """(KEY, filled, out): the cell of the hop column in the row a function picks."""
-    def pick(t: KeyedTable, cls: str) -> DataFrame:
-        if func in ROWS:
-            return ROWS[func](t, cls).select(*KEY, "row_idx", F.lit(None).cast("string").alias("filled"))
-        if func in NTH_ROWS:
-            return NTH_ROWS[func](t, cls).select(*KEY, "row_idx", F.col("nth").cast("string").alias("filled"))
-        single = SELECTORS[func](t, cls, rows="one").select(*KEY, "filled")
-        if func == "filter_eq":
-            return join_on(t.df.select(*KEY, "row_idx", F.col("raw").alias("filled")), single, [*KEY, "filled"])
-        # one selected row of a range: the extreme one
-        extreme = superlatives.col_argmax if "greater" in func else superlatives.col_argmin
-        return join_on(extreme(t, cls).select(*KEY, "row_idx"), single, KEY)
-
-    rows_found = _per_class(rows, func, pick, hot, kinds)
-    named = rows_found.join(shaped.select("table_id", "template_id", "hopcol"), ["table_id", "template_id"])
-    return _with_cells(named, cells, "hopcol").select(*KEY, "filled", F.col("raw").alias("out"))
-
-
-def _statement() -> Column:
-    """Text of an option, from the parts of its shape."""
-    sel_filled = F.when(
-        F.col("func").isin("count", "only") & (F.col("selfunc") != ""),
-        F.concat("selfunc", F.lit(" { all_rows ; "), "selcol", F.lit(" ; "), "filled", F.lit(" }")),
-    ).otherwise(F.col("sel"))
-    column = F.when(F.col("col") != "", F.concat(F.lit(" ; "), "col")).otherwise("")
-    hole = F.when(F.col("hole") != "", F.concat(F.lit(" ; "), "filled")).otherwise("")
-    core = F.concat("func", F.lit(" { "), sel_filled, column, hole, F.lit(" }"))
-    hopped = F.when(F.col("hop") != "", F.concat(F.lit("hop { "), core, F.lit(" ; "), "hopcol", F.lit(" }"))).otherwise(core)
-    return F.when(F.col("wrap") != "", F.concat("wrap", F.lit(" { "), hopped, F.lit(" ; "), "out", F.lit(" }"))).otherwise(hopped)
-
-
-def fill_pairs(templates: DataFrame, cells: DataFrame, func: str) -> DataFrame:
-    """Fillings of ``func { hop { filter_eq .. } ; hop { filter_eq .. } }`` templates, factorised as in
-    ``compare.pairs``: (table_id, template_id, first, v, rank, ranges of the second row, n_pairs)."""
-    part = lambda i: F.regexp_extract("form", _PAIR, i)
-    named = add_tokens(templates).select(*templates.columns, canonical(F.col("tokens")).alias("form"))
-    wanted = named.select("table_id", "template_id", part(1).alias("f"), part(2).alias("selcol"), part(3).alias("hopcol")).where(F.col("f") == func)
-    chosen = _with_cells(wanted, cells, "selcol").select("table_id", "template_id", "hopcol", "row_idx", F.col("raw").alias("picked"))
-    rows = chosen.join(cells.select("table_id", "row_idx", F.col("col_name").alias("hopcol"), "num"), ["table_id", "row_idx", "hopcol"])
-    t = KeyedTable(rows, ["table_id", "template_id"], ["row_idx"], hot=is_hot(cells, ["table_id"]))
-    return compare.pairs(t, func, "picked", "num")
-
-
-def execution_check(templates: DataFrame, checked: DataFrame, statements: DataFrame) -> DataFrame:
-    """(table_id, template_id, syntax_ok, n_statements) of every template; one that fails has none."""
-    counts = statements.groupBy("table_id", "template_id").agg(F.count(F.lit(1)).alias("n"))
+    exprs = stored(expressions(templates), "fill-expressions")
+    values, claims = (stored(x, "fill-values") for x in _values_and_claims(exprs, cells))
+    sided, diffs = _two_sided(exprs, values)
+    simple = reduce(DataFrame.unionByName, [claims, sided, _equations(exprs, values.unionByName(diffs))])
+    joined = _both(exprs.where("not (func0 = 'and' or func1 = 'and')"), simple)
+    return _form(templates).join(simple.unionByName(joined), ["table_id", "text"]).select("table_id", "template_id", F.col("lf").alias("statement")).distinct()
+
+
+def coverage(templates: DataFrame) -> DataFrame:
+    """(table_id, template_id, filled_by): ``statements``, ``pairs``, or why a template is not filled."""
+    inner = F.col("func0").isNotNull() & F.col("func1").isNotNull()
+    both_open = F.col("func").isin(*TWO_SIDED, "diff") & inner & _is_open(F.col("arg0")) & _is_open(F.col("arg1"))
+    hops = (F.col("func0") == "hop") & (F.col("func1") == "hop")
+    known = [*FILTERS, "filter_all", *SCALARS, *PICKS, *CLAIMS, *TWO_SIDED, "count", "only", "hop", "diff", "and", "round_eq"]
+    reason = (
+        F.when(~F.col("func").isin(*known), F.concat(F.lit("unknown function "), "func"))
+        .when(F.col("func").isin(*FILTERS, "filter_all") & (F.col("level") > LEVELS), F.lit(f"more than {LEVELS} filters inside each other"))
+        .when(F.col("func") == "all_not_eq", F.lit("never has an option"))
+        .when((F.col("func") == "and") & ((F.col("func0") == "and") | (F.col("func1") == "and")), F.lit("and inside and"))
+        .when((F.col("func") == "and") & inner & _open_and(), F.lit("sides of and with several options each and nothing shared"))
+        .when(both_open & hops & _paired(), F.lit("pairs"))
+        .when(both_open, F.lit("two sides with several options each")))
+    # What cannot be filled at all weighs more than pairs.
+    worst = F.max(F.struct((F.col("reason") != "pairs").alias("w"), F.col("reason")))
+    parsed = _parsed(templates)
+    found = parsed.select("lf", reason.alias("reason")).where("reason is not null").groupBy("lf").agg(worst.alias("r"))
+    read = templates.join(parsed.select("lf").distinct().withColumn("read", F.lit(True)), "lf", "left_outer").join(found, "lf", "left_outer")
+    return read.select("table_id", "template_id", F.when(F.col("read").isNull(), "not readable").otherwise(F.coalesce("r.reason", F.lit("statements"))).alias("filled_by"))
+
+
+def _paired() -> Column:
+    """Hops that ``fill_pairs`` compares: at the top, or in a difference; ``eq`` of alike ones only."""
+    alike = (F.col("func") != "eq") | (F.col("arg0") == F.col("arg1"))
+    return alike & F.when(F.col("func") == "diff", F.col("parent") == "eq").otherwise(F.col("parent").isNull())
+
+
+def fill_pairs(templates: DataFrame, cells: DataFrame) -> DataFrame:
+    """Fillings of ``func { hop ; hop }`` and ``eq { diff { hop ; hop } ; X }`` where both hops have several options.
+
+    (table_id, template_id, func, first, v, partner_from, partner_to, except_from, except_to, n_pairs): the second
+    parts are the options of the second hop ranked by value (then text), with ranks in ``partner_from..partner_to``
+    outside ``except_from..except_to``. Sides may differ in filters and columns. An option of ``eq`` is no partner
+    of itself. Empty cells take part in ``not_eq`` only, where they differ from all others.
+    """
+    exprs = stored(expressions(templates), "fill-expressions")
+    values = stored(_values_and_claims(exprs, cells)[0], "fill-values")
+    inner = (F.col("func0") == "hop") & (F.col("func1") == "hop")
+    asked = exprs.where(F.col("func").isin(*TWO_SIDED, "diff") & inner & _is_open(F.col("arg0")) & _is_open(F.col("arg1")) & _paired())
+    asked = asked.select("table_id", "func", "text", "arg0", "arg1").distinct()
+    first = asked.join(_side(values, 0), ["table_id", "arg0"]).select("table_id", "func", "text", "lf0", F.col("v0").alias("v"), F.lit(0).alias("second"), F.lit("").alias("lf"), F.col("arg0") == F.col("arg1"))
+    first = first.toDF("table_id", "func", "text", "lf0", "v", "second", "lf", "alike")
+    second = asked.join(_side(values, 1), ["table_id", "arg1"]).select("table_id", "func", "text", F.lit(None).cast("string").alias("lf0"), F.col("v1").alias("v"), F.lit(1).alias("second"), F.col("lf1").alias("lf"), F.lit(False).alias("alike"))
+    empty = F.col("v").isNull() & (F.col("func") != "not_eq")
+    both = first.unionByName(second).where(~empty)
+    by = ["table_id", "func", "text"]
+    classes = both.groupBy(*by, "v").agg(F.sum("second").alias("c"))
+    ranked = running(classes, by, [F.col("v")], sums={"upto": F.col("c")}, totals={"n": ("sum", F.col("c"))}, hot=False).withColumn("below", F.col("upto") - F.col("c"))
+    # Place of an option among the second parts of equal value, for options that are no partners of themselves.
+    among = second.where(~empty).withColumn("nth", F.row_number().over(W.partitionBy(*by, "v").orderBy("lf"))).select(*by, F.col("lf").alias("lf0"), "nth")
+    rows = join_on(first.where(~empty).drop("second", "lf"), ranked, [*by, "v"]).join(among, [*by, "lf0"], "left_outer")
+    below, upto, n, one = F.col("below"), F.col("upto"), F.col("n"), F.lit(1).cast("long")
+    own = F.when(F.col("alike"), below + F.col("nth"))
+    case = lambda **by_func: reduce(lambda acc, x: acc.when(F.col("func") == x[0], x[1]), list(by_func.items())[1:], F.when(F.col("func") == list(by_func)[0], list(by_func.values())[0]))
+    apart = n - (upto - below)
+    out = rows.select(
+        "table_id", "text", "func", F.col("lf0").alias("first"), "v",
+        case(greater=one, less=upto + 1, eq=below + 1, not_eq=one, diff=one).alias("partner_from"),
+        case(greater=below, less=n, eq=upto, not_eq=n, diff=n).alias("partner_to"),
+        case(eq=own, not_eq=below + 1, diff=below + 1).alias("except_from"), case(eq=own, not_eq=upto, diff=upto).alias("except_to"),
+        case(greater=below, less=n - upto, eq=upto - below - 1, not_eq=apart, diff=apart).alias("n_pairs"))
+    whole = F.when(F.col("func") == "diff", F.concat(F.lit("eq { "), "text", F.lit(" ; X }"))).otherwise(F.col("text"))
+    return _form(templates).join(out.where("n_pairs > 0").withColumn("text", whole), ["table_id", "text"]).drop("text")
+
+
+def execution_check(templates: DataFrame, checked: DataFrame, statements: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(table_id, template_id, syntax_ok, n_statements) of every template; one that fails has none. A first part of
+    ``pairs`` stands for as many statements as it has partners."""
     keys = ["table_id", "template_id"]
+    found = statements.select(*keys, F.lit(1).cast("long").alias("n"))
+    if pairs is not None:
+        found = found.unionByName(pairs.select(*keys, F.col("n_pairs").cast("long").alias("n")))
+    counts = found.groupBy(*keys).agg(F.sum("n").alias("n"))
     return templates.select(*keys).join(checked.select(*keys, "syntax_ok"), keys, "left_outer").join(counts, keys, "left_outer").select(
         *keys, F.coalesce("syntax_ok", F.lit(False)).alias("syntax_ok"), F.coalesce("n", F.lit(0)).alias("n_statements"))
