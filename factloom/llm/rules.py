@@ -102,7 +102,10 @@ def with_statistics(docs: DataFrame, keep: Sequence[str] | None = None) -> DataF
     repeats = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long")).otherwise(_repeated(F.col("windows")))
     d = c.select("*", repeats.alias("n_repeat_words")).drop("windows")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return d.select("doc", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    # Behind a generator of one row: a condition on statistics cannot be moved below them, to compute them again.
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    e = d.select("doc", "lang", "source", F.inline(F.array(F.struct(*names))))
+    return e.select("*", failed.alias("base_failed"))
 
 
 def features() -> list[Column]:
