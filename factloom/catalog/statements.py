@@ -251,10 +251,14 @@ def _comparisons(c: Catalog) -> None:
     c.add("rows_one", lambda s, d: selectors.filter_eq(events(s, d), "val", rows="one"),
           f"with {EVENTS} select k as user_id, raw as filled, cnt as val_count from vc where cnt = 1")
     single = "s as (select o_custkey as k, o_orderdate as f, min(o_totalprice) as v from orders group by all having count(*) = 1)"
-    for func, op in (("greater", ">"), ("less", "<"), ("not_eq", "<>"), ("diff", "<>")):
+    ranges = {"greater": ("1", "lo", "0", "0", "lo"), "less": ("hi + 1", "n", "0", "0", "n - hi"), "not_eq": ("1", "n", "lo + 1", "hi", "n - (hi - lo)"), "diff": ("1", "n", "lo + 1", "hi", "n - (hi - lo)")}
+    names = ("partner_from", "partner_to", "except_from", "except_to", "n_pairs")
+    around = "p as (select *, rank() over (partition by k order by v) - 1 as lo, count(*) over (partition by k order by v) as hi, count(*) over (partition by k) as n from s)"
+    for func, parts in ranges.items():
+        listed = ", ".join(f"cast({r} as bigint) as {x}" for r, x in zip(parts, names))
         c.add(f"pairs_{func}",
-              lambda s, d, func=func: compare.pairs(orders(s, d), func, "o_orderdate", "o_totalprice").select("o_custkey", "first", "v", "n_pairs"),
-              f"with {single} select a.k as o_custkey, cast(a.f as varchar) as first, a.v, count(*) as n_pairs from s a join s b on a.k = b.k and a.f <> b.f and a.v {op} b.v group by all")
+              lambda s, d, func=func: compare.pairs(orders(s, d), func, "o_orderdate", "o_totalprice").select("o_custkey", "first", "v", *[F.coalesce(x, F.lit(0)).alias(x) for x in names]),
+              f"with {single}, {around} select * from (select k as o_custkey, cast(f as varchar) as first, v, {listed} from p) where n_pairs > 0")
     c.add("pairs_eq",
           lambda s, d: compare.pairs(KeyedTable(read(s, d, "lineitem"), ["l_suppkey"]), "eq", "l_extendedprice", "l_quantity").select("l_suppkey", "first", "n_pairs"),
           f"""with s as (select l_suppkey as k, l_extendedprice as f, min(l_quantity) as v from lineitem group by all having count(*) = 1)

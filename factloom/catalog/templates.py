@@ -160,12 +160,15 @@ def register(c: Catalog) -> None:
           f"""with {_texts(both)}, w as (select table_id, template_id, string_split(regexp_replace(regexp_replace(lf, ' = true$', ''), ' ([{{}};])', '|\\1|', 'g'), '|') as a from tt),
 u as (select table_id, template_id, trim(unnest(a)) as token, generate_subscripts(a, 1) as p from w)
 select table_id, template_id, (row_number() over (partition by table_id, template_id order by p) - 1)::int as pos, token from u where token <> ''""")
-    c.add("template_nodes", lambda s, d: T.template_nodes(templates(s, d, both).withColumn("template_id", F.concat_ws("-", "table_id", "template_id"))).select("template_id", "node_id", "depth", "func", "leaf"),
-          f"""with {_texts(both)}, w as (select table_id || '-' || template_id as template_id, string_split(regexp_replace(regexp_replace(lf, ' = true$', ''), ' ([{{}};])', '|\\1|', 'g'), '|') as a from tt),
+    c.add("template_nodes", lambda s, d: T.template_nodes(templates(s, d, both).withColumn("template_id", F.concat_ws("-", "table_id", "template_id"))).select("template_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "arg_pos", "depth", "func", "leaf"),
+          f"""with {_texts(both)}, w as (select template_id, string_split(regexp_replace(regexp_replace(lf, ' = true$', ''), ' ([{{}};])', '|\\1|', 'g'), '|') as a from tl),
 u as (select template_id, trim(unnest(a)) as token, generate_subscripts(a, 1) as p from w),
 v as (select template_id, token, row_number() over (partition by template_id order by p) - 1 as node_id from u where token <> ''),
-x as (select *, lead(token) over (partition by template_id order by node_id) as nxt, coalesce(sum(case token when '{{' then 1 when '}}' then -1 else 0 end) over (partition by template_id order by node_id rows between unbounded preceding and 1 preceding), 0) as depth from v)
-select template_id, node_id::int as node_id, depth::int as depth, case when nxt = '{{' then token end as func, case when coalesce(nxt, '') <> '{{' then token end as leaf from x where token not in ('{{', '}}', ';')""")
+x as (select *, lead(token) over (partition by template_id order by node_id) as nxt, coalesce(sum(case token when '{{' then 1 when '}}' then -1 else 0 end) over (partition by template_id order by node_id rows between unbounded preceding and 1 preceding), 0) as depth from v),
+n as (select template_id, node_id, depth, case when nxt = '{{' then token end as func, case when coalesce(nxt, '') <> '{{' then token end as leaf from x where token not in ('{{', '}}', ';')),
+h as (select n.*, (select max(p.node_id) from n p where p.template_id = n.template_id and p.node_id < n.node_id and p.func is not null and p.depth = n.depth - 1) as parent_id from n),
+o as (select *, row_number() over (partition by template_id, parent_id order by node_id) - 1 as arg_pos from h)
+select c_custkey || '-' || template_id as template_id, node_id::int as node_id, coalesce(parent_id, -1)::int as parent_id, arg_pos::int as arg_pos, depth::int as depth, func, leaf from o, customer""")
 
     def swapped(s, d, columns):
         """Filled statements with their own literals, made into templates again."""
