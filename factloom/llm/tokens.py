@@ -92,6 +92,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # Marks that this tokenizer parts from the letters before them: a word is then encoded once for all of them.
+        marks = ".,;:!?"
+        alone = dict(zip(marks, self._whole(list(marks))))
+        word, *marked = self._whole([" ab", *(" ab" + m for m in marks)])
+        self.marks = {m: alone[m] for m, ids in zip(marks, marked) if ids == word + alone[m]}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,11 +112,19 @@ class Encoder:
         if None in found:
             if len(self.known) > KNOWN:
                 self.known.clear()
-            new = list(dict.fromkeys(p for p in parts if p not in self.known))
-            self.known.update(self._chunks(new))
-            found = list(map(self.known.__getitem__, parts))
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            self._learn([parts[i] for i in gaps])
+            for i in gaps:
+                found[i] = self.known[parts[i]]
         return first + b"".join(found)
 
+    def _learn(self, new: list[str]) -> None:
+        known, marks = self.known, self.marks
+        stems = {p: p[:-1] for p in new if p and p[-1] in marks and p[:-1].isalpha()}
+        wanted = dict.fromkeys(stems.get(p, p) for p in new)
+        known.update(self._chunks([p for p in wanted if p not in known]))
+        known.update((p, known[stem] + marks[p[-1]]) for p, stem in stems.items())
+
     def _chunks(self, new: list[str]) -> dict[str, bytes]:
         """Ids of `` chunk`` for each chunk, from one call over all of them in a row."""
         plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace() and "<|" not in p]
