@@ -27,6 +27,8 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 CODE = r"(?<![A-Za-z0-9])[A-Z]{1,4}-?[0-9]{6,}(?![A-Za-z0-9])"
 ADDRESS = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9.@-])"
 LEAST_DIGITS = 7
+# Kinds whose values an identifier of digits may repeat in another notation.
+OF_DIGITS = ("card", "phone")
 
 ROUNDS = 3
 # A pattern speaks when it meets this many good instances, weighs with at least this share of good ones among all.
@@ -108,14 +110,20 @@ def _patterns(text: Column, entity: Column) -> Column:
     return F.array_compact(found)
 
 
+def _key(entity: Column) -> Column:
+    """What notations of one value share. Addresses and ip keep their dots, so they never equal a group of digits."""
+    whole = (entity["kind"] == "ip") | F.contains(entity["value"], F.lit("@"))
+    return F.lower(F.when(whole, entity["value"]).otherwise(F.regexp_replace(entity["value"], "[^A-Za-z0-9]", "")))
+
+
 def _with_patterns(text: Column, entities: Column) -> Column:
-    return F.transform(entities, lambda e: F.struct(e["kind_no"].alias("kind_no"), e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"), F.lower(F.regexp_replace(e["value"], "[^A-Za-z0-9@]", "")).alias("value"), _patterns(text, e).alias("patterns")))
+    return F.transform(entities, lambda e: F.struct(e["kind_no"].alias("kind_no"), e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"), _key(e).alias("value"), _patterns(text, e).alias("patterns")))
 
 
 def accepted_values(entities: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Values (``value``) of unknown entities that reach the score, from all entities (``value``, ``patterns``, ``kind``).
 
-    A value that is a seed anywhere is known. Repeats of a value with the same pattern are one edge, so copies of a
+    A value that is a seed anywhere is known and not among them. Repeats of a value with the same pattern are one edge, so copies of a
     document add nothing. Edges are joined and summed, never listed per pattern or value.
     """
     pairs = entities.select("value", (F.col("kind") != KINDS[-1]).alias("seed"), F.explode("patterns").alias("pattern"))
@@ -141,7 +149,8 @@ def find_pii(docs: DataFrame, keep: Sequence[str] | None = None, rounds: int = R
     """The kept columns of each row as ``doc`` with ``entities``: an array of (kind_no, start, end, kind), by kind and start.
 
     docs: ``text``, any other columns. Positions are code points, end exclusive. Kinds: ``email``, ``ip``, ``card``,
-    ``phone`` from fixed patterns, ``context`` from learnt ones. Null and empty texts have none; rows stay one by
+    ``phone`` from fixed patterns, ``context`` from learnt ones or as another notation of a card or phone found
+    anywhere. Null and empty texts have none; rows stay one by
     one. Texts are read once; what goes on holds entities only.
     """
     keep = docs.columns if keep is None else keep
@@ -151,8 +160,9 @@ def find_pii(docs: DataFrame, keep: Sequence[str] | None = None, rounds: int = R
     rows = staged(both.withColumn("row_no", F.monotonically_increasing_id()), "pii-rows")
     entities = rows.select("row_no", F.explode("all").alias("e")).select("row_no", "e.*")
     learnt = accepted_values(entities.select("value", "patterns", "kind"), rounds)
-    # Few rows: one for each learnt entity, collected per document.
-    new = entities.where(F.col("kind") == KINDS[-1]).join(learnt, "value", "left_semi").groupBy("row_no").agg(F.collect_list(F.struct("kind_no", "start", "end", "kind")).alias("more"))
+    certain = entities.where(F.col("kind").isin(*OF_DIGITS)).select("value").distinct()
+    # Few rows: one for each learnt or certain entity, collected per document.
+    new = entities.where(F.col("kind") == KINDS[-1]).join(learnt.union(certain), "value", "left_semi").groupBy("row_no").agg(F.collect_list(F.struct("kind_no", "start", "end", "kind")).alias("more"))
     plain = F.transform(F.filter("all", lambda e: e["kind"] != KINDS[-1]), lambda e: F.struct(e["kind_no"].alias("kind_no"), e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind")))
     found = rows.join(new, "row_no", "left")
     return found.select("doc", F.array_sort(F.concat(plain, F.coalesce("more", F.array().cast("array<struct<kind_no:int,start:int,end:int,kind:string>>")))).alias("entities"))

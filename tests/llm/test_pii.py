@@ -59,6 +59,21 @@ def test_contexts_teach(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_known_values_in_other_notations(spark):
+    # The second notation counts alone and next to any words; an ip is no group of eight digits.
+    rows = ["reach me at +1 743 555 3824 please", "call 1 743 555 3824", "1-743-555-3824", "paid 4111-1111-1111-1111", "host 10.20.30.40 is up", "lot 10203040 sold"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc.doc_id: [tuple(e) for e in x.entities] for x in pii.find_pii(docs).collect()}
+    assert got == {0: [(3, 12, 27, "phone")], 1: [(4, 5, 19, "context")], 2: [(4, 0, 14, "context")], 3: [(2, 5, 24, "card")], 4: [(1, 5, 16, "ip")], 5: []}
+
+
+def test_ip_silences_no_digits(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "4222222222222220", "378282246310005", "6011111111111117", "3530111333300000", "5105105105105100"]
+    rows = [f"please pay with card number {c} today" for c in cards] + ["please pay with card number 10203040 today"]
+    found = lambda rows: {x.doc.doc_id: [tuple(e) for e in x.entities] for x in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}[len(cards)]
+    assert found(rows) == found([*rows, "host 10.20.30.40 is up"]) == [(4, 28, 36, "context")]
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = pii.find_pii(docs)._jdf.queryExecution().toString()
