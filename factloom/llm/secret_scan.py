@@ -33,12 +33,19 @@ CLASSES = (
     (r"^[0-9A-F]+$", (r"[0-9]", r"[A-F]"), 2.9),
     (rf"^[{KEY_CHARS}]+$", (r"[0-9]", r"[a-z]", r"[A-Z]"), 3.6),
 )
-# Runs that are no secrets although they look random, and words just before a run that say it is a checksum.
+# Runs and words in them that are no secrets although they look random, and words just before a run that say it is a checksum.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456|12345678|abcdefg",
 )
 ALLOWED_BEFORE = r"(?i)(sha-?\d*|md5|checksum|digest|integrity|etag|commit|revision|uuid|guid)\W{0,4}$"
+# What may be a checksum: hexadecimal, base64 or UUID of a usual length, perhaps behind its method.
+CHECKSUM = (
+    r"^(?i:(?:sha-?[0-9]{1,3}|md5)[_=-])?(?:(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})"
+    r"|(?:[A-Za-z0-9+/_-]{22}|[A-Za-z0-9+/_-]{38}|[A-Za-z0-9+/_-]{86})(?:==)?|(?:[A-Za-z0-9+/_-]{27}|[A-Za-z0-9+/_-]{43})=?|[A-Za-z0-9+/_-]{64})$"
+)
+# An allowed word excuses the key it is part of: letters and digits around it, this many on each side.
+KEY = 40
 
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -109,21 +116,36 @@ def _merged(spans: Column) -> Column:
 
 
 def entropy_spans(text: Column, classes: Sequence[tuple] = CLASSES, allowed: Sequence[str] = ALLOWED, allowed_before: str = ALLOWED_BEFORE) -> Column:
-    """Spans (start, end) of high entropy inside runs of key characters that the allow lists do not excuse."""
+    """Spans (start, end) of high entropy inside runs of key characters that the allow lists do not excuse.
+
+    Windows that touch an allowed word or the letters and digits next to it (``KEY`` on each side) are excused, the
+    others of the run are not. A word before a run excuses it if it has the form of a checksum.
+    """
     runs = match_spans(text, rf"(?<![{KEY_CHARS}])[{KEY_CHARS}]{{{WINDOW},}}+")
 
-    def excused(run: Column) -> Column:
-        out = F.substring(text, F.greatest(run["start"] - 23, F.lit(1)), F.least(run["start"], F.lit(24))).rlike(allowed_before)
-        for pattern in allowed:
-            out = out | run["match"].rlike(pattern)
-        return out
+    before = lambda run: F.substring(text, F.greatest(run["start"] - 23, F.lit(1)), F.least(run["start"], F.lit(24)))
+    words = "|".join(f"(?:{p})" for p in allowed) or "(?!)"
+    part = f"(?:[A-Za-z0-9]{{0,{KEY}}}(?:{words}))++[A-Za-z0-9]{{0,{KEY}}}"
+
+    def free(run: Column) -> Column:
+        """What the allowed words leave of a run: (start, match) of the pieces between them."""
+        size = F.length(run["match"])
+
+        def between(taken: Column) -> Column:
+            starts = F.concat(F.array(F.lit(0)), F.transform(taken, lambda x: x["end"]))
+            ends = F.concat(F.transform(taken, lambda x: x["start"]), F.array(size))
+            return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct((run["start"] + x["a"]).alias("start"), run["match"].substr(x["a"] + 1, x["b"] - x["a"]).alias("match")))
+
+        whole = F.array(F.struct(run["start"].alias("start"), run["match"].alias("match")))
+        return F.filter(F.when(run["match"].rlike(words), bind(match_spans(run["match"], part), between)).otherwise(whole), lambda x: F.length(x["match"]) >= WINDOW)
 
-    def of_run(run: Column) -> Column:
+    def of_piece(run: Column) -> Column:
         stride = PIECE - WINDOW + 1
         offsets = F.sequence(F.lit(0), F.floor((F.length(run["match"]) - WINDOW) / F.lit(stride)).cast("int"))
         return F.flatten(F.transform(offsets, lambda k: bind(run["match"].substr(k * stride + 1, F.lit(PIECE)), lambda p: _windows(p, run["start"] + k * stride, classes))))
 
-    return _merged(F.flatten(F.transform(F.filter(runs, lambda r: ~excused(r)), of_run)))
+    checksum = lambda run: run["match"].rlike(CHECKSUM) & before(run).rlike(allowed_before)
+    return _merged(F.flatten(F.transform(F.flatten(F.transform(F.filter(runs, lambda r: ~checksum(r)), free)), of_piece)))
 
 
 def secrets(text: Column) -> Column:

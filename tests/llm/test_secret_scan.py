@@ -67,6 +67,22 @@ def test_spans(spark):
     assert scan.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_allowed_words_excuse_their_key_only(spark):
+    r = random.Random(4)
+    rand = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    key = rand(40)
+    texts = ["com/sample/projects/" + key, "sample" + "a" * 500 + key, rand(300) + "xxxx" + rand(300), "checksum " + rand(200), "x" * 300_000 + "/" + key]
+    none = ["checksum " + rand(64), "EXAMPLE" + rand(40), "integrity='sha384-" + rand(64) + "'", "550e8400-e29b-41d4-a716-446655440000", rand(20) + "example" + rand(20) + "dummy" + rand(30)]
+    docs = spark.createDataFrame(list(enumerate(texts + none)), "doc_id long, text string").repartition(4)
+    got = {x.doc.doc_id: [(s.start, s.end) for s in x.secrets if s.kind == "entropy"] for x in scan.find_secrets(docs).collect()}
+    for i in (0, 1, 4):
+        [(start, end)] = got[i]
+        assert len("com/sample") <= start <= len(texts[i]) - len(key) and end == len(texts[i]), i
+    assert got[2][0][0] == 0 and got[2][0][1] == 260 and got[2][1:] == [(344, 604)]
+    assert got[3] == [(9, 209)]
+    assert not any(got[i] for i in range(len(texts), len(texts + none)))
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = scan.find_secrets(docs)._jdf.queryExecution().toString()
