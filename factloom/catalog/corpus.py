@@ -216,10 +216,15 @@ select ln.table_id, 0 as part, 'Title: ' || any_value(title) || '. ' || string_a
     c.add("statement_records_train",
           lambda s, d: L.statement_records(info(s, d), forms(s, d), read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("ref"))),
           f"select cast(o_custkey as varchar) as table_id, 'train' as split, o_orderkey as pos, {made} as input, {lf} || ' = true' as lf, o_orderpriority as output from orders join customer on o_custkey = c_custkey")
-    c.add("baseline_records",
-          lambda s, d: L.baseline_records(
-              read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderpriority").alias("ref")),
-              L.linearise(order_cells(s, d), titles(s, d), "nl"), L.table_csv(order_cells(s, d))).select("table_id", "part", "output", F.md5("input").alias("input"), F.md5("table_csv").alias("table_csv")),
+    def baseline(s, d):
+        """Records with hashes of the whole texts they refer to; only hashes go to the references."""
+        texts, csv = L.linearise(order_cells(s, d), titles(s, d), "nl"), L.table_csv(order_cells(s, d))
+        refs = read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderpriority").alias("ref"))
+        inputs = L.whole_texts(texts, "input", ". ").select("table_id", F.md5("input").alias("input"))
+        files = L.whole_texts(csv, "csv", "\n").select("table_id", F.md5("csv").alias("table_csv"))
+        return L.baseline_records(refs, texts, csv).join(inputs, "table_id").join(files, "table_id").select("table_id", F.lit(0).alias("part"), "output", "input", "table_csv")
+
+    c.add("baseline_records", baseline,
           f"""with {CELLS}, {TITLES}, ln as (select table_id, row_idx, string_agg(raw, ',' order by col_idx) as t, 'Row, ' || string_agg(col_name || ': ' || raw, ', ' order by col_idx) as l from cells group by all),
 x as (select ln.table_id, md5('Status,Price,Date' || chr(10) || string_agg(t, chr(10) order by row_idx)) as table_csv, md5('Title: ' || any_value(title) || '. ' || string_agg(l, '. ' order by row_idx)) as input from ln join ti on ln.table_id = ti.table_id group by all)
 select x.table_id, 0 as part, o_orderpriority as output, input, table_csv from x join orders on x.table_id = cast(o_custkey as varchar)""")

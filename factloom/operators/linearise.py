@@ -38,7 +38,10 @@ def _tables(rows: DataFrame, row: Column, titles: DataFrame, head: Column, separ
 def linearise(
     cells: DataFrame, titles: DataFrame, style: str = "nl", highlighted_only: bool = False, rows_per_part: int = ROWS_PER_PART
 ) -> DataFrame:
-    """(table_id, part, input) in style ``nl`` (Row, h: v), ``nl_idxs`` (Row: i, h: v) or ``markers``."""
+    """(table_id, part, input) in style ``nl`` (Row, h: v), ``nl_idxs`` (Row: i, h: v) or ``markers``.
+
+    Parts are numbered from 0 in row order; title and header stand in part 0. All joined with the separator (``. ``,
+    a space for ``markers``) are the text of the table."""
     name, raw, number = F.col("col_name"), F.col("raw"), F.col("row_idx").cast("string")
     if style == "markers":
         cell = F.concat(F.lit(f"{MARKERS['header']} "), name, F.lit(f" {MARKERS['cell']} "), raw)
@@ -55,7 +58,9 @@ def linearise(
 
 
 def table_csv(cells: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """(table_id, part, csv): header line and rows as CSV text; quotes where a value needs them."""
+    """(table_id, part, csv): header line and rows as CSV text; quotes where a value needs them.
+
+    Parts are numbered from 0 in row order; the header line stands in part 0. Joined by line breaks they are the file."""
     quoted = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     rows = cells.groupBy(*TABLE_ROW).agg(
         F.array_sort(F.collect_list(F.struct("col_idx", quoted(F.col("raw")).alias("t"), quoted(F.col("col_name")).alias("h")))).alias("cs"))
@@ -93,12 +98,17 @@ def statement_records(tables: DataFrame, forms: DataFrame, references: DataFrame
     return made.join(references.select("table_id", "pos", F.col("ref").alias("output")), ["table_id", "pos"])
 
 
+def whole_texts(parts: DataFrame, column: str, separator: str) -> DataFrame:
+    """(table_id, ``column``): the parts of each table in order, joined to its whole text in one row."""
+    return parts.groupBy("table_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", column))), lambda x: x[column]), separator).alias(column))
+
+
 def baseline_records(rows: DataFrame, texts: DataFrame, csv: DataFrame) -> DataFrame:
-    """(input, output, table_id, part, table_csv) of rows (table_id, ref) with their table's text."""
-    return (
-        rows.select("table_id", F.col("ref").alias("output"))
-        .join(texts, "table_id").join(csv.select("table_id", "part", F.col("csv").alias("table_csv")), ["table_id", "part"])
-    )
+    """(table_id, output, parts): one row for each of the rows (table_id, ref) whose table has a text, whatever its
+    size. Input and CSV of a record are the ``parts`` parts of ``texts`` and ``csv`` with its table_id, in order."""
+    sizes = texts.join(csv.select("table_id", "part"), ["table_id", "part"]).groupBy("table_id").agg(F.count(F.lit(1)).alias("parts"))
+    return rows.select("table_id", F.col("ref").alias("output")).join(sizes, "table_id")
 
 
 def selection_records(features: DataFrame, templates: DataFrame | None, mode: str, header: DataFrame | None = None) -> DataFrame:
