@@ -25,7 +25,8 @@ FEATURES = 5
 # Share of the documents an estimate rests on, and how often it is concentrated.
 CORE = 0.5
 STEPS = 4
-# A group with fewer documents is judged by its language, a language with fewer by all documents.
+# An estimate of fewer documents is mixed with that of the language (a language's with that of all documents) by its
+# share of this number, so that no verdict hangs on one document more or less.
 LEAST_GROUP = 200
 # Features are held in thousandths as integers: sums are exact, whatever the order.
 SCALE = 1000
@@ -178,14 +179,26 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, factor: float) -> DataFr
     mean = total.select("*", *[(F.col(f"s{i}") / F.col("n") / float(SCALE)).alias(_M[i]) for i in range(FEATURES)])
     cov = {(i, j): factor * (F.col(f"q{i}{j}") / F.col("n") / float(SCALE * SCALE) - F.col(_M[i]) * F.col(_M[j])) + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
     out = mean.select("key", *_M, *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
-    # Cholesky factor, column by column; the floor keeps every diagonal entry above zero.
+    return staged(_factored(out).select("key", *_M, *_L.values()), "rules-estimate")
+
+
+def _factored(df: DataFrame) -> DataFrame:
+    """``df`` with the Cholesky factor of its covariances, column by column; the floor keeps the diagonal above zero."""
     for i, j in _PAIRS:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(_L[i, k]) * F.col(_L[j, k])
         value = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(_L[j, j])
-        out = out.withColumn(_L[i, j], value)
-    return staged(out.select("key", *_M, *_L.values()), "rules-estimate")
+        df = df.withColumn(_L[i, j], value)
+    return df
+
+
+def _mixed(df: DataFrame, share: str, own: str, wide: str, out: str) -> DataFrame:
+    """``df`` with the estimate ``own`` taken for ``share`` and ``wide`` for the rest, in columns that start with ``out``."""
+    w, v = F.col(share), 1 - F.col(share)
+    means = [(w * F.col(own + m) + v * F.col(wide + m)).alias(out + m) for m in _M]
+    covs = [(w * F.col(f"{own}c{i}{j}") + v * F.col(f"{wide}c{i}{j}")).alias(f"{out}c{i}{j}") for i, j in _PAIRS]
+    return df.select("*", *means, *covs)
 
 
 def estimates(stats: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
@@ -200,11 +213,15 @@ def estimates(stats: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     estimate, factor = staged(_start(rows), "rules-start"), consistency()
     for _ in range(STEPS):
         estimate = _concentrated(rows, estimate, factor)
-    # One row a group: which estimate judges it.
-    groups = narrow.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = W.partitionBy("lang")
-    level = F.when(F.col("n") >= least_group, F.concat(F.lit("both:"), _key(F.col("lang"), F.col("source")))).when(F.sum("n").over(by_lang) >= least_group, F.concat(F.lit("lang:"), _key(F.col("lang")))).otherwise("all")
-    return staged(groups.select(_key(F.col("lang"), F.col("source")).alias("group"), level.alias("key")).join(estimate, "key").drop("key"), "rules-used")
+    # One row a group: its estimate, its language's and that of all, mixed by the numbers of documents.
+    of = {(i, j): sum(F.col(_L[i, k]) * F.col(_L[j, k]) for k in range(j + 1)) for i, j in _PAIRS}
+    spelt = lambda x: estimate.select(F.col("key").alias(f"{x}key"), *[F.col(m).alias(x + m) for m in _M], *[c.alias(f"{x}c{i}{j}") for (i, j), c in of.items()])
+    upto = lambda n: F.least(F.lit(1.0), n / F.lit(float(least_group)))
+    groups = narrow.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("n_lang", F.sum("n").over(W.partitionBy("lang")))
+    named = groups.select(_key(F.col("lang"), F.col("source")).alias("group"), F.concat(F.lit("both:"), _key(F.col("lang"), F.col("source"))).alias("o_key"), F.concat(F.lit("lang:"), _key(F.col("lang"))).alias("l_key"), upto(F.col("n")).alias("w_group"), upto(F.col("n_lang")).alias("w_lang"))
+    joined = named.join(spelt("o_"), "o_key").join(spelt("l_"), "l_key").crossJoin(F.broadcast(spelt("a_").where("a_key = 'all'")))
+    mixed = _mixed(_mixed(joined, "w_lang", "l_", "a_", "u_"), "w_group", "o_", "u_", "")
+    return staged(_factored(mixed).select("group", *_M, *_L.values()), "rules-used")
 
 
 def judged_by(stats: DataFrame, used: DataFrame, chance: float = CHANCE) -> DataFrame:

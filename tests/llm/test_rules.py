@@ -83,6 +83,27 @@ def test_estimate_equals_numpy(spark):
     assert all(got[i].kept for i in range(1200) if i % 10 >= 3)
 
 
+def test_small_groups_lean_on_their_language_smoothly(spark):
+    rng = np.random.default_rng(2)
+    schema = "doc_id long, text string, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+
+    def row(i, source, letters):
+        n = int(np.exp(rng.normal(6, 0.5))) + 60
+        return (i, "", "en", source, n, int(n * rng.normal(letters, 0.2)), 0, 0, 0, False)
+
+    wide, small = [row(i, "wide", 5) for i in range(400)], [row(1000 + i, "small", 9) for i in range(100)]
+    probe = (2000, "", "en", "small", 460, 460 * 17 // 2, 0, 0, 0, False)
+
+    def distance(least_group):
+        stats = spark.createDataFrame([*wide, *small[:99], probe], schema)
+        return {x.doc_id: x.distance for x in rules.judged(stats, least_group=least_group).collect()}[2000]
+
+    # One document less than the number changes little; half of the number leans half on the language.
+    full = distance(100)
+    assert abs(distance(101) - full) < 0.3 * full
+    assert distance(200) > full
+
+
 def test_documents(spark):
     r = random.Random(0)
     words = [r.choice(["lo", "ri", "tem", "an"]) + r.choice(["sa", "du", "ki"]) + str(k)[:1] for k in range(3000)]
