@@ -123,9 +123,35 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archive record of every page says, from the merged capture index."""
+    from factloom.llm.archives import history
+
+    return history(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of every source, in every order."""
+    from factloom.llm.audit import FILTERS, audit, failures
+
+    flagged = failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = audit(flagged, FILTERS, F.col("source"), {"good": F.col("good"), "toxic": F.col("toxic")})
+    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", F.col("lost_good").alias("good_lost"), F.col("lost_toxic").alias("toxic_lost"), "shapley")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    from factloom.llm.ranked import search
+
+    return search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def register(catalog) -> None:
+    from factloom.llm.archives import WARC_SQL
+    from factloom.llm.audit import AUDIT_SQL
     from factloom.llm.licences import scan_sql
     from factloom.llm.mixing import MIX_SQL
+    from factloom.llm.ranked import RANKED_SQL
     from factloom.llm.repeats import REPEATS_SQL
 
     catalog.add("op1_secrets", op1_secrets)
@@ -138,3 +164,6 @@ def register(catalog) -> None:
     catalog.add("op8_decontaminate", op8_decontaminate)
     catalog.add("op9_simhash", op9_simhash)
     catalog.add("op10_mix", op10_mix, MIX_SQL)
+    catalog.add("op11_warc", op11_warc, WARC_SQL)
+    catalog.add("op12_filter_audit", op12_filter_audit, AUDIT_SQL)
+    catalog.add("op13_ranked_search", op13_ranked_search, RANKED_SQL)
