@@ -6,6 +6,7 @@ and the length of the longest match say which windows of items end at a word.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -182,6 +183,27 @@ def char_spans(raw: bytes, runs: Sequence[tuple[int, int]]) -> list[dict]:
     return [{"start": int(upto[starts[a]]), "end": int(upto[ends[b - 1]])} for a, b in runs]
 
 
+def without_runs(raw: bytes, runs: Sequence[tuple[int, int]]) -> bytes:
+    """A text without runs of words; what remains around a run is joined as it stands."""
+    starts, ends = word_places(raw)
+    at, out = 0, []
+    for a, b in runs:
+        out.append(raw[at : starts[a]])
+        at = int(ends[b - 1])
+    return b"".join([*out, raw[at:]])
+
+
+# The automaton a worker built last: its tasks share it.
+_BUILT: dict[str, Automaton] = {}
+
+
+def _automaton(key: str, shared, window: int) -> Automaton:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton([(name, words_of(raw)) for name, raw in shared.value], window)
+    return _BUILT[key]
+
+
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
@@ -216,9 +238,9 @@ LEAKS = T.StructType([
 ])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, rest: bool = False) -> DataFrame:
     """Each row of ``docs`` as the struct ``doc``, and ``leak``: words, hit runs (of words; as spans of code points),
-    items met, longest match.
+    items met, longest match. With ``rest`` also the text without the hit runs (null if there are none).
 
     docs: ``text``, any other columns. benchmark: ``item_id``, ``text``. Words are runs of digits, letters and
     characters beyond ASCII, A-Z lower-cased. A run is made of words inside occurrences of item windows. Null
@@ -226,19 +248,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     Items with the same id are one item. Rows are kept as they are, repeated ones too. No shuffle: blocks of
     items follow each other in one pass over the documents.
     """
-    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("raw", T.BinaryType()), T.StructField("leak", LEAKS)])
+    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("raw", T.BinaryType()), T.StructField("leak", LEAKS), T.StructField("rest", T.BinaryType())])
     spark = docs.sparkSession
     names = [docs[f"`{c}`"] for c in docs.columns]
-    out = docs.select(F.struct(*names).alias("doc"), docs["text"].cast("binary").alias("raw"), F.lit(None).cast(LEAKS).alias("leak"))
+    out = docs.select(F.struct(*names).alias("doc"), docs["text"].cast("binary").alias("raw"), F.lit(None).cast(LEAKS).alias("leak"), F.lit(None).cast("binary").alias("rest"))
     for block in item_blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = None
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if machine is None:
-                    machine = Automaton([(name, words_of(raw)) for name, raw in shared.value], window)
-                found = []
+                machine = _automaton(key, shared, window)
+                found, left = [], []
                 for raw, before in zip(batch["raw"], batch["leak"].to_pylist()):
                     text = raw.as_py() or b""
                     words = words_of(text)
@@ -247,10 +267,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                         runs = _merged([*runs, *((x["start"], x["end"]) for x in before["runs"])])
                     items = {x for x in items if x is not None} | set(before["items"] if before else ())
                     found.append({"n_words": len(words), "runs": [{"start": a, "end": b} for a, b in runs], "spans": char_spans(text, runs), "items": sorted(items), "longest": max(longest, before["longest"] if before else 0)})
-                yield pa.RecordBatch.from_arrays([batch["doc"], batch["raw"], pa.array(found, batch.schema.field("leak").type)], schema=batch.schema)
+                    left.append(without_runs(text, runs) if rest and runs else None)
+                yield pa.RecordBatch.from_arrays([batch["doc"], batch["raw"], pa.array(found, batch.schema.field("leak").type), pa.array(left, batch.schema.field("rest").type)], schema=batch.schema)
 
         out = out.mapInArrow(scan, schema)
-    return out.drop("raw")
+    return out.select("doc", "leak", *([F.col("rest").cast("string").alias("rest")] if rest else []))
 
 
 def n_hit(leak: str = "leak"):
@@ -263,14 +284,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     Columns and clean rows stay as they are. What remains around a cut is joined as it stands.
     """
-    found = find_leaks(docs, benchmark, window)
+    found = find_leaks(docs, benchmark, window, rest=True)
     kept = found.where((F.size("leak.runs") == 0) | (n_hit() <= most_covered * F.col("leak.n_words")))
-
-    def step(acc, span):
-        piece = F.substring(F.col("doc.text"), acc["at"].cast("int") + 1, (span["start"] - acc["at"]).cast("int"))
-        return F.struct(span["end"].alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate("leak.spans", none, step, lambda acc: F.concat(acc["out"], F.substring(F.col("doc.text"), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    clean = F.when(F.size("leak.spans") == 0, F.col("doc.text")).otherwise(rest)
+    clean = F.when(F.size("leak.spans") == 0, F.col("doc.text")).otherwise(F.col("rest"))
     return kept.select(*[clean.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

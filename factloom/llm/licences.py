@@ -1,14 +1,21 @@
-"""Licence scans: normalised passages compared to licence templates by Dice coefficient over word bigrams."""
+"""Licence scans: normalised passages compared to licence templates by Dice coefficient over word bigrams.
+
+The best passage of a text for a template may begin and end anywhere, whatever lines, paragraphs, comment marks or
+sentences break there. It begins and ends with bigrams that are also the template's, and taking in one more of those
+raises the coefficient unless the template has no more of it to share. So passages begin and end where the text's
+shared bigrams do, or next to one that the passage may have too often; no others need to be compared.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import staged
+from factloom.llm.common import bind, staged
 
 LEAST_DICE = 0.8
 
@@ -27,6 +34,8 @@ The above copyright notice and this permission notice shall be included in all c
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD", """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
@@ -103,52 +112,54 @@ def _floor(x: float) -> int:
     return int(round(x, 9) // 1)
 
 
-def _bigram(a: Column, b: Column) -> Column:
-    return F.concat_ws(" ", a, b)
-
-
-def _units(text: Column, telling: Sequence[str], fewest: int, most: int) -> Column:
-    """Distinct passages of a text as arrays of words: the whole text, its paragraphs, lines and sentences.
-
-    Passages outside the size bounds of all templates, or without any telling word, are left out.
-    """
-    low = F.translate(text, _UPPER, _LOWER)
-    lines = F.split(low, "\n", -1)
-    texts = F.concat(F.array(low), F.split(low, r"\n[\x20\x09-\x0D]*\n", -1), lines, F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?;])[\x20\x09]+", -1))))
-    words = F.transform(F.array_distinct(texts), lambda t: F.filter(F.split(t, _OTHER, -1), lambda w: w != ""))
-    fit = F.filter(words, lambda w: F.size(w).between(fewest + 1, most + 1) & F.arrays_overlap(w, F.array(*[F.lit(x) for x in telling])))
-    return F.array_distinct(fit)
-
-
 def scan(docs: DataFrame, keep: Sequence[str] | None = None, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
     """The kept columns of each row as ``doc``, with ``licences``: an array of (licence, dice) by name, best passage each.
 
-    docs: ``text``, any other columns. Passages are whole texts, paragraphs, lines and sentences; bigrams are
-    counted with repeats: dice is twice the shared over the sum of both. A template is compared only with passages
-    between ``least / (2 - least)`` and ``(2 - least) / least`` of its size, for others cannot reach ``least``.
-    Null and empty texts have none; rows stay one by one. Only the templates, a fixed list, are broadcast.
+    docs: ``text``, any other columns. Words are runs of digits, small letters and characters beyond ASCII, A-Z
+    lower-cased; bigrams are counted with repeats: dice is twice the shared over the sum of both. A template is
+    compared only with passages between ``least / (2 - least)`` and ``(2 - least) / least`` of its size, for others
+    cannot reach ``least``, and only with those that have enough of its bigrams, repeats aside. Null and empty texts
+    have none; rows stay one by one. Only the templates, a fixed list, are broadcast. A text's shared bigrams, not its words, are grouped by text and template.
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    known = passages(templates)
-    rows, sizes, telling = [], [], set()
-    for no, (name, words) in enumerate(known):
+    rows, telling = [], set()
+    for no, (name, words) in enumerate(passages(templates)):
         pairs = bigrams(words)
         low, high = _ceil(least / (2 - least) * len(pairs)), _floor((2 - least) / least * len(pairs))
-        sizes += [low, high]
         telling |= telling_words(words, least)
         rows += [(no, name, len(pairs), low, high, " ".join(p), n) for p, n in Counter(pairs).items()]
-    text = F.coalesce(docs["text"], F.lit(""))
-    words = F.array_distinct(F.split(F.translate(text, _UPPER, _LOWER), _OTHER, -1))
-    gate = F.arrays_overlap(words, F.array(*[F.lit(x) for x in sorted(telling)]))
-    units = F.when(gate, _units(text, sorted(telling), min(sizes), max(sizes))).otherwise(F.array().cast("array<array<string>>"))
-    base = staged(docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("doc"), units.alias("units"), F.monotonically_increasing_id().alias("row_no")), "licence-units")
-    unit = base.select("row_no", F.posexplode("units").alias("unit_no", "w")).select("row_no", "unit_no", (F.size("w") - 1).alias("n_unit"), F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda a, i: _bigram(a, F.element_at("w", i + 2))).alias("pairs"))
-    single = unit.select("row_no", "unit_no", "n_unit", F.explode("pairs").alias("pair"))
+    words = F.filter(F.split(F.translate(F.coalesce(docs["text"], F.lit("")), _UPPER, _LOWER), _OTHER, -1), lambda w: w != "")
+    # Words of any passage that is found; other texts are not looked at again.
+    gated = lambda w: F.when(F.arrays_overlap(w, F.array(*[F.lit(x) for x in sorted(telling)])), w).otherwise(F.array().cast("array<string>"))
+    base = staged(docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("doc"), bind(words, gated).alias("w"), F.monotonically_increasing_id().alias("row_no")), "licence-words")
+    pair = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda a, i: F.concat_ws(" ", a, F.element_at("w", i + 2)))
+    single = base.where(F.size("w") > 1).select("row_no", F.posexplode(pair).alias("pos", "pair"))
     table = F.broadcast(spark.createDataFrame(rows, "template int, licence string, n_template int, low int, high int, known string, times int"))
-    met = single.join(table, (F.col("pair") == F.col("known")) & F.col("n_unit").between(F.col("low"), F.col("high")))
-    shared = met.groupBy("row_no", "unit_no", "template", "licence", "n_unit", "n_template", "pair", "times").agg(F.count("*").alias("n"))
-    dice = shared.groupBy("row_no", "unit_no", "template", "licence").agg((2.0 * F.sum(F.least("n", F.col("times").cast("long"))) / F.first(F.col("n_unit") + F.col("n_template"))).alias("dice"))
+    group = ["row_no", "template"]
+    met = single.join(table, F.col("pair") == F.col("known")).drop("known")
+    counted = met.withColumn("n", F.count("*").over(W.partitionBy(*group))).where(F.col("n") >= F.col("low"))
+    hits = staged(counted.withColumn("at", F.row_number().over(W.partitionBy(*group).orderBy("pos"))), "licence-hits")
+    # Where a passage may begin or end: its neighbour is not shared, or as often in reach as the template has it.
+    same, near = W.partitionBy(*group, "pair").orderBy("pos"), W.partitionBy(*group).orderBy("pos")
+    often = sorted({r[-1] for r in rows})
+    apart = lambda shift: F.coalesce(*[F.when(F.col("times") == n, shift("pos", n).over(same)) for n in often])
+    spare = hits.withColumn("spare_first", apart(F.lead) - F.col("pos") <= F.col("high")).withColumn("spare_last", F.col("pos") - apart(F.lag) <= F.col("high"))
+    edge = lambda shift, step, name: F.coalesce((shift("pos", 1).over(near) != F.col("pos") + step) | shift(name, 1).over(near), F.lit(True))
+    # Spare or not, a neighbour that is missing settles it; an unknown one next to a shared place does not.
+    known = spare.withColumn("spare_first", F.coalesce("spare_first", F.lit(False))).withColumn("spare_last", F.coalesce("spare_last", F.lit(False)))
+    edges = known.select(*group, "licence", "n_template", "low", "high", "pos", "at", edge(F.lag, -1, "spare_first").alias("opens"), edge(F.lead, 1, "spare_last").alias("closes"))
+    # A passage is no longer than ``high``: its end lies in the stretch of its start or in the next one.
+    stretch = F.floor(F.col("pos") / F.col("high"))
+    starts = edges.where("opens").select(*group, "licence", "n_template", "low", "high", F.col("pos").alias("start"), F.col("at").alias("first"), stretch.alias("stretch"))
+    ends = edges.where("closes").select(*group, F.col("pos").alias("stop"), F.col("at").alias("last"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    size = F.col("stop") - F.col("start") + 1
+    # No passage shares more than its places with a bigram of the template, nor more than the template has.
+    most = F.least(F.col("last") - F.col("first") + 1, F.col("n_template"))
+    passage = starts.join(ends, [*group, "stretch"]).where(size.between(F.col("low"), F.col("high")) & (2 * most >= least * (size + F.col("n_template")) - 1e-9))
+    inside = passage.drop("stretch").join(hits.select(*group, "pos", "pair", "times"), group).where(F.col("pos").between(F.col("start"), F.col("stop")))
+    shared = inside.groupBy(*group, "licence", "n_template", "start", "stop", "pair", "times").agg(F.count("*").alias("n"))
+    dice = shared.groupBy(*group, "licence", "n_template", "start", "stop").agg(F.sum(F.least("n", F.col("times").cast("long"))).alias("n")).withColumn("dice", 2.0 * F.col("n") / (size + F.col("n_template")))
     best = dice.where(F.col("dice") >= least).groupBy("row_no", "licence").agg(F.max("dice").alias("dice"))
     found = best.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("licence", "dice"))).alias("licences"))
     none = F.array().cast("array<struct<licence:string,dice:double>>")
@@ -164,19 +175,26 @@ def scan_sql(templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LE
     return f"""
 with known(template, licence, n_template, pair, times) as (values
     {values}),
-low as (select doc_id, {low} as t from documents where text is not null),
-lines as (select doc_id, unnest(string_split(t, chr(10))) as t from low),
-units as (
-  select doc_id, t from low union select doc_id, t from lines
-  union select doc_id, unnest(string_split_regex(t, '\\n[ \\t\\x0b\\x0c\\r\\n]*\\n')) from low
-  union select doc_id, unnest(string_split(regexp_replace(t, '([.!?;])[ \\t]+', '\\1' || chr(30), 'g'), chr(30))) from lines),
-worded as (select distinct doc_id, list_filter(string_split_regex(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as w from units),
-numbered as (select doc_id, row_number() over () as unit, w from worded where len(w) between 2 and 1000),
-pairs as (select doc_id, unit, len(w) - 1 as n_unit, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as pair from numbered),
-counted as (select doc_id, unit, n_unit, pair, count(*) as n from pairs group by all),
+worded as (select doc_id, list_filter(string_split_regex({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as w from documents where text is not null),
+pairs as (select doc_id, unnest(range(1, len(w))) as pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as pair from worded where len(w) > 1),
+hits as (select doc_id, template, licence, n_template, pos, pair, times from pairs join known using (pair)),
+spare as (
+  select *, lead(pos, times) over same - pos <= 2 * n_template as spare_first, pos - lag(pos, times) over same <= 2 * n_template as spare_last
+  from hits window same as (partition by doc_id, template, pair order by pos)),
+edges as (
+  select *, lag(pos) over near is distinct from pos - 1 or coalesce(lag(spare_first) over near, false) as opens,
+    lead(pos) over near is distinct from pos + 1 or coalesce(lead(spare_last) over near, false) as closes
+  from spare window near as (partition by doc_id, template order by pos)),
+passages as (
+  select a.doc_id, a.template, a.licence, a.n_template, a.pos as start, b.pos as stop, b.pos - a.pos + 1 as size
+  from edges a join edges b on a.doc_id = b.doc_id and a.template = b.template and b.pos >= a.pos and b.pos - a.pos < 2 * a.n_template
+  where a.opens and b.closes),
+counted as (
+  select p.doc_id, p.template, p.licence, p.n_template, start, stop, size, pair, times, count(*) as n
+  from passages p join hits h on p.doc_id = h.doc_id and p.template = h.template and h.pos between start and stop group by all),
 scored as (
-  select doc_id, licence, 2.0::double * sum(least(n, times)) / (n_unit + n_template) as dice
-  from counted join known using (pair) group by doc_id, unit, n_unit, template, n_template, licence),
+  select doc_id, licence, 2.0::double * sum(least(n, times)) / (size + n_template) as dice
+  from counted group by doc_id, licence, template, n_template, start, stop, size),
 best as (select doc_id, licence, max(dice) as dice from scored where dice >= {least} group by doc_id, licence),
 listed as (select doc_id, count(*) as n, string_agg(licence || ':' || cast(round(dice * 1000000)::bigint as varchar), ',' order by licence) as licences from best group by doc_id)
 select d.doc_id, coalesce(l.n, 0) as n_licences, coalesce(l.licences, '') as licences from documents d left join listed l on d.doc_id = l.doc_id

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BLANKS, bind, match_spans, staged
+from factloom.llm.common import BLANKS, bind, match_spans, pieces, scanned, staged, stretch
 
 # Fixed values of the base patterns, in the order of kinds. Possessive forms match the same texts without
 # walking back; a match starts where a run of its first class starts or where the last match ended.
@@ -23,10 +23,13 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "context")
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
-# What may be an identifier that the base patterns miss: digit groups, letters with digits, addresses without a dot.
-CODE = r"(?<![A-Za-z0-9])[A-Z]{1,4}-?[0-9]{6,}(?![A-Za-z0-9])"
+# What may be an identifier that the base patterns miss: a run of tokens that each have a digit, whatever dots, brackets,
+# hyphens and letters are in them, and addresses without a dot. Contexts decide which of them are.
+_TOKEN = r"(?=[A-Za-z._()+/-]{0,40}+[0-9])[A-Za-z0-9(+](?:[A-Za-z0-9._()+/-]*[A-Za-z0-9)])?"
+RUN = rf"(?<![A-Za-z0-9._()+/@-]){_TOKEN}(?:\x20{_TOKEN}){{0,11}}(?![A-Za-z0-9@])"
 ADDRESS = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9.@-])"
-LEAST_DIGITS = 7
+# Letters and digits of a run, and digits at least.
+LEAST_SIGNS, MOST_SIGNS, LEAST_DIGITS = 7, 34, 5
 # Kinds whose values an identifier of digits may repeat in another notation.
 OF_DIGITS = ("card", "phone")
 
@@ -39,6 +42,8 @@ ACCEPTED = 0.9
 ONE_WORD = 0.8
 # Characters before and after an entity in which its neighbour words are looked for.
 REACH = 60
+# Code points of the pieces of a text in which the surroundings of an entity are looked up.
+NEAR = 64
 
 _SPANS = "array<struct<start:int,end:int,match:string>>"
 
@@ -78,30 +83,34 @@ def base_entities(text: Column) -> Column:
 
 
 def unknown_entities(text: Column, base: Column) -> Column:
-    """Spans that look like identifiers and touch no base entity."""
-    has_digit = text.rlike("[0-9]")
+    """Spans that look like identifiers and touch no base entity, in order."""
+    signs = lambda m: F.length(F.regexp_replace(m["match"], "[^A-Za-z0-9]", "")).between(LEAST_SIGNS, MOST_SIGNS) & (F.length(_digits(m["match"])) >= LEAST_DIGITS)
+    runs = F.filter(_if(text.rlike("[0-9]"), match_spans(text, RUN)), signs)
+    found = F.concat(runs, _if(F.contains(text, F.lit("@")), match_spans(text, ADDRESS)))
+    placed = lambda spans, no: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("no"), m["end"].alias("end"), (m["match"] if no else m["value"]).alias("match")))
 
-    def alone(m: Column) -> Column:
-        before, after = F.substring(text, m["start"], F.lit(1)), F.substring(text, m["end"] + 1, F.lit(1))
-        return ~F.when(m["start"] > 0, before.rlike("[A-Za-z0-9]")).otherwise(F.lit(False)) & ~after.rlike("[A-Za-z0-9]")
+    def free(both: Column) -> Column:
+        """In order of starts: what ends of base spans reach before, and where the next base span starts."""
+        far = F.lit(2**31 - 1)
+        reach = scanned(F.transform(both, lambda x: F.when(x["no"] == 0, x["end"]).otherwise(F.lit(-1))), F.greatest, F.lit(-1))
+        coming = scanned(F.reverse(F.transform(both, lambda x: F.when(x["no"] == 0, x["start"]).otherwise(far))), F.least, far)
+        return bind(F.struct(reach.alias("reach"), F.reverse(coming).alias("next")), lambda at: F.filter(both, lambda x, i: (x["no"] == 1) & (F.get(at["reach"], i) <= x["start"]) & (F.get(at["next"], i) >= x["end"])))
 
-    groups = F.filter(_if(has_digit, match_spans(text, CARD)), lambda m: (F.length(_digits(m["match"])) >= LEAST_DIGITS) & alone(m))
-    codes = _if(has_digit, match_spans(text, CODE))
-    addresses = _if(F.contains(text, F.lit("@")), match_spans(text, ADDRESS))
-    free = F.filter(F.concat(groups, codes, addresses), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return _tagged(F.array_sort(F.array_distinct(free)), "context")
+    none = F.array().cast("array<struct<start:int,no:int,end:int,match:string>>")
+    alone = lambda f: F.when(F.size(f) == 0, none).when(F.size(base) == 0, F.array_sort(placed(f, 1))).otherwise(bind(F.array_sort(F.concat(placed(base, 0), placed(f, 1))), free))
+    return _tagged(bind(found, alone), "context")
 
 
-def _patterns(text: Column, entity: Column) -> Column:
-    """Lexical patterns of an entity: the word before, the two words before, the word after."""
+def _patterns(cut: Column, entity: Column) -> Column:
+    """Lexical patterns of an entity: the word before, the two words before, the word after; ``cut``: the text in pieces."""
 
     def words(part: Column) -> Column:
         bare = F.transform(F.split(part, f"[{BLANKS}]+", -1), lambda w: F.lower(F.regexp_replace(w, r"^[\p{Punct}]+|[\p{Punct}]+$", "")))
         return F.filter(bare, lambda w: w != "")
 
     begin = F.greatest(entity["start"] - REACH, F.lit(0))
-    left = words(F.substring(text, begin + 1, entity["start"] - begin))
-    right = words(F.substring(text, entity["end"] + 1, F.lit(REACH)))
+    left = words(stretch(cut, NEAR, begin, entity["start"] - begin))
+    right = words(stretch(cut, NEAR, entity["end"], F.lit(REACH)))
     found = F.array(
         F.when(F.size(left) > 0, F.concat(F.lit("<"), F.element_at(left, -1))),
         F.when(F.size(left) > 1, F.concat(F.lit("<<"), F.element_at(left, -2), F.lit(" "), F.element_at(left, -1))),
@@ -117,7 +126,8 @@ def _key(entity: Column) -> Column:
 
 
 def _with_patterns(text: Column, entities: Column) -> Column:
-    return F.transform(entities, lambda e: F.struct(e["kind_no"].alias("kind_no"), e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"), _key(e).alias("value"), _patterns(text, e).alias("patterns")))
+    told = lambda cut: F.transform(entities, lambda e: F.struct(e["kind_no"].alias("kind_no"), e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"), _key(e).alias("value"), _patterns(cut, e).alias("patterns")))
+    return bind(F.when(F.size(entities) > 0, pieces(text, NEAR)).otherwise(F.array().cast("array<string>")), told)
 
 
 def accepted_values(entities: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -150,13 +160,15 @@ def find_pii(docs: DataFrame, keep: Sequence[str] | None = None, rounds: int = R
 
     docs: ``text``, any other columns. Positions are code points, end exclusive. Kinds: ``email``, ``ip``, ``card``,
     ``phone`` from fixed patterns, ``context`` from learnt ones or as another notation of a card or phone found
-    anywhere. Null and empty texts have none; rows stay one by
-    one. Texts are read once; what goes on holds entities only.
+    anywhere. What contexts may propose are runs of up to twelve tokens with a digit in each (7 to 34 letters and
+    digits, 5 digits at least, any dots, brackets and hyphens), and addresses without a dot; names and other words
+    without digits are out of reach. Null and empty texts have none; rows stay one by one. Texts are read once;
+    what goes on holds entities only. Work is linear in the length of a text and the number of its entities.
     """
     keep = docs.columns if keep is None else keep
     text = F.coalesce(docs["text"], F.lit(""))
     based = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("doc"), text.alias("t"), base_entities(text).alias("base"))
-    both = based.select("doc", F.concat(_with_patterns(F.col("t"), F.col("base")), _with_patterns(F.col("t"), unknown_entities(F.col("t"), F.col("base")))).alias("all"))
+    both = based.select("doc", bind(F.concat("base", unknown_entities(F.col("t"), F.col("base"))), lambda found: _with_patterns(F.col("t"), found)).alias("all"))
     rows = staged(both.withColumn("row_no", F.monotonically_increasing_id()), "pii-rows")
     entities = rows.select("row_no", F.explode("all").alias("e")).select("row_no", "e.*")
     learnt = accepted_values(entities.select("value", "patterns", "kind"), rounds)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.llm.common import BLANK_CHARS, beside, staged, without, word_list
+from factloom.llm.common import BLANK_CHARS, beside, bind, staged, without, word_list
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -66,19 +66,20 @@ def consistency(p: int = FEATURES, core: float = CORE) -> float:
 
 
 def _repeated(windows: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more; ``windows``: hash of the window at each place."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    """Words inside 3-word windows that occur twice or more; ``windows``: hash of the window at each place.
+
+    Sorted by hash, a window that occurs again has a neighbour alike; places in order cover three words each, or as
+    many as lie before the next one. No array grows step by step, so a text of repeats costs what sorting it does.
+    """
 
-    def mark(acc: Column, x: Column) -> Column:
-        same = acc["h"].eqNullSafe(x["h"])
-        new = F.when(same & ~acc["two"], F.array(acc["i"], x["i"])).when(same, F.array(x["i"])).otherwise(F.array().cast("array<int>"))
-        return F.struct(x["h"].alias("h"), x["i"].alias("i"), same.alias("two"), F.when(F.size(new) > 0, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+    def alike(placed: Column) -> Column:
+        near = lambda k, x: F.coalesce(F.get(placed, k)["h"] == x["h"], F.lit(False))
+        return F.filter(placed, lambda x, k: near(k - 1, x) | near(k + 1, x))
 
-    start = F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("i"), F.lit(False).alias("two"), F.array().cast("array<int>").alias("out"))
-    places = F.array_sort(F.aggregate(placed, start, mark, lambda acc: acc["out"]))
-    none = F.struct(F.lit(-9).alias("at"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate(places, none, lambda acc, x: F.struct(x.alias("at"), (acc["n"] + F.least(F.lit(3), x - acc["at"])).alias("n")), lambda acc: acc["n"])
-    return covered
+    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    places = F.array_sort(F.transform(bind(placed, alike), lambda x: x["i"]))
+    covered = lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), x - F.coalesce(F.get(p, k - 1), F.lit(-3)))), F.lit(0).cast("long"), lambda acc, n: acc + n)
+    return bind(places, covered)
 
 
 def with_statistics(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bind, match_spans
+from factloom.llm.common import bind, gap_spans, match_spans, pieces, scanned, stretch
 
 # Fixed values of the base patterns, their kinds in order, and least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,6 +47,9 @@ CHECKSUM = (
 # An allowed word excuses the key it is part of: letters and digits around it, this many on each side.
 KEY = 40
 
+# Code points of the pieces of a text in which the surroundings of a run are looked up.
+NEAR = 128
+
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -105,14 +108,14 @@ def _windows(piece: Column, offset: Column, classes: Sequence[tuple]) -> Column:
 
 
 def _merged(spans: Column) -> Column:
-    """Spans in order, joined where they touch."""
+    """Spans in order of starts and of ends, joined where they touch."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (last["end"] >= x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+    def joined(x: Column) -> Column:
+        first = F.filter(x, lambda s, i: F.coalesce(F.get(x, i - 1)["end"] < s["start"], F.lit(True)))
+        last = F.filter(x, lambda s, i: F.coalesce(F.get(x, i + 1)["start"] > s["end"], F.lit(True)))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
 
-    return F.aggregate(spans, F.array().cast(_SPANS), step)
+    return bind(spans, joined)
 
 
 def entropy_spans(text: Column, classes: Sequence[tuple] = CLASSES, allowed: Sequence[str] = ALLOWED, allowed_before: str = ALLOWED_BEFORE) -> Column:
@@ -121,31 +124,29 @@ def entropy_spans(text: Column, classes: Sequence[tuple] = CLASSES, allowed: Seq
     Windows that touch an allowed word or the letters and digits next to it (``KEY`` on each side) are excused, the
     others of the run are not. A word before a run excuses it if it has the form of a checksum.
     """
-    runs = match_spans(text, rf"(?<![{KEY_CHARS}])[{KEY_CHARS}]{{{WINDOW},}}+")
-
-    before = lambda run: F.substring(text, F.greatest(run["start"] - 23, F.lit(1)), F.least(run["start"], F.lit(24)))
     words = "|".join(f"(?:{p})" for p in allowed) or "(?!)"
     part = f"(?:[A-Za-z0-9]{{0,{KEY}}}(?:{words}))++[A-Za-z0-9]{{0,{KEY}}}"
 
     def free(run: Column) -> Column:
         """What the allowed words leave of a run: (start, match) of the pieces between them."""
-        size = F.length(run["match"])
-
-        def between(taken: Column) -> Column:
-            starts = F.concat(F.array(F.lit(0)), F.transform(taken, lambda x: x["end"]))
-            ends = F.concat(F.transform(taken, lambda x: x["start"]), F.array(size))
-            return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct((run["start"] + x["a"]).alias("start"), run["match"].substr(x["a"] + 1, x["b"] - x["a"]).alias("match")))
-
         whole = F.array(F.struct(run["start"].alias("start"), run["match"].alias("match")))
-        return F.filter(F.when(run["match"].rlike(words), bind(match_spans(run["match"], part), between)).otherwise(whole), lambda x: F.length(x["match"]) >= WINDOW)
+        between = lambda: F.transform(gap_spans(run["match"], part), lambda x: F.struct((run["start"] + x["start"]).alias("start"), x["match"].alias("match")))
+        return F.filter(F.when(run["match"].rlike(words), between()).otherwise(whole), lambda x: F.length(x["match"]) >= WINDOW)
 
     def of_piece(run: Column) -> Column:
         stride = PIECE - WINDOW + 1
-        offsets = F.sequence(F.lit(0), F.floor((F.length(run["match"]) - WINDOW) / F.lit(stride)).cast("int"))
-        return F.flatten(F.transform(offsets, lambda k: bind(run["match"].substr(k * stride + 1, F.lit(PIECE)), lambda p: _windows(p, run["start"] + k * stride, classes))))
+        each = lambda cut: F.transform(cut, lambda p, k: bind(F.concat(p, F.substring(F.coalesce(F.get(cut, k + 1), F.lit("")), 1, WINDOW - 1)), lambda q: F.when(F.length(q) >= WINDOW, _windows(q, run["start"] + k * stride, classes)).otherwise(F.array().cast(_SPANS))))
+        return F.flatten(bind(pieces(run["match"], stride), each))
 
-    checksum = lambda run: run["match"].rlike(CHECKSUM) & before(run).rlike(allowed_before)
-    return _merged(F.flatten(F.transform(F.flatten(F.transform(F.filter(runs, lambda r: ~checksum(r)), free)), of_piece)))
+    def judged(runs: Column) -> Column:
+        def scanned_runs(cut: Column) -> Column:
+            begin = lambda run: F.greatest(run["start"] - 24, F.lit(0))
+            checksum = lambda run: run["match"].rlike(CHECKSUM) & stretch(cut, NEAR, begin(run), run["start"] - begin(run)).rlike(allowed_before)
+            return _merged(F.flatten(F.transform(F.flatten(F.transform(F.filter(runs, lambda r: ~checksum(r)), free)), of_piece)))
+
+        return F.when(F.size(runs) == 0, F.array().cast(_SPANS)).otherwise(bind(pieces(text, NEAR), scanned_runs))
+
+    return bind(match_spans(text, rf"(?<![{KEY_CHARS}])[{KEY_CHARS}]{{{WINDOW},}}+"), judged)
 
 
 def secrets(text: Column) -> Column:
@@ -162,8 +163,15 @@ def secrets(text: Column) -> Column:
     base = F.concat(*[tagged(spans, kind) for kind, spans in found.items()])
 
     def with_method(base: Column) -> Column:
-        more = F.filter(entropy_spans(text), lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
-        return F.array_sort(F.concat(base, tagged(more, "entropy")))
+        """In order of starts, base spans before others: a span inside a base one ends before the last of their ends so far."""
+
+        def outside(spans: Column) -> Column:
+            ends = F.transform(spans, lambda x: F.when(x["kind"] == "entropy", F.lit(-1)).otherwise(x["end"]))
+            reach = scanned(ends, F.greatest, F.lit(-1))
+            return bind(reach, lambda r: F.filter(spans, lambda x, i: (x["kind"] != "entropy") | (F.get(r, i) < x["end"])))
+
+        more = lambda found: F.when(F.size(found) == 0, F.array_sort(base)).otherwise(bind(F.array_sort(F.concat(base, tagged(found, "entropy"))), outside))
+        return bind(entropy_spans(text), more)
 
     return bind(base, with_method)
 

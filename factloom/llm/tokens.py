@@ -33,6 +33,8 @@ from factloom.llm.common import shared_folder, staged
 MAGIC = b"FLTOKEN1"
 BLOCK = 1 << 16
 FOOTER = 5 * 8 + len(MAGIC)
+# Ids and documents after which a writer begins another file: its index is held until the file ends.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
 # An encoder forgets its known chunks beyond this many; results do not depend on it.
 KNOWN = 1_000_000
 
@@ -225,14 +227,15 @@ def place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, vocabulary: int | None = None, end_id: int | None = 2, partitions: int | None = None) -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, vocabulary: int | None = None, end_id: int | None = 2, partitions: int | None = None, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> tuple[DataFrame, str]:
     """Encode every text and write the ids in ascending ``doc_id`` order; gives the files and their folder.
 
     docs: ``doc_id`` (integer) and ``text``; other columns are not read. Documents are dealt by ranges of
-    ``doc_id``, one file a range, and sorted inside a task, so no task holds more than one range; texts stream.
-    A null text is an empty one, a null ``doc_id`` sorts first, rows with one ``doc_id`` are ordered by text,
-    repeated rows stay. No documents: no files. Files: ``part`` (place in the order), ``path``, ``n_ids``,
-    ``n_docs``. A task writes under a name of its own and renames at the end, so attempts do not mix.
+    ``doc_id`` and sorted inside a task, which writes a range as files of about ``file_ids`` ids and ``file_docs``
+    documents at most, so files and what a task holds of them are bounded at every size; texts stream. A null text is an empty one, a
+    null ``doc_id`` sorts first, rows with one ``doc_id`` are ordered by text, repeated rows stay. No documents: no
+    files. Files: ``part`` and ``piece`` (their order), ``path`` (below the folder), ``n_ids``, ``n_docs``. Every
+    attempt of a task writes under names of its own, and only the files of finished ones are named: nothing is renamed.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
@@ -248,24 +251,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, voc
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         files, root = place(folder)
-        writer = None
+        writer = out = None
+        piece = 0
+
+        def ended() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "piece": pa.array([piece], pa.int32()), "path": [name], "n_ids": pa.array([writer.starts[-1]], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64())})
+
         for batch in batches:
-            for part, doc_id, text in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
+            for at, doc_id, text in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
                 if writer is None:
                     files.create_dir(root, recursive=True)
-                    at, mine = part, f"{root}/.{part:06d}-{uuid.uuid4().hex}"
-                    out = files.open_output_stream(mine)
+                    name = f"part-{at:06d}-{piece:06d}-{uuid.uuid4().hex}.tokens"
+                    out = files.open_output_stream(f"{root}/{name}")
                     writer = TokenWriter(out, bits)
                 ids = np.frombuffer(enc.encode(text.as_py()), dtype="<u4")
                 writer.add(doc_id, np.concatenate([ids, end]))
+                if writer.starts[-1] >= file_ids or len(writer.docs) >= file_docs:
+                    yield ended()
+                    writer, piece = None, piece + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            path = f"{root}/part-{at:06d}.tokens"
-            files.move(mine, path)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "path": [path], "n_ids": pa.array([writer.starts[-1]], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64())})
+            yield ended()
 
-    return staged(numbered.mapInArrow(write, "part int, path string, n_ids long, n_docs long"), "token-files"), folder
+    return staged(numbered.mapInArrow(write, "part int, piece int, path string, n_ids long, n_docs long"), "token-files"), folder
 
 
 def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -273,16 +282,17 @@ def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFr
 
     A task reads its file block by block; the counts of earlier files (one row a file) give the offsets.
     """
-    # One row a file, and the number of files is a parameter of the writer: a running sum over them is small.
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    based = files.select("part", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    # Files before one in its part, and parts before that one: a row a file, and one a part, whose number is a parameter.
+    inside = W.partitionBy("part").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    based = files.join(parts, "part").select("part", "piece", "path", (F.col("earlier") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("base"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file_system, _ = place(folder)
+        file_system, root = place(folder)
         for batch in batches:
             for path, base in zip(batch["path"].to_pylist(), batch["base"].to_pylist()):
-                with file_system.open_input_file(path) as source:
+                with file_system.open_input_file(f"{root}/{path}") as source:
                     reader = TokenReader(source)
                     i, n = 0, len(reader.docs)
                     while i < n:
@@ -303,4 +313,4 @@ def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFr
                         i = j
 
     # Each file is one small row: dealt out again so that the files are read side by side.
-    return based.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(read, schema)
+    return based.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "piece").mapInArrow(read, schema)

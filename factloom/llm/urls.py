@@ -154,6 +154,9 @@ def judge(pages: DataFrame, keep: Sequence[str] | None = None, rules: Sequence[t
     scored = staged(strings.join(scores(strings, counts), "string_no"), "url-scores")
     held = scored.where("verdict is not null").select("verdict", "n", F.when(F.col("half") == 0, F.col("score1")).otherwise(F.col("score0")).alias("held"))
     cut = F.lit(threshold(held))
-    judged = rows.join(scored.select("text", "score"), "text")
+    # All rows without host and path have one text, and one score.
+    none = scored.where("text = ''").select("score").first()
+    listed = rows.where("text <> ''").join(scored.select("text", "score"), "text")
+    judged = listed.unionByName(rows.where("text = ''").withColumn("score", F.lit(none["score"] if none else None).cast("double")))
     by_model = F.when(F.col("score") >= cut, "allow").otherwise("block")
     return judged.select("page", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score", cut.alias("threshold"))

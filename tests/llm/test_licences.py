@@ -1,32 +1,43 @@
 """Licence scan against brute force over all passages and templates."""
 
 import random
-import re
 from collections import Counter
 
 from factloom.llm import licences
 
 
 def brute(text, least=licences.LEAST_DICE):
-    text = (text or "").translate(str.maketrans(licences._UPPER, licences._LOWER))
-    lines = text.split("\n")
-    units = [text, *re.split(r"\n[\x20\x09-\x0D]*\n", text), *lines, *(s for x in lines for s in re.split(r"(?<=[.!?;])[\x20\x09]+", x))]
+    """The best of all runs of words, wherever they begin and end."""
+    words = licences.plain_words(text or "")
+    pairs = list(zip(words, words[1:]))
     best = {}
-    for unit in {tuple(licences.plain_words(u)) for u in units}:
-        a = Counter(zip(unit, unit[1:]))
-        for name, words in licences.passages(licences.TEMPLATES):
-            b = Counter(zip(words, words[1:]))
-            dice = 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
-            if dice >= least:
-                best[name] = max(best.get(name, 0), dice)
+    for name, template in licences.passages(licences.TEMPLATES):
+        known = Counter(zip(template, template[1:]))
+        n = sum(known.values())
+        if sum((Counter(pairs) & known).values()) < least / (2 - least) * n - 1e-9:
+            continue
+        for i in range(len(pairs)):
+            if pairs[i] not in known:
+                continue
+            left, shared = Counter(known), 0
+            for size, p in enumerate(pairs[i : i + int((2 - least) / least * n + 1e-9)], 1):
+                if left[p] > 0:
+                    left[p] -= 1
+                    shared += 1
+                if 2 * shared >= least * (size + n) - 1e-12:
+                    best[name] = max(best.get(name, 0), 2 * shared / (size + n))
     return sorted(best.items())
 
 
 def test_scan(spark):
     r = random.Random(6)
     texts = [None, "", "nothing", "All rights reserved.", "x\nReleased  under the MIT license\ny", "Hello. Licensed under CC BY-NC 4.0. Bye", "ALL RIGHTS RESERVED all rights reserved", "word " * 30000 + "\nLicensed under the Apache License, Version 2.0.", "é licensed under the mit license é"]
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
     for name, text in licences.TEMPLATES:
         texts.append(text)
+        # Wrapped inside a longer paragraph, and as a comment right before code.
+        texts.append("Some words of prose come first, and then\n" + wrap(text, "") + " And more words\nfollow without a break, " + "for a while " * 20)
+        texts.append("/*\n" + wrap(text, " * ") + "\n */\nint main(void) { return run(argc, argv); }\n" + "x = x + 1\n" * 30)
         texts.append("Some prose here.\n\n" + text.replace(". ", ".\n") + "\n\nMore prose.")
         words = text.split(" ")
         for _ in range(4):

@@ -65,6 +65,11 @@ def test_files_hold_every_document_in_order(spark):
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), ids))
         at += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+    # The same from files that end after a few ids or documents.
+    for more in ({"file_ids": 4}, {"file_docs": 2}):
+        files, folder = tokens.write_tokens(docs, PATH, partitions=2, **more)
+        assert files.count() > 3 and files.agg({"n_docs": "sum"}).first()[0] == len(rows)
+        assert sorted((tuple(r) for r in tokens.read_tokens(files, folder, with_ids=True).collect()), key=lambda r: r[1]) == want
 
 
 def test_no_documents(spark):
