@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.catalog import Catalog, read
 from factloom.operators import corpus as C
 from factloom.operators import linearise as L
 from factloom.operators import metrics as M
+from factloom.session import ensure_checkpoint_dir
 from factloom.sources import readers, writers
 
 # Orders of a customer as a table of text; after its orders every third customer repeats the header
@@ -163,6 +166,7 @@ def _sources(c: Catalog) -> None:
 
     c.add("pair_generated", lambda s, d: readers.pair_generated(generated(s, d)),
           """select cast(user_id as varchar) as table_id, event_type as file, event_id * 2 + 1 as pos, cast(value as varchar) as lf from events""")
+    _round_trips(c)
     c.add("tidy_scores", lambda s, d: writers.tidy_scores(read(s, d, "lineitem").agg(F.count(F.lit(1)).alias("rows"), F.max("l_quantity").alias("most"))),
           "select 'rows' as metric, cast(count(*) as double) as score from lineitem union all select 'most', max(l_quantity) from lineitem")
     c.add("table_csv", lambda s, d: L.table_csv(order_cells(s, d)),
@@ -173,6 +177,62 @@ select table_id, 0 as part, 'Status,Price,Date' || chr(10) || string_agg(t, chr(
 select table_id, row_number() over (partition by table_id order by row_idx)::int as row_idx, Status, Price, Date from w""")
 
 
+def _folder(s, name: str) -> str:
+    return f"{ensure_checkpoint_dir(s).rstrip('/')}/query-{uuid.uuid4().hex}-{name}"
+
+
+def _round_trips(c: Catalog) -> None:
+    """What was written is read back."""
+    def corpus(s, d):
+        path = _folder(s, "corpus")
+        writers.write_corpus(read(s, d, "orders").select(F.col("o_custkey").alias("table_id"), F.col("o_orderstatus").alias("split"), "o_orderkey", "o_totalprice"), path)
+        return readers.read_corpus(s, path, ["F", "P"]).select("table_id", F.col("split").cast("string").alias("split"), "o_orderkey", "o_totalprice")
+
+    c.add("write_corpus", corpus, "select o_custkey as table_id, o_orderstatus as split, o_orderkey, o_totalprice from orders where o_orderstatus in ('F', 'P')")
+
+    def predictions(s, d):
+        path = _folder(s, "predictions.jsonl")
+        writers.write_predictions(read(s, d, "customer").orderBy("c_custkey").select(F.array(F.concat(F.col("c_name"), F.lit(' "é"\n')), F.lit("second")).alias("out")), path)
+        return readers.read_predictions(s, path)
+
+    c.add("write_predictions", predictions, "select row_number() over (order by c_custkey) - 1 as pos, c_name || ' \"é\"' || chr(10) as text from customer")
+
+    def results(s, d):
+        path = _folder(s, "results")
+        writers.write_json(read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.struct("o_orderstatus", "o_orderpriority").alias("stage")), path)
+        return s.read.schema("id long, stage struct<o_orderstatus: string, o_orderpriority: string>").json(path).select("id", "stage.*")
+
+    c.add("write_json", results, "select o_orderkey as id, o_orderstatus, o_orderpriority from orders")
+
+    def scores(s, d):
+        path = _folder(s, "scores")
+        runs = read(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("metric")).agg(F.count(F.lit(1)).alias("rows"), F.max("l_quantity").alias("most"))
+        writers.write_scores(runs, path)
+        return readers.read_lines(s, path).select(F.substring_index("value", ": ", 1).alias("metric"), F.substring_index("value", ": ", -1).alias("scores"))
+
+    c.add("write_scores", scores, "select l_returnflag as metric, count(*) || ' ' || max(l_quantity) as scores from lineitem group by 1")
+
+    def objects(s, d, path):
+        """A file for each of eight groups of customers: one JSON object with an entry for each customer, line by line."""
+        o = read(s, d, "orders").withColumn("sentence", F.concat(F.lit('price "'), F.floor("o_totalprice").cast("string"), F.lit('\\" } ], [ {')))
+        listed = F.array_sort(F.collect_list(F.struct("o_orderkey", "sentence", (F.col("o_orderkey") % 2).cast("int").alias("label"))))
+        entries = o.groupBy(F.col("o_custkey").alias("place")).agg(listed.alias("l"))
+        value = F.concat_ws(",", F.to_json(F.transform("l", lambda x: x["sentence"])), F.to_json(F.transform("l", lambda x: x["label"])), F.lit('"a caption: [{"'))
+        group = (F.col("place") % 8).alias("file")
+        lines = entries.select(group, "place", F.concat(F.lit(', "c\\"'), F.col("place").cast("string"), F.lit('": ['), value, F.lit("]")).alias("value"))
+        ends = s.range(8).select(F.col("id").alias("file"), F.inline(F.array(*[F.struct(F.lit(at).cast("long").alias("place"), F.lit(text).alias("value")) for at, text in ((-1, '{ "none": [[], []]'), (2**62, "}"))])))
+        lines.unionByName(ends).repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
+
+    def statements(s, d):
+        path = _folder(s, "statements.json")
+        objects(s, d, path)
+        return readers.read_labelled_statements(s, path)
+
+    c.add("read_labelled_statements", statements,
+          """select 'c"' || o_custkey as table_id, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as pos,
+  'price "' || cast(floor(o_totalprice) as bigint) || '\\" } ], [ {' as sentence, (o_orderkey % 2)::int as label from orders""")
+
+
 def titles(s, d):
     return read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("table_id"), F.col("c_name").alias("title"))
 
@@ -220,14 +280,33 @@ select ln.table_id, 0 as part, 'Title: ' || any_value(title) || '. ' || string_a
         """Records with hashes of the whole texts they refer to; only hashes go to the references."""
         texts, csv = L.linearise(order_cells(s, d), titles(s, d), "nl"), L.table_csv(order_cells(s, d))
         refs = read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderpriority").alias("ref"))
-        inputs = L.whole_texts(texts, "input", ". ").select("table_id", F.md5("input").alias("input"))
-        files = L.whole_texts(csv, "csv", "\n").select("table_id", F.md5("csv").alias("table_csv"))
-        return L.baseline_records(refs, texts, csv).join(inputs, "table_id").join(files, "table_id").select("table_id", F.lit(0).alias("part"), "output", "input", "table_csv")
+        digest = lambda parts, column: parts.groupBy("table_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.md5(column).alias("h")))), lambda x: x["h"]), "")).alias(column))
+        found = L.baseline_records(refs, texts, csv).join(digest(texts, "input"), "table_id").join(digest(csv, "csv"), "table_id")
+        return found.select("table_id", "parts", "output", "input", F.col("csv").alias("table_csv"))
 
     c.add("baseline_records", baseline,
-          f"""with {CELLS}, {TITLES}, ln as (select table_id, row_idx, string_agg(raw, ',' order by col_idx) as t, 'Row, ' || string_agg(col_name || ': ' || raw, ', ' order by col_idx) as l from cells group by all),
-x as (select ln.table_id, md5('Status,Price,Date' || chr(10) || string_agg(t, chr(10) order by row_idx)) as table_csv, md5('Title: ' || any_value(title) || '. ' || string_agg(l, '. ' order by row_idx)) as input from ln join ti on ln.table_id = ti.table_id group by all)
-select x.table_id, 0 as part, o_orderpriority as output, input, table_csv from x join orders on x.table_id = cast(o_custkey as varchar)""")
+          f"""with {CELLS}, {TITLES}, ln as (select table_id, (row_number() over (partition by table_id order by row_idx) - 1) // {L.ROWS_PER_PART} as part, row_idx, t, l from
+  (select table_id, row_idx, string_agg(raw, ',' order by col_idx) as t, 'Row, ' || string_agg(col_name || ': ' || raw, ', ' order by col_idx) as l from cells group by all)),
+x as (select ln.table_id, part, md5(case when part = 0 then 'Status,Price,Date' || chr(10) else '' end || string_agg(t, chr(10) order by row_idx)) as h,
+  md5(case when part = 0 then 'Title: ' || any_value(title) || '. ' else '' end || string_agg(l, '. ' order by row_idx)) as i from ln join ti on ln.table_id = ti.table_id group by ln.table_id, part),
+y as (select table_id, count(*) as parts, md5(string_agg(h, '' order by part)) as table_csv, md5(string_agg(i, '' order by part)) as input from x group by table_id)
+select y.table_id, parts, o_orderpriority as output, input, table_csv from y join orders on y.table_id = cast(o_custkey as varchar)""")
+
+    def selection(mode):
+        def query(s, d):
+            made = read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("only { filter_eq { all_rows ; status ; "), "o_orderstatus", F.lit(" } }")).alias("output"), F.col("o_orderpriority").alias("source"))
+            features = titles(s, d).select("table_id", F.concat(F.lit("Title: "), "title").alias("input"))
+            found = L.selection_records(features, made, mode, L.headers(order_cells(s, d)) if mode == "eval" else None)
+            return found if mode != "eval" else found.select("table_id", "part", "input", F.array_join("outputs", "|").alias("outputs"), F.array_join("header", " | ").alias("header"))
+        return query
+
+    said = "'only { filter_eq { all_rows ; status ; ' || o_orderstatus || ' } }'"
+    kept = "from orders join customer on o_custkey = c_custkey"
+    c.add("selection_records_train", selection("train"), f"select cast(o_custkey as varchar) as table_id, 'Title: ' || c_name as input, {said} as output, o_orderpriority as source {kept}")
+    c.add("selection_records_eval", selection("eval"),
+          f"""with k as (select cast(o_custkey as varchar) as table_id, 'Title: ' || c_name as input, {said} as output, o_orderkey, (row_number() over (partition by o_custkey order by o_orderkey) - 1) // {L.ROWS_PER_PART} as part {kept})
+select table_id, part::int as part, input, string_agg(output, '|' order by o_orderkey) as outputs, 'status | price | date' as header from k group by table_id, part, input""")
+    c.add("selection_records_predict", selection("predict"), "select 'Title: ' || c_name as input, cast(c_custkey as varchar) as table_id from customer")
     c.add("token_health",
           lambda s, d: L.token_health(
               read(s, d, "documents").select(

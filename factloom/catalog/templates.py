@@ -44,19 +44,18 @@ TEMPLATES = [
     "eq { hop { filter_not_eq { all_rows ; price ; X } ; status } ; X }",
     "all_greater_eq { filter_greater_eq { all_rows ; day ; X } ; price ; X }",
     "eq { hop { argmax { filter_less { all_rows ; price ; X } ; price } ; day } ; X }",
+    "eq { count { filter_eq { filter_eq { filter_eq { filter_eq { all_rows ; status ; X } ; priority ; X } ; status ; X } ; priority ; X } } ; X }",
+    "and { and { only { filter_eq { all_rows ; priority ; X } } ; eq { hop { filter_eq { all_rows ; priority ; X } ; status } ; X } } ; eq { hop { filter_eq { all_rows ; priority ; X } ; day } ; X } }",
+    "greater { nth_max { all_rows ; price ; X } ; nth_min { all_rows ; price ; X } }",
+    "and { most_eq { all_rows ; status ; X } ; most_greater_eq { all_rows ; price ; X } }",
+    "and { less { hop { filter_eq { all_rows ; priority ; X } ; price } ; hop { filter_eq { all_rows ; status ; X } ; price } } ; and { eq { hop { filter_eq { all_rows ; priority ; X } ; status } ; X } ; eq { hop { filter_eq { all_rows ; status ; X } ; priority } ; X } } }",
 ]
 # Templates that are read but not filled, and why.
 DEEP = [
-    "eq { count { filter_eq { filter_eq { filter_eq { filter_eq { all_rows ; status ; X } ; priority ; X } ; day ; X } ; price ; X } } ; X }",
     "all_not_eq { all_rows ; status ; X }",
-    "and { most_eq { all_rows ; status ; X } ; most_greater { all_rows ; price ; X } }",
-    "greater { nth_max { all_rows ; price ; X } ; nth_min { all_rows ; price ; X } }",
-    "and { and { only { all_rows } ; only { all_rows } } ; only { all_rows } }",
-]
-DEEP_REASONS = [
-    "more than 3 filters inside each other", "never has an option", "sides of and with several options each and nothing shared",
-    "two sides with several options each", "and inside and",
+    "and { greater { nth_max { all_rows ; price ; X } ; nth_min { all_rows ; price ; X } } ; only { all_rows } }",
 ]
+DEEP_REASONS = ["never has an option", "a pair of options inside another statement"]
 BROKEN = [
     "eq { sum { all_rows ; status } ; X }",
     "eq { largest { all_rows ; price } ; X }",
@@ -65,18 +64,21 @@ BROKEN = [
     "eq { max { all_rows ; price ; price } ; X }",
 ]
 # Templates filled together, by their numbers.
-GROUPS = {"scalars": [2, 3, 4, 5, 6], "counts": [0, 9], "single_rows": [1, 11], "claims": [7, 8, 13], "subsets": [10, 12], "inner": [15, 16, 17, 26, 28, 29], "sided": [18, 19, 20, 21, 22, 27]}
+GROUPS = {"scalars": [2, 3, 4, 5, 6], "counts": [0, 9], "single_rows": [1, 11], "claims": [7, 8, 13], "subsets": [10, 12], "inner": [15, 16, 17, 26, 28, 29], "sided": [18, 19, 20, 21, 22, 27], "deep": [30, 31]}
 # Templates whose pairs stay factorised.
-PAIRS = [14, 23, 24, 25]
+PAIRS = [14, 23, 24, 25, 32, 33, 34]
+# Templates over one table of all orders.
+LARGE = [9, 15, 16, 28, 29]
 KINDS = {"status": "str", "priority": "str", "price": "num", "day": "date"}
 
 
-def cells(s, d):
-    """The orders of a customer as typed cells."""
-    row = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+def cells(s, d, one_table=False):
+    """The orders of a customer as typed cells; or all orders as one table."""
+    row = F.col("o_orderkey").cast("int") if one_table else F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    table = F.lit("orders") if one_table else F.col("o_custkey").cast("string")
     price = F.floor("o_totalprice")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    rows = read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), row.alias("row_idx"), "o_orderstatus", "o_orderpriority", price.alias("price"), day.alias("day"), "o_orderdate")
+    rows = read(s, d, "orders").select(table.alias("table_id"), row.alias("row_idx"), "o_orderstatus", "o_orderpriority", price.alias("price"), day.alias("day"), "o_orderdate")
     null = lambda t: F.lit(None).cast(t)
     cell = lambda i, n, raw, num, ts, st: F.struct(F.lit(i).alias("col_idx"), F.lit(n).alias("col_name"), F.lit(KINDS[n]).alias("coltype"), raw.alias("raw"), num.alias("num"), ts.alias("ts"), st.alias("str"))
     each = F.array(
@@ -92,8 +94,16 @@ def templates(s, d, texts):
     return read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("table_id"), lists)
 
 
+def row_templates(s, d, texts):
+    """A template for each order, over a column that has a name of its own in every table."""
+    o = read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderkey").alias("template_id"))
+    text = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("template_id") % len(texts)).cast("int"))
+    return o.select("table_id", "template_id", F.replace(text, F.lit("price"), F.concat(F.lit("price of "), "table_id")).alias("lf"))
+
+
 def headers(s, d):
-    types = F.create_map(*[x for n, k in KINDS.items() for x in (F.lit(n), F.lit(k))])
+    name = lambda n: F.concat(F.lit("price of "), "table_id") if n == "price" else F.lit(n)
+    types = F.create_map(*[x for n, k in KINDS.items() for x in (name(n), F.lit(k))])
     return read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id")).distinct().select("table_id", types.alias("types"))
 
 
@@ -102,6 +112,12 @@ def _texts(texts) -> str:
     return f"tl as (select * from (values {rows}) v(template_id, lf)), tt as (select cast(c_custkey as varchar) as table_id, template_id, lf from customer, tl)"
 
 
+def _row_texts(texts) -> str:
+    rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts))
+    return f"""tl as (select * from (values {rows}) v(pattern, form)),
+tt as (select cast(o_custkey as varchar) as table_id, o_orderkey as template_id, pattern, replace(form, 'price', 'price of ' || o_custkey) as lf from orders join tl on o_orderkey % {len(texts)} = pattern)"""
+
+
 BASE = """q as (select cast(o_custkey as varchar) as k, row_number() over (partition by o_custkey order by o_orderkey) as i, o_orderstatus as status,
   o_orderpriority as priority, cast(floor(o_totalprice) as bigint) as price, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderdate as ts from orders)"""
 
@@ -151,24 +167,28 @@ union all select a.k, 27, 'eq {{ hop {{ filter_not_eq {{ all_rows ; price ; ' ||
 union all select a.k, 28, 'all_greater_eq {{ filter_greater_eq {{ all_rows ; day ; ' || a.day || ' }} ; price ; ' || min(b.price) || ' }}' from
   (select distinct k, day, (select max(day) from q m where m.k = q.k) as last from q) a join q b on a.k = b.k and b.day >= a.day where a.day <> a.last group by a.k, a.day having count(*) > 1
 union all select f.k, 29, 'eq {{ hop {{ argmax {{ filter_less {{ all_rows ; price ; ' || cast(bound as bigint) || ' }} ; price }} ; day }} ; ' || arg_max(b.day, (b.price, -b.i)) || ' }}' from
-  (select distinct r.k, {S.ceil_to('v')} as bound from r join st on r.k = st.k) f join q b on f.k = b.k and b.price < bound join cn on cn.k = f.k group by f.k, bound, c having count(*) > 1 and count(*) < c)"""
+  (select distinct r.k, {S.ceil_to('v')} as bound from r join st on r.k = st.k) f join q b on f.k = b.k and b.price < bound join cn on cn.k = f.k group by f.k, bound, c having count(*) > 1 and count(*) < c
+union all select k, 30, 'eq {{ count {{ filter_eq {{ filter_eq {{ filter_eq {{ filter_eq {{ all_rows ; status ; ' || status || ' }} ; priority ; ' || priority || ' }} ; status ; ' || status || ' }} ; priority ; ' || priority || ' }} }} ; ' || count(*) || ' }}'
+  from q group by k, status, priority having count(*) > 1
+union all select k, 31, 'and {{ and {{ only {{ filter_eq {{ all_rows ; priority ; ' || priority || ' }} }} ; eq {{ hop {{ filter_eq {{ all_rows ; priority ; ' || priority || ' }} ; status }} ; ' || min(status) || ' }} }} ; eq {{ hop {{ filter_eq {{ all_rows ; priority ; ' || priority || ' }} ; day }} ; ' || min(day) || ' }} }}'
+  from q group by k, priority having count(*) = 1)"""
 
 
 def register(c: Catalog) -> None:
     both = TEMPLATES + BROKEN
-    c.add("template_tokens", lambda s, d: T.add_tokens(templates(s, d, both)).select("table_id", "template_id", F.posexplode("tokens").alias("pos", "token")),
-          f"""with {_texts(both)}, w as (select table_id, template_id, string_split(regexp_replace(regexp_replace(lf, ' = true$', ''), ' ([{{}};])', '|\\1|', 'g'), '|') as a from tt),
+    c.add("template_tokens", lambda s, d: T.add_tokens(row_templates(s, d, both)).select("table_id", "template_id", F.posexplode("tokens").alias("pos", "token")),
+          f"""with {_row_texts(both)}, w as (select table_id, template_id, string_split(regexp_replace(regexp_replace(lf, ' = true$', ''), ' ([{{}};])', '|\\1|', 'g'), '|') as a from tt),
 u as (select table_id, template_id, trim(unnest(a)) as token, generate_subscripts(a, 1) as p from w)
 select table_id, template_id, (row_number() over (partition by table_id, template_id order by p) - 1)::int as pos, token from u where token <> ''""")
-    c.add("template_nodes", lambda s, d: T.template_nodes(templates(s, d, both).withColumn("template_id", F.concat_ws("-", "table_id", "template_id"))).select("template_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "arg_pos", "depth", "func", "leaf"),
-          f"""with {_texts(both)}, w as (select template_id, string_split(regexp_replace(regexp_replace(lf, ' = true$', ''), ' ([{{}};])', '|\\1|', 'g'), '|') as a from tl),
+    c.add("template_nodes", lambda s, d: T.template_nodes(row_templates(s, d, both)).select("template_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "arg_pos", "depth", "func", "leaf"),
+          f"""with {_row_texts(both)}, w as (select template_id, string_split(regexp_replace(regexp_replace(lf, ' = true$', ''), ' ([{{}};])', '|\\1|', 'g'), '|') as a from tt),
 u as (select template_id, trim(unnest(a)) as token, generate_subscripts(a, 1) as p from w),
 v as (select template_id, token, row_number() over (partition by template_id order by p) - 1 as node_id from u where token <> ''),
 x as (select *, lead(token) over (partition by template_id order by node_id) as nxt, coalesce(sum(case token when '{{' then 1 when '}}' then -1 else 0 end) over (partition by template_id order by node_id rows between unbounded preceding and 1 preceding), 0) as depth from v),
 n as (select template_id, node_id, depth, case when nxt = '{{' then token end as func, case when coalesce(nxt, '') <> '{{' then token end as leaf from x where token not in ('{{', '}}', ';')),
 h as (select n.*, (select max(p.node_id) from n p where p.template_id = n.template_id and p.node_id < n.node_id and p.func is not null and p.depth = n.depth - 1) as parent_id from n),
 o as (select *, row_number() over (partition by template_id, parent_id order by node_id) - 1 as arg_pos from h)
-select c_custkey || '-' || template_id as template_id, node_id::int as node_id, coalesce(parent_id, -1)::int as parent_id, arg_pos::int as arg_pos, depth::int as depth, func, leaf from o, customer""")
+select template_id, node_id::int as node_id, coalesce(parent_id, -1)::int as parent_id, arg_pos::int as arg_pos, depth::int as depth, func, leaf from o""")
 
     def swapped(s, d, columns):
         """Filled statements with their own literals, made into templates again."""
@@ -176,12 +196,12 @@ select c_custkey || '-' || template_id as template_id, node_id::int as node_id,
         header = F.array(*[F.lit(n) for n in KINDS])
         return T.add_tokens(forms).select("o_orderkey", T.placeholders(F.col("tokens"), header, columns).alias("template"))
 
-    c.add("canonical_text", lambda s, d: T.add_tokens(templates(s, d, TEMPLATES)).select("table_id", "template_id", T.canonical(F.col("tokens")).alias("form")),
-          f"with {_texts(TEMPLATES)} select table_id, template_id, regexp_replace(lf, ' = true$', '') as form from tt")
+    c.add("canonical_text", lambda s, d: T.add_tokens(row_templates(s, d, TEMPLATES)).select("table_id", "template_id", T.canonical(F.col("tokens")).alias("form")),
+          f"with {_row_texts(TEMPLATES)} select table_id, template_id, regexp_replace(lf, ' = true$', '') as form from tt")
     c.add("placeholders", lambda s, d: swapped(s, d, False), "select o_orderkey, 'eq { hop { filter_eq { all_rows ; status ; X } ; price } ; X }' as template from orders")
     c.add("skeletons", lambda s, d: swapped(s, d, True), "select o_orderkey, 'eq { hop { filter_eq { all_rows ; Y ; X } ; Y } ; X }' as template from orders")
-    c.add("check_templates", lambda s, d: T.check(templates(s, d, both), headers(s, d)).select("table_id", "template_id", "syntax_ok"),
-          f"with {_texts(both)} select table_id, template_id, template_id < {len(TEMPLATES)} as syntax_ok from tt where table_id in (select cast(o_custkey as varchar) from orders)")
+    c.add("check_templates", lambda s, d: T.check(row_templates(s, d, both), headers(s, d)).select("table_id", "template_id", "syntax_ok"),
+          f"with {_row_texts(both)} select table_id, template_id, pattern < {len(TEMPLATES)} as syntax_ok from tt")
 
     def filled(s, d, numbers):
         return P.fill(templates(s, d, TEMPLATES).where(F.col("template_id").isin(*numbers)), cells(s, d))
@@ -196,17 +216,33 @@ select c_custkey || '-' || template_id as template_id, node_id::int as node_id,
 
     def pairs(s, d):
         given = templates(s, d, TEMPLATES).where(F.col("template_id").isin(*PAIRS))
-        return P.fill_pairs(given, cells(s, d)).select("table_id", "template_id", "first", "partner_from", "partner_to", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("except_from", "except_to")], "n_pairs")
+        return P.fill_pairs(given, cells(s, d)).select("table_id", "template_id", "first", F.coalesce("claim", F.lit("")).alias("claim"), "partner_from", "partner_to", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("except_from", "except_to")], "n_pairs")
 
     c.add("fill_pairs", pairs, f"with {BASE}, {_pairs_ctes()} select * from found")
+
+    def expanded(s, d):
+        """Three partners of every first part, written out."""
+        given = templates(s, d, TEMPLATES).where(F.col("template_id").isin(*PAIRS))
+        first, second = P.pair_parts(given, cells(s, d))
+        return P.expand_pairs(given, first, second, 3)
+
+    c.add("expand_fillings", expanded, f"""with {BASE}, {_pairs_ctes()}, {_expanded_ctes()} select * from written""")
+
+    def one_table(s, d):
+        given = s.createDataFrame([("orders", i, TEMPLATES[i]) for i in LARGE], "table_id string, template_id int, lf string")
+        return P.fill(given, cells(s, d, True))
+
+    c.add("fill_large", one_table,
+          f"with {BASE.replace('cast(o_custkey as varchar)', chr(39) + 'orders' + chr(39)).replace('row_number() over (partition by o_custkey order by o_orderkey)', 'o_orderkey')}, {_statements_ctes()} select distinct k as table_id, t as template_id, x as statement from s where t in ({', '.join(map(str, LARGE))})")
     reasons = ", ".join(f"({len(TEMPLATES) + i}, '{x}')" for i, x in enumerate(DEEP_REASONS))
-    c.add("template_coverage", lambda s, d: P.coverage(templates(s, d, TEMPLATES + DEEP)),
-          f"""with {_texts(TEMPLATES + DEEP)}, why as (select * from (values {reasons}) v(template_id, reason))
-select table_id, tt.template_id, case when tt.template_id in ({", ".join(map(str, PAIRS))}) then 'pairs' else coalesce(reason, 'statements') end as filled_by from tt left join why on tt.template_id = why.template_id""")
+    c.add("template_coverage", lambda s, d: P.coverage(row_templates(s, d, TEMPLATES + DEEP)),
+          f"""with {_row_texts(TEMPLATES + DEEP)}, why as (select * from (values {reasons}) v(number, reason))
+select table_id, tt.template_id, case when pattern in ({", ".join(map(str, PAIRS))}) then 'pairs' else coalesce(reason, 'statements') end as filled_by from tt left join why on pattern = number""")
 
     def executed(s, d):
         given = templates(s, d, both)
-        checked = T.check(given, headers(s, d))
+        plain = F.create_map(*[x for n, k in KINDS.items() for x in (F.lit(n), F.lit(k))])
+        checked = T.check(given, headers(s, d).withColumn("types", plain))
         good = checked.where("syntax_ok").select("table_id", "template_id", "lf")
         return M.rates(P.execution_check(given, checked, P.fill(good, cells(s, d)), P.fill_pairs(good, cells(s, d))))
 
@@ -216,27 +252,59 @@ select table_id, tt.template_id, case when tt.template_id in ({", ".join(map(str
 select round_even((select count(*) * {n} from (select distinct o_custkey from orders)) / (select n from tot), 3) as syntax, round_even((select count(*) from e) / (select n from tot), 3) as executability""")
 
 
-def _pair_ctes(number: int, op: str, first: str, second: str, hop: str, value: str) -> str:
-    """Ranges of ranks of the second parts, as ``fill_pairs`` gives them."""
-    single = lambda col: f"(select k, {col} as f, min({value}) as v from q group by k, {col} having count(*) = 1)"
-    text = lambda col: f"'hop {{ filter_eq {{ all_rows ; {col} ; ' || f || ' }} ; {hop} }}'"
-    own = "max(case when y.lf = x.lf then y.rk end)" if first == second else "null"
+def _pair_ctes(number: int, op: str, first: str, second: str, alike: bool = False) -> str:
+    """Ranges of ranks of the second parts, as ``fill_pairs`` gives them; sides: queries of (k, v, lf, claim)."""
+    own = "max(case when y.lf = x.lf then y.rk end)" if alike else "null"
     ranges = {
-        "greater": ("1", "lo", "null", "null", "lo"), "less": ("hi + 1", "n", "null", "null", "n - hi"),
+        "greater": ("1", "lo", "null", "null", "lo"), "less": ("hi + 1", "n", "null", "null", "n - hi"), "and": ("1", "n", "null", "null", "n"),
         "eq": ("lo + 1", "hi", "own", "own", "hi - lo - 1"), "diff": ("1", "n", "lo + 1", "hi", "n - (hi - lo)"),
     }[op]
     names = ("partner_from", "partner_to", "except_from", "except_to", "n_pairs")
     listed = ", ".join(f"cast(coalesce({r}, 0) as bigint) as {x}" for r, x in zip(ranges, names))
-    return f"""a{number} as (select k, v, {text(first)} as lf from {single(first)}),
-b{number} as (select k, v, lf, row_number() over (partition by k order by v, lf) as rk from (select k, v, {text(second)} as lf from {single(second)})),
-c{number} as (select x.k, x.lf, count(*) filter (y.v < x.v) as lo, count(*) filter (y.v <= x.v) as hi, count(y.v) as n, {own} as own from a{number} x left join b{number} y on x.k = y.k group by x.k, x.lf),
-f{number} as (select k as table_id, {number} as template_id, lf as first, {listed} from c{number})"""
+    return f"""a{number} as (select k, v, lf, claim from ({first})),
+b{number} as (select k, v, lf, claim, row_number() over (partition by k order by v, concat_ws(' ', lf, nullif(claim, ''))) as rk from ({second})),
+c{number} as (select x.k, x.lf, x.claim, x.v, count(*) filter (y.v < x.v) as lo, count(*) filter (y.v <= x.v) as hi, count(y.lf) as n, {own} as own from a{number} x left join b{number} y on x.k = y.k group by x.k, x.lf, x.claim, x.v),
+f{number} as (select k as table_id, {number} as template_id, lf as first, claim, {listed} from c{number})"""
+
+
+def _hop(col: str, hop: str, value: str, claim: str = "") -> str:
+    """Cells of single rows; with a claim about another cell of the row."""
+    text = lambda x: f"'hop {{ filter_eq {{ all_rows ; {col} ; ' || {col} || ' }} ; {x} }}'"
+    said = f"'eq {{ ' || {text(claim)} || ' ; ' || min({claim}) || ' }}'" if claim else "''"
+    return f"select k, min({value}) as v, {text(hop)} as lf, {said} as claim from q group by k, {col} having count(*) = 1"
+
+
+def _nth(func: str, order: str) -> str:
+    return f"""select k, price as v, '{func} {{ all_rows ; price ; ' || n || ' }}' as lf, '' as claim from
+  (select *, row_number() over (partition by k order by {order}, i) as n, count(*) over (partition by k) as c from q) where n <= c // 2"""
 
 
 def _pairs_ctes() -> str:
+    most = "select k, 0 as v, 'most_eq {{ all_rows ; status ; ' || status || ' }}' as lf, '' as claim from q group by k, status having count(*) * 2 > (select count(*) from q m where m.k = q.k) and count(*) < (select count(*) from q m where m.k = q.k)".replace("{{", "{").replace("}}", "}")
+    lower = """select distinct k, 0 as v, 'most_greater_eq { all_rows ; price ; ' || price || ' }' as lf, '' as claim from
+  (select *, row_number() over (partition by k order by price) - 1 as n, count(*) over (partition by k) as c from q) where n >= 1 and n < c // 2"""
+    day, status = _hop("day", "price", "price"), _hop("day", "status", "status")
     parts = [
-        _pair_ctes(14, "greater", "day", "day", "price", "price"), _pair_ctes(23, "eq", "day", "day", "status", "status"),
-        _pair_ctes(24, "diff", "day", "day", "price", "price"), _pair_ctes(25, "less", "priority", "status", "day", "ts"),
+        _pair_ctes(14, "greater", day, day), _pair_ctes(23, "eq", status, status, True),
+        _pair_ctes(24, "diff", day, day), _pair_ctes(25, "less", _hop("priority", "day", "ts"), _hop("status", "day", "ts")),
+        _pair_ctes(32, "greater", _nth("nth_max", "price desc"), _nth("nth_min", "price")), _pair_ctes(33, "and", most, lower),
+        _pair_ctes(34, "less", _hop("priority", "price", "price", "status"), _hop("status", "price", "price", "priority")),
     ]
     union = " union all ".join(f"select * from f{n}" for n in PAIRS)
     return ", ".join(parts) + f", found as (select * from ({union}) where n_pairs > 0)"
+
+
+def _expanded_ctes() -> str:
+    """The first three partners of each first part, in order of rank."""
+    ops = {14: "greater", 23: "eq", 24: "diff", 25: "less", 32: "greater", 33: "and", 34: "less"}
+    each = []
+    for n, op in ops.items():
+        pair = f"'{op} {{ ' || x.lf || ' ; ' || y.lf || ' }}'"
+        if op == "diff":
+            pair = f"'eq {{ ' || {pair} || ' ; ' || (x.v - y.v) || ' }}'"
+        elif n == 34:
+            pair = f"'and {{ ' || {pair} || ' ; and {{ ' || x.claim || ' ; ' || y.claim || ' }} }}'"
+        each.append(f"""e{n} as (select f.table_id, {n} as template_id, {pair} as statement, row_number() over (partition by f.table_id, x.lf, x.claim order by y.rk) as at
+  from (select * from found where template_id = {n}) f join a{n} x on f.table_id = x.k and f.first = x.lf and f.claim = x.claim join b{n} y on x.k = y.k and y.rk between partner_from and partner_to and not (except_from > 0 and y.rk between except_from and except_to))""")
+    union = " union all ".join(f"select table_id, template_id, statement from e{n} where at <= 3" for n in ops)
+    return ", ".join(each) + f", written as ({union})"

@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.numbers import value_text
-from factloom.plans.ranking import TASK_ROWS, is_hot
 
 class KeyedTable:
     """Typed rows split into tables.
 
     ``by``     columns that identify a table; empty for one big table.
     ``order``  columns that give the row order inside a table (used for first-row ties).
-    ``hot``    whether a table is too large for one task, when known; else looked up on first use.
     ``raw``    value column -> column with its original text; without an entry the text is derived
                from the value.
     """
@@ -28,21 +25,11 @@ class KeyedTable:
         by: Sequence[str] = (),
         order: Sequence[str] = (),
         raw: Mapping[str, str] | None = None,
-        task_rows: int = TASK_ROWS,
-        hot: bool | None = None,
     ):
         self.df = df
         self.by = list(by)
         self.order = list(order)
         self.raw = dict(raw or {})
-        self.task_rows = task_rows
-        if hot is not None:
-            self.__dict__["hot"] = hot
-
-    @cached_property
-    def hot(self) -> bool:
-        """Does any table hold more rows than one task should sort?"""
-        return is_hot(self.df, self.by, self.task_rows)
 
     def dtype(self, col: str) -> T.DataType:
         return self.df.schema[col].dataType

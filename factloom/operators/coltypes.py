@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import parsing as P
 from factloom.functions import text as X
 from factloom.operators.corpus import TABLE_ROW, clean_cells
+from factloom.plans.ranking import join_on
 
 COLUMN = ["table_id", "col_idx"]
 # Fixed value: the day that dates without a year or a day are completed from.
@@ -44,29 +45,41 @@ def rank_columns(cells: DataFrame) -> DataFrame:
     )
 
 
-def column_checks(cells: DataFrame, base: str = BASE_DATE) -> DataFrame:
-    """One pass over the cells: which types would all non-empty cells of a column allow? The checks of
-    an empty cell are null, which the aggregates skip."""
+def text_marks(texts: DataFrame, base: str = BASE_DATE) -> DataFrame:
+    """What the patterns say of each (col_name, processed): marks of the types that a cell with it allows."""
     raw, header = F.col("processed"), F.col("col_name")
     digit, month, num = F.col("digit"), F.col("month"), F.col("num")
-    # cheap marks first: they spare most cells the expensive patterns
-    kept = cells.select(*COLUMN, "col_name", "processed", (~raw.rlike(X.NO_DIGITS)).alias("digit"), raw.rlike(X.MONTH_WORD).alias("month"))
+    # cheap marks first: they spare most texts the expensive patterns
+    kept = texts.select("col_name", "processed", (~raw.rlike(X.NO_DIGITS)).alias("digit"), raw.rlike(X.MONTH_WORD).alias("month"))
     kept = kept.withColumn("num", digit & raw.rlike(X.NUMBER_CELL))
     maybe = ~num & (month | (digit & raw.rlike(P.NUMERIC_DATE)))
     dated = P.add_dates(kept, raw, "whole", "inside", base, maybe, month)
     looks = month | header.rlike(X.DATE_WORD) | raw.rlike(X.YEAR_INSIDE) | raw.rlike(X.SLASH_DATE)
     is_date = ~num & ((F.col("whole").isNotNull() & looks) | F.col("inside").isNotNull())
-    marked = dated.select(
-        *COLUMN, "col_name", "processed", is_date.alias("date"), "num",
+    return dated.select(
+        "col_name", "processed", is_date.alias("date"), "num",
         (digit & raw.rlike(X.YEAR_INSIDE)).alias("year"), (digit & is_time(raw)).alias("time"),
         raw.contains(":").cast("int").alias("colon"), (num & raw.rlike(X.DIGITS_CELL)).alias("digits"), (~digit).alias("str"),
         F.when(digit, P.number_count(raw)).when(~digit, 0).alias("numbers"),
     )
+
+
+def column_checks(cells: DataFrame, base: str = BASE_DATE) -> DataFrame:
+    """Which types would all non-empty cells of a column allow? The checks of an empty cell are null, which the
+    aggregates skip.
+
+    Cells are summed up to the distinct texts of their column; the patterns look once at each text under a header,
+    however many tables have it.
+    """
+    texts = cells.groupBy(*COLUMN, "col_name", "processed").agg(F.count(F.lit(1)).alias("n"))
+    # Naming the count keeps both uses of the texts alike, so that they share one shuffle.
+    known = text_marks(texts.where("processed is not null and n > 0").select("col_name", "processed").distinct(), base)
+    marked = join_on(texts, known, ["col_name", "processed"], "left_outer")
     return marked.groupBy(*COLUMN).agg(
         F.first("col_name").alias("col_name"),
-        F.count("processed").alias("cells"),
+        F.sum(F.when(F.col("processed").isNull(), 0).otherwise(F.col("n"))).alias("cells"),
         *[F.bool_and(c).alias(c) for c in ("date", "year", "num", "time", "digits", "str")],
-        F.sum("colon").alias("colons"),
+        F.sum(F.col("colon") * F.col("n")).alias("colons"),
         F.min("numbers").alias("least"), F.max("numbers").alias("most"),
         (F.min("processed") == F.max("processed")).alias("all_equal"),
     )

@@ -81,14 +81,13 @@ def ranked_rows(t: KeyedTable, filter_col: str, hop_col: str) -> DataFrame:
     classes = running(
         rows.groupBy(*t.by, "v").agg(F.count(F.lit(1)).alias("c")),
         t.by,
-        [F.col("v")],
+        ["v"],
         sums={"upto": F.col("c")},
         totals={"n": ("sum", F.col("c"))},
-        hot=t.hot,
     ).withColumn("below", F.col("upto") - F.col("c"))
     ranked = running(
-        rows, t.by, [F.col("v"), F.col("filled")],
-        sums={"rank": F.lit(1).cast("bigint")}, totals={}, hot=t.hot,
+        rows, t.by, ["v", "filled"],
+        sums={"rank": F.lit(1).cast("bigint")}, totals={},
     )
     return join_on(ranked, classes.drop("c"), [*t.by, "v"])
 

@@ -23,12 +23,12 @@ def table_id(url: Column, given: Column | None = None) -> Column:
     return last if given is None else F.coalesce(F.when(given != "", given), last)
 
 
-def wide_to_cells(df: DataFrame, table: Column, order: Sequence[str], columns: Mapping[str, Column], hot: bool | None = None) -> DataFrame:
+def wide_to_cells(df: DataFrame, table: Column, order: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
     """Cells of a wide DataFrame: one row of it is one row of its table, in the given order."""
     narrow = df.select(table.alias("table_id"), *[F.col(o).alias(f"__{o}") for o in order], *[c.alias(n) for n, c in columns.items()])
     numbered = running(
-        narrow, ["table_id"], [F.col(f"__{o}") for o in order],
-        sums={"row_idx": F.lit(1)}, totals={}, hot=hot,
+        narrow, ["table_id"], [f"__{o}" for o in order],
+        sums={"row_idx": F.lit(1)}, totals={},
     )
     cells = F.array(*[
         F.struct(F.lit(i).alias("col_idx"), F.lit(n).alias("col_name"), F.col(n).alias("raw"))
@@ -87,9 +87,23 @@ def drop_total_rows(cells: DataFrame) -> DataFrame:
 
 def clean_cells(cells: DataFrame) -> DataFrame:
     """Empty cells to null, rows that repeat the header and a trailing total row dropped. Whether a row
-    is the last is decided before any row is dropped."""
-    unwanted = header_rows(cells).unionByName(total_rows(cells)).distinct()
-    return null_empty_cells(cells).join(unwanted, TABLE_ROW, "left_anti")
+    is the last is decided before any row is dropped.
+
+    Cells meet once, by row: a row says whether it repeats the header or announces a total, and carries its cells on.
+    The last rows of tables are found from the same rows and told apart by the key they are already dealt by.
+    """
+    same, first = F.col("raw") == F.lower(F.trim("col_name")), F.col("col_idx") == 0
+    total = F.coalesce(processed(F.col("raw")).isNotNull() & F.lower("raw").rlike(TOTAL_ROW), F.lit(False))
+    others = [c for c in cells.columns if c not in TABLE_ROW]
+    rows = cells.groupBy(*TABLE_ROW).agg(
+        F.collect_list(F.struct(*others)).alias("__cells"),
+        F.coalesce(F.bool_and(same) & F.max(first & same), F.lit(False)).alias("__header"),
+        F.coalesce(F.max(first & total), F.lit(False)).alias("__total"))
+    # All columns are named here, so that both uses of the rows share one shuffle.
+    named = F.struct("row_idx", "__total", "__header", (F.size("__cells") > 0).alias("some"))
+    ends = rows.groupBy("table_id").agg(F.max(named).alias("l")).where("l.__total").select("table_id", F.col("l.row_idx").alias("row_idx"), F.lit(True).alias("__total"))
+    kept = rows.where(~F.col("__header")).join(ends, [*TABLE_ROW, "__total"], "left_anti")
+    return null_empty_cells(kept.select(*TABLE_ROW, F.inline("__cells")).select(*cells.columns))
 
 
 def remove_leaks(rows: DataFrame, other: DataFrame) -> DataFrame:
@@ -118,7 +132,7 @@ def table_items(rows: DataFrame, seq: str, item: str) -> DataFrame:
     """(table_id, pos, item): all items of a table in order, numbered from 1 (references, forms)."""
     numbered = running(
         rows.select("table_id", F.col(seq).alias("__seq"), F.col(item).alias("item")),
-        ["table_id"], [F.col("__seq")], sums={"pos": F.lit(1)}, totals={},
+        ["table_id"], ["__seq"], sums={"pos": F.lit(1)}, totals={},
     )
     return numbered.select("table_id", F.col("pos").cast("int").alias("pos"), "item")
 
@@ -129,14 +143,14 @@ def collect_items(rows: DataFrame, seq: str, item: str) -> DataFrame:
     return rows.groupBy("table_id").agg(F.transform(pairs, lambda p: p[item]).alias("items"))
 
 
-def replace_references(refs: DataFrame, statements: DataFrame, hot: bool | None = None) -> DataFrame:
+def replace_references(refs: DataFrame, statements: DataFrame) -> DataFrame:
     """The k-th reference of a table becomes its k-th entailed statement.
 
     refs (table_id, pos, ...), statements (table_id, pos, sentence, label): positions order the rows
     across all splits. A reference without a counterpart keeps its row with an empty ``ref``.
     """
     def kth(df: DataFrame) -> DataFrame:
-        return running(df, ["table_id"], [F.col("pos")], sums={"k": F.lit(1)}, totals={}, hot=hot)
+        return running(df, ["table_id"], ["pos"], sums={"k": F.lit(1)}, totals={})
 
     entailed = kth(statements.where(F.col("label") == 1).select("table_id", "pos", "sentence"))
     return join_on(kth(refs), entailed.select("table_id", "k", F.col("sentence").alias("ref")), ["table_id", "k"], "left_outer").drop("k")
@@ -150,7 +164,7 @@ def unique_predictions(preds: DataFrame) -> DataFrame:
 def distinct_sorted(rows: DataFrame, item: str) -> DataFrame:
     """(table_id, pos, item): the distinct items of a table in ascending order."""
     distinct = rows.select("table_id", F.col(item).alias("item")).distinct()
-    return running(distinct, ["table_id"], [F.col("item")], sums={"pos": F.lit(1)}, totals={}).select(
+    return running(distinct, ["table_id"], ["item"], sums={"pos": F.lit(1)}, totals={}).select(
         "table_id", F.col("pos").cast("int").alias("pos"), "item")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.corpus import TABLE_ROW
+from factloom.plans.ranking import running
 
 ROWS_PER_PART = 10_000
 # Markers of the marker style.
@@ -112,12 +113,17 @@ def baseline_records(rows: DataFrame, texts: DataFrame, csv: DataFrame) -> DataF
 
 
 def selection_records(features: DataFrame, templates: DataFrame | None, mode: str, header: DataFrame | None = None) -> DataFrame:
-    """Records of content selection: ``train`` one per template (table_id, output, source), ``eval``
-    one per table with all its templates in order, ``predict`` the input alone."""
+    """Records of content selection: ``train`` one per template (table_id, output, source), ``eval`` all templates
+    (table_id, pos, output) of a table in order, ``predict`` the input alone.
+
+    An ``eval`` record has a ``part`` number and ``outputs``, ``ROWS_PER_PART`` of them at most: tables of more templates
+    have several records, in order from part 0."""
     if mode == "train":
         return features.join(templates.select("table_id", "output", "source"), "table_id")
     if mode == "eval":
-        outputs = templates.groupBy("table_id").agg(
+        placed = running(templates.select("table_id", "pos", "output"), ["table_id"], ["pos"], sums={"k": F.lit(1).cast("long")}, totals={})
+        part = F.floor((F.col("k") - 1) / ROWS_PER_PART).cast("int").alias("part")
+        outputs = placed.groupBy("table_id", part).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "output"))), lambda x: x["output"]).alias("outputs"))
         found = features.join(outputs, "table_id")
         return found if header is None else found.join(header, "table_id")

@@ -10,7 +10,6 @@ from factloom.keyed import KeyedTable
 from factloom.plans.ranking import join_on
 
 MAX_N = 3
-LONG_GRAM = 120
 
 
 def distinct_texts(t: KeyedTable, col: str) -> DataFrame:
@@ -72,46 +71,28 @@ def clean_ngrams(counts: DataFrame, min_freq: int = 3) -> DataFrame:
     )
 
 
-def _inner_texts():
-    """Texts of one token less that lie inside a gram of n tokens, cut anywhere in a token."""
-    gram = F.col("gram")
-    size = F.length(gram)
-    cuts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda a: F.transform(F.sequence(F.lit(1), size - a + 1), lambda m: F.substring(gram, a, m)),
-        )
-    )
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    return F.array_distinct(
-        F.filter(cuts, lambda s: (spaces(s) == F.col("n") - 2) & ~s.startswith(" ") & ~s.endswith(" "))
-    )
+def _inner_texts(words: Column, n: Column, first: Column, last: Column) -> Column:
+    """Texts of ``n`` tokens that lie inside a gram of one token more, cut anywhere in a token, with a first token of
+    ``first`` characters and a last one of ``last``: parts of one token, or an end of one and the start of the next."""
+    parts = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - first + 1, F.lit(1))), lambda at: F.substring(w, at, first))))
+    joints = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda w, x: F.concat_ws(" ", F.right(w, first), F.left(x, last)))
+    # A token that is too short gives a text of another length, which no gram of these lengths equals.
+    return F.array_distinct(F.filter(F.when(n == 1, parts).otherwise(joints), lambda x: F.length(x) == F.when(n == 1, first).otherwise(first + last + 1)))
 
 
 def drop_explained(by: list[str], grams: DataFrame) -> DataFrame:
     """Drop a gram that is part of the text of a gram with one more token and the same frequency.
 
-    The longer grams list the texts inside them, which are then looked up by equality; comparing all
-    grams of one frequency with each other would be quadratic. Grams of unusual length, whose list
-    would be long, are compared directly.
+    A gram has one of a few forms: the lengths of its first and last token. Longer grams list the texts inside them
+    that have a form met in their table at their frequency, and those are looked up by equality. So a long gram
+    lists as many texts as it has characters for each form, and never meets the grams themselves.
     """
-    longer = grams.where(F.col("n") > 1)
-    listed = (
-        longer.where(F.length("gram") <= LONG_GRAM)
-        .select(*by, "n", "freq", F.explode(_inner_texts()).alias("inner"))
-        .select(*by, (F.col("n") - 1).alias("n"), "freq", F.col("inner").alias("gram"))
-        .distinct()
-    )
-    left = join_on(grams, listed, [*by, "n", "freq", "gram"], "left_anti")
-    giants = longer.where(F.length("gram") > LONG_GRAM).select(
-        *[F.col(b).alias(f"__{b}") for b in by],
-        (F.col("n") - 1).alias("__n"),
-        F.col("freq").alias("__freq"),
-        F.col("gram").alias("__gram"),
-    )
-    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
-    cond = [*same, F.col("n") == F.col("__n"), F.col("freq") == F.col("__freq"), F.col("__gram").contains(F.col("gram"))]
-    return left.join(giants, cond, "left_anti")
+    token = lambda at: F.length(F.element_at("words", at))
+    split = grams.withColumn("words", tokens(F.col("gram")))
+    forms = split.where(F.col("n") < MAX_N).select(*by, "n", "freq", token(1).alias("first"), token(-1).alias("last")).distinct()
+    longer = split.where(F.col("n") > 1).select(*by, (F.col("n") - 1).alias("n"), "freq", "words")
+    listed = join_on(longer, forms, [*by, "n", "freq"]).select(*by, "n", "freq", F.explode(_inner_texts(F.col("words"), F.col("n"), F.col("first"), F.col("last"))).alias("gram"))
+    return join_on(grams, listed.distinct(), [*by, "n", "freq", "gram"], "left_anti")
 
 
 def frequent_ngrams(t: KeyedTable, col: str) -> DataFrame:

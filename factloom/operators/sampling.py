@@ -49,7 +49,7 @@ def oversample(rows: DataFrame, label: str, ids: list[str], pool: DataFrame | No
     order = [*[F.col(i) for i in ids], F.col("__copy")]
     columns = source.columns
     ranked = running(
-        source.withColumn("__h", seeded_hash(seed, *order)), [label], [F.col("__h"), *order],
+        source.withColumn("__h", seeded_hash(seed, *order)), [label], ["__h", *ids, "__copy"],
         sums={"__rank": F.lit(1).cast("bigint")}, totals={},
     )
     pools = source.groupBy(label).agg(F.count(F.lit(1)).alias("pool"))
@@ -106,7 +106,7 @@ def shuffle_predictions(preds: DataFrame, pos: str, text: str, seed: int = 42) -
     """(pos, text) with the texts permuted: the row that is k-th by position gets the text that is k-th
     by hash. Both ranks are distributed prefix sums."""
     one = F.lit(1).cast("bigint")
-    by_pos = running(preds.select(pos), [], [F.col(pos)], sums={"k": one}, totals={})
+    by_pos = running(preds.select(pos), [], [pos], sums={"k": one}, totals={})
     hashed = preds.select(F.col(pos).alias("__p"), text, seeded_hash(seed, F.col(pos)).alias("__h"))
-    by_hash = running(hashed, [], [F.col("__h"), F.col("__p")], sums={"k": one}, totals={})
+    by_hash = running(hashed, [], ["__h", "__p"], sums={"k": one}, totals={})
     return by_pos.join(by_hash.select("k", text), "k").select(pos, text)

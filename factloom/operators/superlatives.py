@@ -72,15 +72,14 @@ def _ranked(t: KeyedTable, col: str, largest: bool, keep: list[str]) -> DataFram
         t.value(col).alias("__v"),
         t.text(col).alias("__raw"),
     )
-    v = F.col("__v").desc() if largest else F.col("__v").asc()
     one = F.lit(1).cast("bigint")
     ranked = running(
         rows.where(F.col("__v").isNotNull()),
         t.by,
-        [v, *[F.col(o) for o in orders]],
+        ["__v", *orders],
         sums={"nth": one},
         totals={"__n": ("sum", one)},
-        hot=t.hot,
+        down=["__v"] if largest else [],
     )
     return ranked.where(F.col("nth") <= F.floor(F.col("__n") / 2))
 

@@ -102,10 +102,16 @@ def placeholders(tokens: Column, header: Column, columns: bool = False) -> Colum
 
 def check(templates: DataFrame, headers: DataFrame) -> DataFrame:
     """Adds ``syntax_ok``: balanced, known functions and words, types that fit, the right number of
-    arguments and at most one hole each. headers (table_id, types MAP<column, type>)."""
+    arguments and at most one hole each. headers (table_id, types MAP<column, type>).
+
+    A text is checked once against each set of columns and types that its tables have."""
     known = F.create_map(*[x for f, n in ARITY.items() for x in (F.lit(f), F.lit(n))])
     typed = F.create_map(*[x for f, ts in TYPES.items() for x in (F.lit(f), F.array(*[F.lit(t) for t in ts]))])
-    rows = add_nodes(templates).join(headers.select("table_id", "types"), "table_id")
+    kind = F.md5(F.to_json(F.array_sort(F.map_entries("types"))))
+    heads = headers.select("table_id", kind.alias("__kind"), "types")
+    given = templates.join(heads.drop("types"), "table_id")
+    kinds = heads.groupBy("__kind").agg(F.first(F.map_entries("types")).alias("types")).withColumn("types", F.map_from_entries("types"))
+    rows = add_nodes(given.select("lf", "__kind").distinct()).join(kinds, "__kind")
     nodes = F.col("nodes")
     parent = lambda x: F.get(F.filter(nodes, lambda y: y["node_id"] == x["parent_id"]), F.lit(0))
     leaf_ok = lambda x: F.when(x["leaf"].isin("all_rows", "X"), F.lit(True)).otherwise(
@@ -118,7 +124,7 @@ def check(templates: DataFrame, headers: DataFrame) -> DataFrame:
         return F.coalesce((F.size(args) - holes == needed) & (holes <= 1), F.lit(False))
 
     ok = F.col("balanced") & F.forall(nodes, lambda x: F.when(x["func"].isNotNull(), func_ok(x)).otherwise(F.coalesce(leaf_ok(x), F.lit(False))))
-    return rows.withColumn("syntax_ok", ok).drop("types")
+    return given.join(rows.withColumn("syntax_ok", ok).drop("types"), ["lf", "__kind"]).drop("__kind")
 
 
 def _type_fits(typed: Column, coltype: Column, node: Column, parent) -> Column:

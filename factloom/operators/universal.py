@@ -30,8 +30,8 @@ def all_eq(t: KeyedTable, col: str) -> DataFrame:
 
 
 def all_not_eq(t: KeyedTable, col: str) -> DataFrame:
-    """Never has an option."""
-    return value_counts(t, col).select(*t.by, F.col("raw").alias("filled")).where(F.lit(False))
+    """Values of the column that no row holds: there never is one, for an option is looked for among the cells."""
+    return value_counts(t, col).where(F.col("cnt") == 0).select(*t.by, F.col("raw").alias("filled"))
 
 
 def all_greater_eq(t: KeyedTable, col: str) -> DataFrame:

@@ -34,10 +34,9 @@ def value_profile(t: KeyedTable, col: str) -> DataFrame:
     return running(
         value_counts(t, col).where(F.col("v").isNotNull()),
         t.by,
-        [F.col("v")],
+        ["v"],
         sums={"upto": F.col("cnt")},
         totals={"n": ("sum", F.col("cnt"))},
-        hot=t.hot,
     ).withColumn("below", F.col("upto") - F.col("cnt"))
 
 

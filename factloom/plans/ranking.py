@@ -2,32 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.session import materialise
-
-
-# Rows of one table that a single task may sort. Tables above it take the range-partitioned path.
-TASK_ROWS = 2_000_000
-
-
-def is_hot(df: DataFrame, by: Sequence[str], task_rows: int = TASK_ROWS) -> bool:
-    """Does any table hold more rows than one task should sort?
-
-    The row count alone (parquet footers, for a plain scan) settles it for small inputs; otherwise one
-    aggregate over the key columns, combined before its shuffle.
-    """
-    if df.count() <= task_rows:
-        return False
-    if not by:
-        return True
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > task_rows
-
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which an empty key matches an empty key; the left keys are kept.
@@ -36,7 +16,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     """
     if not keys:
         one = F.lit(1).alias("__one")
-        return join_on(left.select("*", one), right.select("*", one), ["__one"], how).drop("__one")
+        return join_on(left.select("*", one), F.broadcast(right.select("*", one)), ["__one"], how).drop("__one")
     renamed = right.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
@@ -45,59 +25,71 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
 
 
-def running(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    sums: Mapping[str, Column],
-    totals: Mapping[str, tuple[str, Column]],
-    hot: bool | None = None,
-) -> DataFrame:
-    """Add inclusive running sums (in ``order``) and totals (``sum``, ``min`` or ``max``) per table.
-
-    ``order`` must be a total order inside a table. ``hot`` tells whether a table is too large for one
-    task (looked up when not given). When no table is hot this is one window. When one
-    is, rows are range-partitioned on (table, order), so that a table spreads over many partitions:
-    every partition sums its own part of a table, a window over at most one row per partition turns
-    the parts into offsets, and the offsets are added to the running sums inside each part.
+def _not_after(border: Column, row: Sequence[Column], names: Sequence[str], down: Collection[int]) -> Column:
+    """Is a border the row's place or one before it? Empty values come first, or last where the order runs down."""
+    out = F.lit(True)
+    for i in reversed(range(len(names))):
+        b, r = border[names[i]], row[i]
+        before = (b > r) | (b.isNotNull() & r.isNull()) if i in down else (b < r) | (b.isNull() & r.isNotNull())
+        out = F.coalesce(before, F.lit(False)) | (b.eqNullSafe(r) & out)
+    return out
+
+
+def spread(df: DataFrame, keys: Sequence[Column], down: Collection[int] = (), name: str = "__part") -> DataFrame:
+    """``df`` with the number of the stretch of the order that a row falls into, about as many rows in each.
+
+    Borders are the places of least hash, as many as there are shuffle partitions: which rows they are depends on the
+    keys alone, so a task that runs again, or another branch of a plan, finds the same numbers. ``keys`` tell all rows
+    apart. A row's number comes from a binary search of the borders, a scalar subquery of that many keys.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    names = [f"k{i}" for i in range(len(keys))]
+    places = df.select(*[k.alias(x) for k, x in zip(keys, names)])
+    least = places.orderBy(F.xxhash64(*names), *names).limit(n - 1)
+    ahead = lambda a, b: F.when(_not_after(b, [a[x] for x in names], names, down), F.lit(1)).otherwise(F.lit(-1))
+    borders = least.agg(F.array_sort(F.collect_list(F.struct(*names)), ahead).alias("__borders"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((n - 1).bit_length()))])
+
+    def step(at: Column, size: Column) -> Column:
+        border = F.get("__borders", at + size - 1)
+        return F.when((at + size <= F.size("__borders")) & _not_after(border, keys, names, down), at + size).otherwise(at)
+
+    return df.withColumn("__borders", borders.scalar()).withColumn(name, F.aggregate(steps, F.lit(0), step)).drop("__borders")
+
+
+def cumulated(df: DataFrame, by: Sequence[str], order: Sequence[str], out: Mapping[str, tuple[str, str, Column]], down: Collection[str] = ()) -> DataFrame:
+    """``df`` with figures over the rows of a table that lie before, after or all around each row.
+
+    ``order`` names columns that tell the rows of a table apart; those in ``down`` run downwards. ``out``: name ->
+    (``sum``, ``min`` or ``max``; where; expression); where is ``upto`` (with the row itself), ``before``, ``after`` or
+    ``all``. Where there are no rows a figure is empty. A table of any size is spread over many tasks: rows fall
+    into stretches of the order (``spread``), each stretch of a table takes the figures of its own rows, windows over
+    one row a stretch carry them on, and a row adds what its stretch is given to what lies inside it.
     """
     funcs = {"sum": F.sum, "min": F.min, "max": F.max}
-    if hot is None:
-        hot = is_hot(df, by)
-    if not hot:
-        ordered = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        whole = W.partitionBy(*by)
-        return df.select(
-            "*",
-            *[F.sum(c).over(ordered).alias(name) for name, c in sums.items()],
-            *[funcs[f](c).over(whole).alias(name) for name, (f, c) in totals.items()],
-        )
-
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    # The partition of a row must not change when a lost task is run again, so it is written down.
-    ranged = materialise(
-        df.repartitionByRange(parts, *[F.col(k) for k in by], *order)
-        .withColumn("__part", F.spark_partition_id())
-    )
-    part_sums = ranged.groupBy(*by, "__part").agg(
-        *[F.sum(c).alias(f"__s_{name}") for name, c in sums.items()],
-        *[funcs[f](c).alias(f"__t_{name}") for name, (f, c) in totals.items()],
-    )
-    before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
-    offsets = part_sums.select(
-        *by,
-        "__part",
-        *[F.coalesce(F.sum(f"__s_{name}").over(before), F.lit(0)).alias(f"__o_{name}") for name in sums],
-        *[funcs[f](f"__t_{name}").over(whole).alias(name) for name, (f, _) in totals.items()],
-    )
-    inside = (
-        W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    joined = join_on(ranged, offsets, [*by, "__part"])
-    return joined.select(
-        *df.columns,
-        *[(F.sum(c).over(inside) + F.col(f"__o_{name}")).alias(name) for name, c in sums.items()],
-        *totals,
-    )
+    rows = spread(df.select("*", *[c.alias(f"__m_{x}") for x, (_, _, c) in out.items()]), [F.col(c) for c in [*by, *order]], [i for i, c in enumerate([*by, *order]) if c in down])
+    parts = rows.groupBy(*by, "__part").agg(*[funcs[f](f"__m_{x}").alias(f"__s_{x}") for x, (f, _, _) in out.items()])
+    # What follows is summed up from the other end: a frame that ends with the last row is evaluated anew for every row.
+    earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    frames = {"upto": earlier, "before": earlier, "after": W.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1), "all": W.partitionBy(*by)}
+    given = parts.select(*by, "__part", *[funcs[f](f"__s_{x}").over(frames[where]).alias(f"__o_{x}") for x, (f, where, _) in out.items()])
+    part = W.partitionBy(*by, "__part")
+    inside, back = (part.orderBy(*[F.desc(c) if (c in down) == forth else F.asc(c) for c in order]) for forth in (True, False))
+    near = {"upto": inside.rowsBetween(W.unboundedPreceding, 0), "before": inside.rowsBetween(W.unboundedPreceding, -1), "after": back.rowsBetween(W.unboundedPreceding, -1)}
+
+    def figure(x: str, f: str, where: str) -> Column:
+        far = F.col(f"__o_{x}")
+        if where == "all":
+            return far
+        here = funcs[f](f"__m_{x}").over(near[where])
+        if f == "sum":
+            return F.when(here.isNull(), far).when(far.isNull(), here).otherwise(here + far)
+        return (F.least if f == "min" else F.greatest)(here, far)
+
+    joined = join_on(rows, given, [*by, "__part"])
+    return joined.select(*df.columns, *[figure(x, f, where).alias(x) for x, (f, where, _) in out.items()])
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], totals: Mapping[str, tuple[str, Column]], down: Collection[str] = ()) -> DataFrame:
+    """Add inclusive running sums (in ``order``) and totals (``sum``, ``min`` or ``max``) per table: see ``cumulated``."""
+    return cumulated(df, by, order, {x: ("sum", "upto", c) for x, c in sums.items()} | {x: (f, "all", c) for x, (f, c) in totals.items()}, down)

@@ -1,10 +1,13 @@
 """Filled templates: the faults found before, every statement evaluated again by plain Python, pairs by brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import KeyedTable
+from factloom.operators import selectors
 from factloom.plans import fill as P
 
 SCHEMA = "table_id string, row_idx int, col_idx int, col_name string, coltype string, raw string, num double, ts timestamp_ntz, str string"
@@ -204,6 +207,127 @@ def test_pairs(spark):
 
 
 def test_unfilled_templates_have_a_reason(spark):
-    texts = ["eq { count { all_rows } ; X }", "largest { all_rows ; price ; X }", "eq { max { all_rows ; price ; X", "greater { nth_max { all_rows ; price ; X } ; nth_min { all_rows ; price ; X } }"]
+    texts = ["eq { count { all_rows } ; X }", "largest { all_rows ; price ; X }", "eq { max { all_rows ; price ; X", "greater { nth_max { all_rows ; price ; X } ; nth_min { all_rows ; price ; X } }", "and { greater { nth_max { all_rows ; price ; X } ; nth_min { all_rows ; price ; X } } ; only { all_rows } }"]
     rows = {x.template_id: x.filled_by for x in P.coverage(given(spark, {"t": []}, texts)).collect()}
-    assert rows == {0: "statements", 1: "unknown function largest", 2: "not readable", 3: "two sides with several options each"}
+    assert rows == {0: "statements", 1: "unknown function largest", 2: "not readable", 3: "pairs", 4: "a pair of options inside another statement"}
+
+
+RANGED = ["not_eq", "greater_eq", "less_eq", "greater", "less"]
+ANSWERS = ["eq {{ max {{ {} ; {} }} ; X }}", "eq {{ min {{ {} ; {} }} ; X }}", "eq {{ sum {{ {} ; {} }} ; X }}", "eq {{ avg {{ {} ; {} }} ; X }}", "eq {{ hop {{ argmax {{ {} ; {} }} ; name }} ; X }}", "eq {{ hop {{ argmin {{ {} ; {} }} ; name }} ; X }}", "all_greater_eq {{ {} ; {} ; X }}", "all_less_eq {{ {} ; {} ; X }}"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ranges_equal_lists_of_rows(spark, seed):
+    """Every option of a range filter, with what plain lists of the rows it leaves say."""
+    r = random.Random(seed)
+    data = {f"t{t}": [(f"n{i}", "x", r.choice(["5", "- 5", "7", "7", "12.5", "40", "41", None]), r.choice(["3", "8", "8", "20", None]), "2020-01-01") for i in range(r.randint(3, 12))] for t in range(4)}
+    texts = [a.format(f"filter_{f} {{ all_rows ; price ; X }}", "size") for f in RANGED for a in ANSWERS]
+    frame = cells(spark, data)
+    got = {(x.table_id, x.template_id): set() for x in P.fill(given(spark, data, texts), frame).collect()}
+    for x in P.fill(given(spark, data, texts), frame).collect():
+        got[x.table_id, x.template_id].add(x.statement)
+    wide = spark.createDataFrame([(t, i, float(row[2].replace("- ", "-")) if row[2] else None, row[2] or "") for t, rows in data.items() for i, row in enumerate(rows)], "table_id string, i int, v double, raw string")
+    table = KeyedTable(wide, ["table_id"], ["i"], raw={"v": "raw"})
+    want = {}
+    number = lambda x: float(x.replace("- ", "-"))
+    shown = lambda x: str(int(x)) if x == int(x) else str(x)
+    for k, f in enumerate(RANGED):
+        for option in getattr(selectors, f"filter_{f}")(table, "v").collect():
+            left = Table(data[option.table_id]).run((f"filter_{f}", ["all_rows", "price", option.filled]))
+            assert len(left) == option.val_count
+            some = [x for x in left if x["size"] is not None]
+            if not some:
+                continue
+            values = [number(x["size"]) for x in some]
+            text = lambda v: next(x["size"] for x in some if number(x["size"]) == v)
+            first = lambda v: next(x["name"] for x in some if number(x["size"]) == v)
+            mean = round(sum(values) / len(values) + 1e-12, 2)
+            said = [text(max(values)), text(min(values)), shown(sum(values)), shown(mean), first(max(values)), first(min(values)), text(min(values)), text(max(values))]
+            for j, (answer, form) in enumerate(zip(said, ANSWERS)):
+                whole = form.format(f"filter_{f} {{ all_rows ; price ; {option.filled} }}", "size")
+                want.setdefault((option.table_id, k * len(ANSWERS) + j), set()).add(whole.replace("; X }", f"; {answer} }}"))
+    for key, statements in want.items():
+        if "avg" in texts[key[1]]:
+            assert len(got[key]) == len(statements), key
+        else:
+            assert got[key] == statements, key
+    assert {k for k, v in got.items() if v} <= set(want) | {k for k in got if " sum " in texts[k[1]]}
+
+
+def test_filters_as_deep_as_wanted(spark):
+    rows = [("a", "x", "5", "1", "2020-01-01")] * 3 + [("a", "x", "7", "1", "2020-01-01"), ("b", "y", "9", "2", "2020-01-02")]
+    inner = "all_rows"
+    for c in ("name", "place", "size", "day", "name", "place"):
+        inner = f"filter_eq {{ {inner} ; {c} ; X }}"
+    texts = [f"eq {{ count {{ {inner} }} ; X }}", f"eq {{ max {{ filter_greater_eq {{ {inner} ; price ; X }} ; price }} ; X }}"]
+    got = {x.statement for x in P.fill(given(spark, {"t": 0}, texts), cells(spark, {"t": rows})).collect()}
+    full = "all_rows"
+    for c, v in (("name", "a"), ("place", "x"), ("size", "1"), ("day", "2020-01-01"), ("name", "a"), ("place", "x")):
+        full = f"filter_eq {{ {full} ; {c} ; {v} }}"
+    assert got == {f"eq {{ count {{ {full} }} ; 4 }}", f"eq {{ max {{ filter_greater_eq {{ {full} ; price ; 5 }} ; price }} ; 7 }}"}
+
+
+def test_and_inside_and(spark):
+    rows = [("a", "x", "5", "1", "2020-01-01"), ("b", "x", "7", "2", "2020-01-02"), ("c", "y", "7", "3", "2020-01-03")]
+    hop = lambda c: f"eq {{ hop {{ filter_eq {{ all_rows ; name ; X }} ; {c} }} ; X }}"
+    texts = [f"and {{ and {{ {hop('place')} ; {hop('price')} }} ; {hop('day')} }}", f"and {{ {hop('place')} ; and {{ {hop('price')} ; {hop('day')} }} }}", "and { and { only { all_rows } ; only { all_rows } } ; only { all_rows } }"]
+    got = P.fill(given(spark, {"t": 0}, texts), cells(spark, {"t": rows})).collect()
+    for i in (0, 1):
+        mine = {x.statement for x in got if x.template_id == i}
+        assert len(mine) == 3 and all(Table(rows).run(parse(x)) for x in mine)
+    assert {x.template_id for x in got} == {0, 1}
+    assert {x.filled_by for x in P.coverage(given(spark, {"t": 0}, texts)).collect()} == {"statements"}
+
+
+def test_pairs_of_any_scalars_written_out(spark):
+    r = random.Random(5)
+    data = {f"t{t}": [(f"n{i}", f"p{r.randint(0, 3)}", str(r.randint(1, 6)), str(r.randint(1, 6)), f"2020-01-0{r.randint(1, 4)}") for i in range(7)] for t in range(3)}
+    hop = lambda c, v: f"hop {{ filter_eq {{ all_rows ; {c} ; X }} ; {v} }}"
+    nth = lambda f: f"nth_{f} {{ all_rows ; price ; X }}"
+    texts = [
+        f"greater {{ {nth('max')} ; {nth('min')} }}", f"eq {{ {nth('max')} ; {hop('name', 'size')} }}", f"not_eq {{ {hop('name', 'price')} ; max {{ filter_eq {{ all_rows ; place ; X }} ; size }} }}",
+        f"round_eq {{ diff {{ {nth('max')} ; {hop('name', 'size')} }} ; X }}", "and { most_greater_eq { all_rows ; price ; X } ; all_greater { all_rows ; size ; X } }",
+        f"and {{ most_greater_eq {{ all_rows ; price ; X }} ; most_less_eq {{ all_rows ; size ; X }} }}",
+        f"and {{ less {{ {hop('name', 'price')} ; {hop('place', 'price')} }} ; and {{ eq {{ {hop('name', 'day')} ; X }} ; eq {{ {hop('place', 'name')} ; X }} }} }}",
+        f"eq {{ {hop('name', 'price')} ; {hop('name', 'price')} }}",
+    ]
+    assert {x.filled_by for x in P.coverage(given(spark, data, texts)).collect()} == {"pairs"}
+    frame, asked = cells(spark, data), given(spark, data, texts)
+    first, second = P.pair_parts(asked, frame)
+    whole = P.expand_pairs(asked, first, second).collect()
+    assert len(set(whole)) == len(whole) == first.agg(F.sum("n_pairs")).first()[0]
+    for x in whole:
+        assert Table(data[x.table_id]).run(parse(x.statement)), x.statement
+    few = P.expand_pairs(asked, first, second, 2).collect()
+    assert set(few) <= set(whole) and len(few) == first.agg(F.sum(F.least("n_pairs", F.lit(2)))).first()[0]
+    # Every pair there is, from the lists of options.
+    for t, rows in data.items():
+        table, by = Table(rows), [float(x[2]) for x in rows]
+        down, up = sorted(by, reverse=True)[:3], sorted(by)[:3]
+        assert sum(x.table_id == t and x.template_id == 0 for x in whole) == sum(a > b for a in down for b in up)
+        assert sum(x.table_id == t and x.template_id == 1 for x in whole) == sum(a == float(x[3]) for a in down for x in rows)
+        assert sum(x.table_id == t and x.template_id == 3 for x in whole) == sum(a != float(x[3]) for a in down for x in rows)
+        single = [x for x in rows if sum(y[1] == x[1] for y in rows) == 1]
+        assert sum(x.table_id == t and x.template_id == 6 for x in whole) == sum(float(a[2]) < float(b[2]) for a in rows for b in single)
+        assert table.rows
+
+
+def test_one_table_of_many_rows(spark):
+    """Ranges over 100,000 different values: as many options, and no list of rows for each of them."""
+    n = 100_000
+    num = lambda c: F.struct(F.lit(c).alias("col_name"), F.lit("num").alias("coltype"), F.col(c).cast("string").alias("raw"), F.col(c).cast("double").alias("num"))
+    rows = spark.range(1, n + 1).select(F.lit("t").alias("table_id"), F.col("id").cast("int").alias("row_idx"), F.col("id").alias("price"), ((F.col("id") * 7919) % 100_003).alias("size"))
+    frame = rows.select("table_id", "row_idx", F.posexplode(F.array(num("price"), num("size"))).alias("col_idx", "c")).select("table_id", "row_idx", "col_idx", "c.*", F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("str"))
+    texts = ["eq { max { filter_less_eq { all_rows ; price ; X } ; size } ; X }", "all_greater_eq { filter_not_eq { all_rows ; price ; X } ; size ; X }"]
+    began = time.time()
+    got = P.fill(given(spark, {"t": 0}, texts), frame)
+    counts = {x.template_id: (x["n"], x.s) for x in got.groupBy("template_id").agg(F.count("*").alias("n"), F.count_distinct("statement").alias("s")).collect()}
+    assert counts == {0: (n - 1, n - 1), 1: (n, n)}
+    values = [(i * 7919) % 100_003 for i in range(1, n + 1)]
+    best, top = {}, 0
+    for i, v in enumerate(values, 1):
+        top = max(top, v)
+        best[i] = top
+    picked = got.where("template_id = 0").select(F.regexp_extract("statement", r"price ; (\d+) ", 1).cast("int"), F.regexp_extract("statement", r" (\d+) \}$", 1).cast("int")).collect()
+    assert all(best[a] == b for a, b in picked)
+    assert time.time() - began < 300

@@ -1,4 +1,4 @@
-"""Hand-computed results of the statement operators, on the plain and on the hot-table path."""
+"""Hand-computed results of the statement operators, in few and in many stretches of the order."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,11 +12,13 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.fixture(params=[1_000_000, 2], ids=["plain", "hot"])
+@pytest.fixture(params=["2", "9"])
 def hand(spark, request):
     data = [(1, 1, 5.0), (1, 2, 5.0), (1, 3, 2.0), (1, 4, None), (1, 5, 9.0), (2, 1, None), (2, 2, None)]
     df = spark.createDataFrame(data, "k int, i int, v double")
-    return KeyedTable(df, ["k"], ["i"], task_rows=request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield KeyedTable(df, ["k"], ["i"])
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
 
 
 def test_extremes(hand):
@@ -72,13 +74,14 @@ def test_majority_and_universal(hand):
 
 def test_no_key_is_one_table(spark):
     df = spark.range(1, 101).select(F.col("id").alias("i"), (F.col("id") * 1.0).alias("v"))
-    for task_rows in (10, 1000):
-        t = KeyedTable(df, [], ["i"], task_rows=task_rows)
-        assert t.hot == (task_rows == 10)
+    for shuffles in ("2", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        t = KeyedTable(df, [], ["i"])
         got = selectors.filter_greater(t, "v", rows="any")
         assert rows(got) == sorted((str(b), 100 - b) for b in range(10, 100, 10))
         assert superlatives.nth_max(t, "v").count() == 50
         assert rows(superlatives.nth_max(t, "v").where("nth = 3")) == [(3, "98")]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
 
 
 @pytest.mark.parametrize("nums,step", [
@@ -165,10 +168,9 @@ def brute_pairs(data, func):
 
 
 @pytest.mark.parametrize("func", ["greater", "less", "eq", "not_eq", "diff"])
-@pytest.mark.parametrize("task_rows", [2, 1000])
-def test_pairs_against_brute_force(spark, func, task_rows):
+def test_pairs_against_brute_force(spark, func):
     data = [(1, 1, 5.0), (1, 2, 5.0), (1, 3, 7.0), (1, 4, 1.0), (1, 4, 2.0), (1, 5, None), (1, 6, 7.0), (2, 1, 3.0), (2, 2, 4.0), (3, 1, 1.0)]
-    t = KeyedTable(spark.createDataFrame(data, "k int, f int, v double"), ["k"], [], task_rows=task_rows)
+    t = KeyedTable(spark.createDataFrame(data, "k int, f int, v double"), ["k"], [])
     found = compare.pairs(t, func, "f", "v")
     ranked = compare.ranked_rows(t, "f", "v")
     expect = brute_pairs(data, func)
