@@ -244,7 +244,8 @@ select table_id, tt.template_id, case when pattern in ({", ".join(map(str, PAIRS
         plain = F.create_map(*[x for n, k in KINDS.items() for x in (F.lit(n), F.lit(k))])
         checked = T.check(given, headers(s, d).withColumn("types", plain))
         good = checked.where("syntax_ok").select("table_id", "template_id", "lf")
-        return M.rates(P.execution_check(given, checked, P.fill(good, cells(s, d)), P.fill_pairs(good, cells(s, d))))
+        ready = P.answered(good, cells(s, d))
+        return M.rates(P.execution_check(given, checked, P.fill(good, cells(s, d), ready), P.pair_parts(good, cells(s, d), ready)[0]))
 
     n = len(TEMPLATES)
     c.add("execution_rates", executed,
@@ -304,7 +305,7 @@ def _expanded_ctes() -> str:
             pair = f"'eq {{ ' || {pair} || ' ; ' || (x.v - y.v) || ' }}'"
         elif n == 34:
             pair = f"'and {{ ' || {pair} || ' ; and {{ ' || x.claim || ' ; ' || y.claim || ' }} }}'"
-        each.append(f"""e{n} as (select f.table_id, {n} as template_id, {pair} as statement, row_number() over (partition by f.table_id, x.lf, x.claim order by y.rk) as at
+        each.append(f"""e{n} as (select f.table_id, {n} as template_id, {pair} as statement, row_number() over (partition by f.table_id, x.lf, x.claim order by y.rk) as place
   from (select * from found where template_id = {n}) f join a{n} x on f.table_id = x.k and f.first = x.lf and f.claim = x.claim join b{n} y on x.k = y.k and y.rk between partner_from and partner_to and not (except_from > 0 and y.rk between except_from and except_to))""")
-    union = " union all ".join(f"select table_id, template_id, statement from e{n} where at <= 3" for n in ops)
+    union = " union all ".join(f"select table_id, template_id, statement from e{n} where place <= 3" for n in ops)
     return ", ".join(each) + f", written as ({union})"

@@ -561,14 +561,21 @@ def _claims(exprs: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return values, reduce(DataFrame.unionByName, [claims, sided, _equations(exprs, values)])
 
 
-def fill(templates: DataFrame, cells: DataFrame) -> DataFrame:
+def answered(templates: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The expressions of templates, their scalars and their claims: what ``fill`` and ``pair_parts`` share."""
+    exprs = stored(expressions(templates), "fill-expressions")
+    values, claims = _claims(exprs, cells)
+    return exprs, values, stored(_conjunctions(exprs, claims), "fill-claims")
+
+
+def fill(templates: DataFrame, cells: DataFrame, given: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """(table_id, template_id, statement): the distinct true statements of every template that ``coverage`` calls
     ``statements``.
 
-    templates (table_id, template_id, lf), checked before; cells as ``query_cells`` gives them.
+    templates (table_id, template_id, lf), checked before; cells as ``query_cells`` gives them; ``given``: what
+    ``answered`` says of both, if it is known.
     """
-    exprs = stored(expressions(templates), "fill-expressions")
-    whole = _conjunctions(exprs, _claims(exprs, cells)[1])
+    whole = (given or answered(templates, cells))[2]
     return _form(templates).join(whole, ["table_id", "text"]).select("table_id", "template_id", F.col("lf").alias("statement")).distinct()
 
 
@@ -609,7 +616,7 @@ def _claimed() -> Column:
     return (F.col("func") == "and") & F.col("parent").isNull() & F.col("func0").isin(*TWO_SIDED) & (F.col("func1") == "and") & sides.rlike(r"; X \}.* \} ; .*; X \}")
 
 
-def pair_parts(templates: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def pair_parts(templates: DataFrame, cells: DataFrame, given: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Fillings of templates whose two sides have many options each, as two lists.
 
     first (table_id, template_id, func, first, v, claim, partner_from, partner_to, except_from, except_to, n_pairs): a
@@ -622,9 +629,7 @@ def pair_parts(templates: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataF
     ``eq`` is no partner of itself. Empty cells take part in ``not_eq`` only, where they differ from all others;
     ``greater``, ``less`` and differences are of numbers and times.
     """
-    exprs = stored(expressions(templates), "fill-expressions")
-    values, claims = _claims(exprs, cells)
-    claims = stored(_conjunctions(exprs, claims), "fill-claims")
+    exprs, values, claims = given or answered(templates, cells)
     names = ["table_id", "func", "text", "whole", "arg0", "arg1", "claim0", "claim1"]
     none = F.lit(None).cast("string")
     plain = exprs.where(_both_open() & _paired()).select("table_id", "func", "text", F.when(F.col("func") == "diff", F.lit(None)).otherwise(F.col("text")).cast("string").alias("whole"), "arg0", "arg1", none.alias("claim0"), none.alias("claim1"))

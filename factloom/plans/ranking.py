@@ -35,6 +35,15 @@ def _not_after(border: Column, row: Sequence[Column], names: Sequence[str], down
     return out
 
 
+def _with_all_columns(df: DataFrame) -> DataFrame:
+    """``df`` in which no use of it can leave out a column.
+
+    Branches of a plan share a shuffle below them only if they ask for the same columns of it. The condition holds
+    for every row, which the optimiser does not know.
+    """
+    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(2)) < 2)
+
+
 def spread(df: DataFrame, keys: Sequence[Column], down: Collection[int] = (), name: str = "__part") -> DataFrame:
     """``df`` with the number of the stretch of the order that a row falls into, about as many rows in each.
 
@@ -67,7 +76,7 @@ def cumulated(df: DataFrame, by: Sequence[str], order: Sequence[str], out: Mappi
     one row a stretch carry them on, and a row adds what its stretch is given to what lies inside it.
     """
     funcs = {"sum": F.sum, "min": F.min, "max": F.max}
-    rows = spread(df.select("*", *[c.alias(f"__m_{x}") for x, (_, _, c) in out.items()]), [F.col(c) for c in [*by, *order]], [i for i, c in enumerate([*by, *order]) if c in down])
+    rows = spread(_with_all_columns(df).select("*", *[c.alias(f"__m_{x}") for x, (_, _, c) in out.items()]), [F.col(c) for c in [*by, *order]], [i for i, c in enumerate([*by, *order]) if c in down])
     parts = rows.groupBy(*by, "__part").agg(*[funcs[f](f"__m_{x}").alias(f"__s_{x}") for x, (f, _, _) in out.items()])
     # What follows is summed up from the other end: a frame that ends with the last row is evaluated anew for every row.
     earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
