@@ -116,3 +116,18 @@ def test_documents(spark):
     assert sorted(x.doc_id for x in kept.select("doc_id").collect()) == sorted([*range(300), 5])
     assert rules.assess(docs.limit(0)).count() == 0
     assert rules.assess(docs.where(F.col("doc_id") >= 900)).where("kept").count() == 0
+
+
+def test_only_the_joint_vector_explains_a_rejection(spark):
+    """Long texts have long words here. A long text with the short words of a short one is usual figure by figure."""
+    import math
+
+    shape = lambda n: round(n * (1 + 1.5 * math.log(n)))
+    sizes = [round(60 * 1000 ** (i / 399)) for i in range(400)]
+    rows = [(i, "en", "s", n, shape(n), 0, 0, 0, False) for i, n in enumerate(sizes)]
+    rows.append((999, "en", "s", 50_000, round(50_000 * shape(70) / 70), 0, 0, 0, False))
+    stats = spark.createDataFrame(rows, "doc long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+    got = {x.doc: x for x in rules.judged(stats).collect()}
+    assert not got.pop(999).kept and all(x.kept for x in got.values())
+    length = lambda x: x[4] / x[3]
+    assert min(sizes) < 50_000 < max(sizes) and min(map(length, rows[:400])) < length(rows[400]) < max(map(length, rows[:400]))
