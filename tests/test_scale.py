@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from factloom.operators import sampling as B
 from factloom.plans import fill as P
 
 
@@ -17,3 +18,15 @@ def test_texts_of_templates_are_never_broadcast(spark):
     assert "Broadcast" not in plan_of(got)
     assert "Join" not in plan_of(P._parsed(given))
     assert [r.filled_by for r in got.select("filled_by").distinct().collect()] == ["statements"]
+
+
+def test_runs_are_repeated_behind_the_shuffle(spark):
+    """Rows are shuffled once, not once for each of the ten runs; the choices are those of one run after the other."""
+    preds = spark.range(300).select((F.col("id") % 7).alias("table_id"), (F.col("id") % 3).cast("string").alias("grp"), "id")
+    for mode in ("single", "one", "several"):
+        got = B.repeated_runs(preds, mode, ["id"])
+        want = [(r, x.id) for r in range(B.RUNS) for x in B.select_outputs(preds, mode, ["id"], 42 + r).collect()]
+        assert sorted((x.run, x.id) for x in got.collect()) == sorted(want)
+        assert got.columns == ["table_id", "grp", "id", "run"]
+    plan = plan_of(B.repeated_runs(preds, "single", ["id"]))
+    assert "Window" not in plan and plan.rindex("Exchange") > plan.index("Generate")
