@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import sampling as B
 from factloom.plans import fill as P
+from factloom.plans.ranking import join_on
 
 
 def plan_of(df) -> str:
@@ -30,3 +31,14 @@ def test_runs_are_repeated_behind_the_shuffle(spark):
         assert got.columns == ["table_id", "grp", "id", "run"]
     plan = plan_of(B.repeated_runs(preds, "single", ["id"]))
     assert "Window" not in plan and plan.rindex("Exchange") > plan.index("Generate")
+
+
+def test_sides_of_fillings_are_merged(spark):
+    """Selections and answers are read from small files, but their texts fill the driver where they are broadcast."""
+    given = spark.createDataFrame([("a", 0, "eq { count { filter_eq { all_rows ; c ; X } } ; X }")], "table_id string, template_id int, lf string")
+    rows = spark.createDataFrame([("a", 1, "c", "num", "1", 1.0, None, None)], "table_id string, row_idx int, col_name string, coltype string, raw string, num double, ts timestamp_ntz, str string")
+    members = rows.select("table_id", F.lit(P.ALL).alias("sel"), "row_idx")
+    wanted = members.select("table_id", "sel", F.lit("c").alias("col"), F.lit("count").alias("func"))
+    for df in (P.expressions(given), P._looked_up(wanted, members, rows), join_on(rows, members, ["table_id"])):
+        assert "SortMergeJoin" in plan_of(df) and "Broadcast" not in plan_of(df)
+    assert [r.text for r in P.expressions(given).where("func = 'count'").collect()] == ["count { filter_eq { all_rows ; c ; X } }"]
