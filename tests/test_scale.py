@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from factloom.keyed import KeyedTable
+from factloom.operators import ngrams
 from factloom.operators import sampling as B
 from factloom.plans import fill as P
 from factloom.plans.ranking import join_on
@@ -42,3 +44,22 @@ def test_sides_of_fillings_are_merged(spark):
     for df in (P.expressions(given), P._looked_up(wanted, members, rows), join_on(rows, members, ["table_id"])):
         assert "SortMergeJoin" in plan_of(df) and "Broadcast" not in plan_of(df)
     assert [r.text for r in P.expressions(given).where("func = 'count'").collect()] == ["count { filter_eq { all_rows ; c ; X } }"]
+
+
+def test_runs_of_long_candidates_travel_without_their_texts(spark):
+    t = KeyedTable(spark.createDataFrame([(1, 1, "a b c d e")], "k int, i int, s string"), ["k"], ["i"])
+    asked = spark.createDataFrame([(1, "b c d e")], "k int, candidate string")
+    placed = [x for x in plan_of(ngrams.containment_counts(t, "s", asked)).splitlines() if "Generate posexplode" in x]
+    assert placed and not any("candidate#" in x for x in placed)
+
+
+def test_clean_tokens_before_grams(spark):
+    texts = ["red hot one\n", "red hot two the\n", "the red hot three", "red, hot\n", "a hot\n"]
+    t = KeyedTable(spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], "k int, i int, s string"), ["k"], ["i"])
+    found = ngrams.frequent_ngrams(t, "s")
+    assert "arrays_overlap" not in plan_of(found)
+    assert sorted((r.gram, r.freq) for r in found.collect()) == [("red hot", 3)]
+    kept = ngrams.clean_ngrams(ngrams.ngram_counts(t, "s")).collect()
+    assert sorted((r.gram, r.freq) for r in kept) == [("hot", 3), ("red", 3), ("red hot", 3)]
+    broken = KeyedTable(spark.createDataFrame([(1, i, f"{x} hot\n") for i, x in enumerate("xyz")], "k int, i int, s string"), ["k"], ["i"])
+    assert ngrams.frequent_ngrams(broken, "s").count() == 0 and ngrams.clean_ngrams(ngrams.ngram_counts(broken, "s")).count() == 0
