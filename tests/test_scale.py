@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.keyed import KeyedTable
+from factloom.operators import coltypes as T
 from factloom.operators import ngrams
 from factloom.operators import sampling as B
 from factloom.plans import fill as P
@@ -63,3 +64,13 @@ def test_clean_tokens_before_grams(spark):
     assert sorted((r.gram, r.freq) for r in kept) == [("hot", 3), ("red", 3), ("red hot", 3)]
     broken = KeyedTable(spark.createDataFrame([(1, i, f"{x} hot\n") for i, x in enumerate("xyz")], "k int, i int, s string"), ["k"], ["i"])
     assert ngrams.frequent_ngrams(broken, "s").count() == 0 and ngrams.clean_ngrams(ngrams.ngram_counts(broken, "s")).count() == 0
+
+
+def test_dates_are_parsed_only_where_asked_for_and_once(spark):
+    cells = spark.createDataFrame([("t", 1, 0, "d", "7 march 1999", "7 march 1999"), ("t", 2, 0, "d", "on may 3 , 2001 in rome", "on may 3 , 2001 in rome"), ("t", 3, 0, "d", "13/2/2001", "13/2/2001"), ("t", 4, 0, "d", "may 41 2001", "may 41 2001")],
+                                  "table_id string, row_idx int, col_idx int, col_name string, raw string, processed string")
+    typed = T.parse_cells(cells, spark.createDataFrame([("t", 0, "date")], "table_id string, col_idx int, coltype string"))
+    assert "wed(nes)" not in plan_of(typed.select("row_idx", "num")) and "Generate" not in plan_of(typed.select("row_idx", "num"))
+    assert plan_of(typed.select("row_idx", "ts")).count("wed(nes)") == 1
+    days = {r.row_idx: str(r.ts)[:10] for r in typed.collect()}
+    assert days == {1: "1999-03-07", 2: "2001-05-03", 3: "2001-02-13", 4: "None"}
