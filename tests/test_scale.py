@@ -74,3 +74,11 @@ def test_dates_are_parsed_only_where_asked_for_and_once(spark):
     assert plan_of(typed.select("row_idx", "ts")).count("wed(nes)") == 1
     days = {r.row_idx: str(r.ts)[:10] for r in typed.collect()}
     assert days == {1: "1999-03-07", 2: "2001-05-03", 3: "2001-02-13", 4: "None"}
+
+
+def test_rank_columns_meet_their_successors_without_a_join(spark):
+    columns = {"up": "1 1 2 3", "gap": "1 2 4", "falls": "1 2 1", "one": "7 7", "large": f"1 2 {'9' * 40}", "mixed": "3 x 4"}
+    rows = [(n, 0, i, x) for n, xs in columns.items() for i, x in enumerate(xs.split())]
+    found = T.rank_columns(spark.createDataFrame(rows, "table_id string, col_idx int, row_idx int, raw string"))
+    assert "Join" not in plan_of(found)
+    assert sorted(r.table_id for r in found.collect()) == ["mixed", "one", "up"]
