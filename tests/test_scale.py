@@ -7,7 +7,8 @@ from factloom.operators import coltypes as T
 from factloom.operators import ngrams
 from factloom.operators import sampling as B
 from factloom.plans import fill as P
-from factloom.plans.ranking import join_on
+from factloom.plans.ranking import join_on, running
+from factloom.sources import readers
 
 
 def plan_of(df) -> str:
@@ -82,3 +83,21 @@ def test_rank_columns_meet_their_successors_without_a_join(spark):
     found = T.rank_columns(spark.createDataFrame(rows, "table_id string, col_idx int, row_idx int, raw string"))
     assert "Join" not in plan_of(found)
     assert sorted(r.table_id for r in found.collect()) == ["mixed", "one", "up"]
+
+
+def test_borders_are_no_column_and_rows_are_dealt_once(spark):
+    """Borders in a column would go into every row, which costs rows times borders; sums and windows read one shuffle."""
+    rows = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("i"), (F.col("id") % 7).alias("x"))
+    plan = plan_of(running(rows, ["k"], ["i"], {"upto": F.col("x")}, {"n": ("sum", F.col("x"))}))
+    carried = [x for x in plan.splitlines() if "Project [" in x and "scalar-subquery" in x and "transform(array(" not in x]
+    assert "transform(array(" in plan and not carried
+    got = {(r.k, r.i): (r.upto, r.n) for r in running(rows, ["k"], ["i"], {"upto": F.col("x")}, {"n": ("sum", F.col("x"))}).collect()}
+    data = [(i % 3, i, i % 7) for i in range(100)]
+    assert got == {(k, i): (sum(x for a, b, x in data if a == k and b <= i), sum(x for a, _, x in data if a == k)) for k, i, _ in data}
+
+
+def test_entries_are_numbered_without_borders(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a\\\\": [["x"], [1]], "b": [["y { \\" ["], [0]]}')
+    found = readers.read_entries(spark, str(tmp_path))
+    assert "scalar-subquery" not in plan_of(found)
+    assert sorted((r.entry, r.key, r.value) for r in found.collect()) == [(1, "a\\", '[["x"], [1]]'), (2, "b", '[["y { \\" ["], [0]]')]
