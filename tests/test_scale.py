@@ -101,3 +101,26 @@ def test_entries_are_numbered_without_borders(spark, tmp_path):
     found = readers.read_entries(spark, str(tmp_path))
     assert "scalar-subquery" not in plan_of(found)
     assert sorted((r.entry, r.key, r.value) for r in found.collect()) == [(1, "a\\", '[["x"], [1]]'), (2, "b", '[["y { \\" ["], [0]]')]
+
+
+def test_tables_of_one_text_go_to_many_tasks(spark):
+    """A join by text alone brings all tables of a text to one task; so does one of members by table alone."""
+    given = spark.range(300).select(F.col("id").cast("string").alias("table_id"), F.lit(0).alias("template_id"), F.lit("eq { max { all_rows ; c } ; X }").alias("lf"))
+    for df in (P.expressions(given), P._form(given)):
+        joins = [x for x in plan_of(df).splitlines() if "SortMergeJoin" in x]
+        assert any("part#" in x for x in joins)
+        assert df.select("table_id").distinct().count() == 300
+    assert P._dealt(given).select("part").distinct().count() > 100
+    rows = spark.range(P._TOGETHER * 2).select(F.lit("t").alias("table_id"), F.lit(P.ALL).alias("sel"), F.col("id").cast("int").alias("row_idx"))
+    cells = rows.select("table_id", "row_idx", F.lit("c").alias("col_name"), F.lit("num").alias("coltype"), F.lit("1").alias("raw"), F.lit(1.0).alias("num"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("str"))
+    found = P._cells_of(rows.select("table_id", "sel", F.lit("c").alias("col")).distinct(), rows, cells)
+    assert any("block#" in x for x in plan_of(found).splitlines() if "SortMergeJoin" in x) and found.count() == P._TOGETHER * 2
+
+
+def test_options_answer_only_what_a_column_asks_for(spark):
+    cell = lambda col, i, num, text: ("t", P.ALL, col, ["filter_eq"] if col == "a" else ["filter_less_eq"], i, (num, None, None if num else text), text, num, num is None)
+    rows = spark.createDataFrame([cell("a", i, None, x) for i, x in enumerate("xxy")] + [cell("b", i, float(i + 1), str(i + 1)) for i in range(3)],
+                                 f"table_id string, sel string, col string, asked array<string>, row_idx int, v {P._VTYPE}, raw string, num double, is_text boolean")
+    options, held = P._filter_answers(rows, {"filter_eq", "filter_less_eq"}, True)
+    assert sorted((r.col, r.func, r.filled, r.cnt) for r in options.collect()) == [("a", "filter_eq", "x", 2), ("a", "filter_eq", "y", 1), ("b", "filter_less_eq", "2", 2), ("b", "filter_less_eq", "3", 3)]
+    assert sorted((r.filled, r.row_idx) for r in held.collect()) == [("x", 0), ("x", 1), ("y", 2)]
