@@ -124,3 +124,28 @@ def test_options_answer_only_what_a_column_asks_for(spark):
     options, held = P._filter_answers(rows, {"filter_eq", "filter_less_eq"}, True)
     assert sorted((r.col, r.func, r.filled, r.cnt) for r in options.collect()) == [("a", "filter_eq", "x", 2), ("a", "filter_eq", "y", 1), ("b", "filter_less_eq", "2", 2), ("b", "filter_less_eq", "3", 3)]
     assert sorted((r.filled, r.row_idx) for r in held.collect()) == [("x", 0), ("x", 1), ("y", 2)]
+
+
+def test_options_count_grams_once_and_read_rows_of_chosen_texts_only(spark, monkeypatch):
+    names = []
+
+    def noted(df, name):
+        names.append((name, df))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(P, "stored", noted)
+    cell = lambda t, i, x: (t, P.ALL, "c", ["filter_eq"], i, (None, None, x) if x else None, x or "", None, True)
+    texts = {"t": ["red fox one", "red fox two", "red fox six", None], "u": ["a", "b", None]}
+    rows = spark.createDataFrame([cell(t, i, x) for t, xs in texts.items() for i, x in enumerate(xs)],
+                                 f"table_id string, sel string, col string, asked array<string>, row_idx int, v {P._VTYPE}, raw string, num double, is_text boolean")
+    options, inside = P._options(rows, {"filter_eq"}, True)
+    # The grams are counted in a plan of their own; the others read what it wrote.
+    assert [n for n, _ in names] == ["fill-classes", "fill-grams", "fill-inside"]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" in plan(names[1][1]).lower() and "rlike" not in plan(names[2][1]).lower()
+    got = {(r.table_id, r.filled, r.cnt, r.by_text) for r in options.collect()}
+    assert got == {("t", "red fox", 3, True), *[("t", x, 1, True) for x in texts["t"][:3]], ("t", "", 1, False), ("u", "a", 1, True), ("u", "b", 1, True), ("u", "", 1, False)}
+    assert {(r.table_id, r.candidate) for r in inside.collect()} == {(t, f) for t, f, _, by_text in got if by_text}
+    # A column whose cells are texts and others, by two columns of one name, takes its values as texts.
+    mixed = rows.unionByName(rows.limit(1).selectExpr("table_id", "sel", "col", "asked", "9 as row_idx", f"cast(struct(7.0D, null, null) as {P._VTYPE}) as v", "'7' as raw", "7.0D as num", "false as is_text"))
+    assert {r.filled for r in P._options(mixed, {"filter_eq"}, True)[0].where("not by_text").collect()} == {""}
